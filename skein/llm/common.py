@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,26 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, also where only the driver has it on its path."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[2]
+    known = {Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)}
+    if context.applicationId in _shipped or root in known:
+        return
+    _shipped.add(context.applicationId)
+    out = Path(tempfile.mkdtemp(prefix="skein-")) / "skein.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted((root / "skein").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(out))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where it is unset (tests, one machine) a temporary folder is made once.
     """
+    ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
