@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions, table
+from skein.llm.common import cut, partitions, ship, table
 from skein.llm.components import connected_components
 from skein.llm.words import chunks, mix64, shingle_hashes, word_hashes
 
@@ -393,6 +393,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     one shingle. Repeated rows have equal sets and so link. A null key counts as
     the largest one. Very long texts are whole. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     named = cut(set_keys(docs, text, width).withColumn("_key", F.col(f"_row.{key}")), "sets")
     full = named.filter("n > 0")
     classes = cut(full.groupBy("k", "k2", "n").agg(F.min("_key").alias("least"), F.count("*").alias("n_copies")), "classes")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions, small_join, table
+from skein.llm.common import cut, partitions, ship, small_join, table
 
 LENGTH = 2048
 END_ID = 1
@@ -70,6 +70,7 @@ class _Encoder:
 
 def tokenise(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, source, tokens, ids): ids as little-endian unsigned integers of 2 (or 4) bytes; null text is empty."""
+    ship(docs.sparkSession)
     path = path or vocabulary_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

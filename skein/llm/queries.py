@@ -1,12 +1,14 @@
 """The training-data queries by name, and their SQL where SQL can say them."""
 
 from skein.llm.op02_ngram_join import op2_ngram_join
+from skein.llm.op05_suffix_dedup import op5_suffix_dedup
 from skein.llm.op06_packing import op6_packing
 from skein.llm.op08_quality_rules import op8_quality_rules
 from skein.llm.op09_mixing import op9_mixing
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
