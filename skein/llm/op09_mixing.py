@@ -33,7 +33,7 @@ BLOCKS = 200_000
 SHARDS = 16
 SEED = 9
 #: Rows that one sorted run of a permuted stream holds about.
-RUN_ROWS = 20_000
+RUN_ROWS = 4_000
 
 
 def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: int = WEIGHTS) -> DataFrame:
