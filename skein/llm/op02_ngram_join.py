@@ -407,11 +407,18 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each component, that with the smallest key; all columns of ``docs``."""
-    joined = join(docs.select(key, text), text, key)
-    first = joined.groupBy("component_id").agg(F.min(F.col(f"_row.{key}")).alias("_keep")).select("_keep")
-    kept = docs.join(first, F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates([key])
+    """One document of each component, that with the smallest key; all columns of ``docs``.
+
+    Texts without words have no partners and stay. Of repeated rows one stays.
+    """
+    marked = docs.withColumn("_h", F.xxhash64(F.col(text)))
+    joined = cut(join(marked.select(key, "_h", text), text, key).select(F.col(f"_row.{key}").alias("_key"), F.col("_row._h").alias("_hash"), "component_id"), "joined")
+    groups = joined.groupBy("component_id", F.when(F.col("_key").isNull(), F.col("_hash")).alias("_null"))
+    first = groups.agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_hash")).alias("f"))
+    first = cut(first.select("f._key", "f._hash").distinct(), "first")
+    kept = marked.join(first, F.col(key).eqNullSafe(F.col("_key")) & F.col("_h").eqNullSafe(F.col("_hash")), "left_semi")
+    repeats = joined.groupBy("_key", "_hash").count().filter("count > 1").isEmpty()
+    return (kept if repeats else kept.dropDuplicates([key, "_h"])).drop("_h")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

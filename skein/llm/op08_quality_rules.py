@@ -154,7 +154,9 @@ def keep(docs: DataFrame, text: str = "text", rules=RULES, threshold: float = TH
     are judged alike, one result each. An empty table gives an empty result.
     """
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"))
-    return judge(measures(packed), rules, threshold).filter("kept").select("_row.*")
+    # stored with its measures: read once for the estimation, once for the verdict
+    measured = cut(measures(packed).drop("text"), "measured")
+    return judge(measured, rules, threshold).filter("kept").select("_row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
