@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ()
+FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating")
 
 
 def load() -> None:
