@@ -1,0 +1,57 @@
+"""Dates, money, schedules, JSON and hashes as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Price of one million tokens (input, output) by model; others cost nothing.
+TOKEN_PRICES = {"small": (0.15, 0.6), "large": (2.5, 10.0)}
+
+
+def compact_date(c: Column) -> Column:
+    """YYYYMMDD as YYYY-MM-DD; any other length is null, the calendar isn't checked."""
+    return F.when(F.length(c) == 8, F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2)))
+
+
+def clamp(c: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+
+
+def backoff(attempt: Column, base: int = 60, factor: int = 3, cap: int = 3600) -> Column:
+    """Seconds to wait before the next try; jitter is left out, results are stable."""
+    return F.least(F.lit(base) * F.pow(F.lit(float(factor)), attempt), F.lit(float(cap))).cast("long")
+
+
+def step_wait(attempt: Column, steps=(60, 300, 900, 3600, 3600)) -> Column:
+    """Stepped schedule; null (dead letter) beyond its end."""
+    return F.get(F.array(*[F.lit(x) for x in steps]), attempt - 1)
+
+
+def token_cost(model: Column, n_in: Column, n_out: Column, prices: dict | None = None) -> Column:
+    cost = F.lit(0.0)
+    for name, (a, b) in (prices or TOKEN_PRICES).items():
+        cost = F.when(model == name, (n_in * a + n_out * b) / 1_000_000).otherwise(cost)
+    return F.round(cost, 8)
+
+
+def json_or_self(nested: Column, record: Column) -> Column:
+    """A nested JSON string where it parses, else the record itself."""
+    return F.coalesce(F.try_parse_json(nested), F.try_parse_json(record))
+
+
+def record_hash(*cols: str) -> Column:
+    """SHA-256 of the columns as JSON, keys in order."""
+    return F.sha2(F.to_json(F.struct(*sorted(cols))), 256)
+
+
+def stable_id(*cols: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", *cols), 256)
+
+
+def band(c: Column, bands: list[tuple[float, str]], low: str) -> Column:
+    """The label of the first bound that the value reaches."""
+    out = F.lit(low)
+    for bound, name in sorted(bands):
+        out = F.when(c >= bound, name).otherwise(out)
+    return out

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating")
+FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating", "scalars")
 
 
 def load() -> None:
