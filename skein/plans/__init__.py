@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating", "scalars")
+FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating", "scalars", "domain", "events")
 
 
 def load() -> None:
