@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating", "scalars", "domain", "events")
+FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating", "scalars", "domain", "events", "sources")
 
 
 def load() -> None:
