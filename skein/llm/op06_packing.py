@@ -30,8 +30,8 @@ END_ID = 1
 GROUP_TOKENS = 2_000_000
 #: A queue is served once its counter reaches this many tokens (or its last ones).
 MIN_PIECE = 64
-#: Distinct words whose ids a task remembers at most.
-REMEMBERED = 500_000
+#: Distinct words whose ids a worker remembers at most.
+REMEMBERED = 700_000
 SEED = 6
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string"
@@ -43,29 +43,69 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Encoder:
-    """Ids of texts as bytes. The vocabulary drops white space, so words between blanks are encoded apart and remembered."""
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable bytes themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)]
+
+
+class _Known(dict):
+    """Ids of words as bytes, found when first asked for.
+
+    White space separates words and is dropped, so words between blanks are
+    encoded apart. A word of Latin letters, with or without a stop behind it, is
+    one piece to the vocabulary's own splitting: its model is asked directly,
+    without normalisation and pattern matching. All others take the whole way.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str | None) -> bytes:
+        self.letters = _byte_letters()
+        # the direct way is taken for vocabularies for which it is the same
+        probe = ["Probe", "straße", "ÉTÉ,", "añoÑ.", "the", "x!", "Þing?!", "ÿ", "zzyzxqw;"]
+        self.direct = True
+        self.direct = all(self.ask(w) == self.whole(w) for w in probe)
+
+    def whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def ask(self, word: str) -> bytes:
+        stem = word.rstrip(".,!?;:")
+        if not (self.direct and stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem):
+            return self.whole(word)
+        spelled = "".join(map(self.letters.__getitem__, stem.lower().encode()))
+        ids = np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+        return ids if len(stem) == len(word) else ids + self[word[len(stem) :]]
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        ids = self.ask(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        return b"".join([*map(known.__getitem__, words), self.end])
+        return b"".join([*map(self.__getitem__, words), self.end])
+
+
+_encoders: dict[tuple, _Known] = {}
+
+
+def _encoder(path: str, end_id: int) -> _Known:
+    """One encoder for all tasks of a worker: what it knows stays."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = _Known(path, end_id)
+    return _encoders[path, end_id]
 
 
 def tokenise(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -74,10 +114,10 @@ def tokenise(docs: DataFrame, text: str = "text", key: str = "doc_id", source: s
     path = path or vocabulary_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path, end_id)
+        encoder = _encoder(path, end_id)
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                ids = [encoder(t) for t in part.column(2).to_pylist()]
+                ids = [encoder.encode(t) for t in part.column(2).to_pylist()]
                 count = [len(x) // encoder.width for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count, pa.int64()), pa.array(ids, pa.binary()), pa.array([encoder.width] * len(ids), pa.int32())], names=["doc_id", "source", "tokens", "ids", "width"])
 
