@@ -14,8 +14,8 @@
    are computed. A prefix of ``length`` marks both starts.
 4. Marked starts go back to their texts, where they cover bytes.
 
-Texts are handled by digest, so exact copies are one text whose strings all
-occur elsewhere.
+Texts are handled by digest: exact copies are one text here, and all their
+strings occur elsewhere.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions, ship, table
+from skein.llm.common import clustered, cut, partitions, ship, table
 from skein.llm.words import mix64
 
 LENGTH = 400
@@ -98,18 +98,13 @@ def _pieces(n: int, length: int) -> Iterator[tuple[int, int]]:
 
 
 def _find(length: int, gram: int):
-    """(uid, text) -> (h, uid, first, last, place) of all segments; copies within a task once."""
+    """(uid, text) -> (h, uid, first, last, place) of all segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
-            uid = batch.column(0).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for i, t in enumerate(batch.column(1)):
-                if uid[i] in seen or not t.is_valid or len(body := t.as_buffer()) < length:
-                    continue
-                seen.add(uid[i])
-                raw = np.frombuffer(body, np.uint8)
+                raw = np.frombuffer(t.as_buffer(), np.uint8)
                 for a, e in _pieces(len(raw), length):
                     h, first, last, place = segments(raw[a:e], length, gram)
                     out[0].append(h)
@@ -307,16 +302,14 @@ def _gather(length: int):
     return run
 
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(uid, text binary) -> (uid, spans): covered bytes [a, e) of the texts whose strings occur elsewhere in another text or place."""
-    spark = docs.sparkSession
-    found = docs.mapInArrow(_find(length, gram), "h long, uid binary, first long, last long, place long").distinct()
-    found = cut(found, "found")
+def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(uid, text), distinct and clustered by uid -> (uid, spans): covered bytes [a, e) of texts of which strings start again."""
+    spark = texts.sparkSession
+    found = cut(texts.mapInArrow(_find(length, gram), "h long, uid binary, first long, last long, place long"), "found")
     # a minimizer that occurs twice or more; its segments by text
     again = found.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1")
     repeated = found.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "first", "last", "place", F.least("held", F.lit(SPLITS * SPLIT_AT)).alias("held"))).alias("found"))
-    texts = docs.dropDuplicates(["uid"]).join(repeated, "uid").select("uid", "text", "found")
-    segs = texts.mapInArrow(_cut_out(length), "uid binary, h long, salt int, seg binary, first long, last long")
+    segs = texts.join(repeated, "uid").select("uid", "text", "found").mapInArrow(_cut_out(length), "uid binary, h long, salt int, seg binary, first long, last long")
     segs = cut(segs.withColumn("dg", F.unhex(F.md5("seg"))), "segments")
     distinct = segs.groupBy("h", "salt", "dg").agg(F.first("seg").alias("seg"), F.count("*").alias("copies"))
     sorted_ = distinct.repartition(partitions(spark), "h", "salt").sortWithinPartitions("h", "salt").select("h", "salt", "dg", "seg", "copies")
@@ -325,18 +318,13 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return at.groupBy("uid").agg(F.collect_list(F.struct("first", "marks")).alias("at")).mapInArrow(_gather(length), "uid binary, spans binary")
 
 
-def _strip(schema_names: list[str], characters: bool = False):
+def _strip(schema_names: list[str], characters: bool):
     def run(batches):
         for batch in batches:
             size, removed, spans, kept = [], [], [], []
-            for text, span, copies in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                body = text.as_py() if text.is_valid else b""
+            for text, span in zip(batch.column(1), batch.column(2), strict=True):
+                body = text.as_py()
                 size.append(len(body))
-                if copies:  # all of it starts elsewhere too
-                    removed.append(len(body))
-                    spans.append(1)
-                    kept.append(b"")
-                    continue
                 at = np.frombuffer(span.as_buffer(), np.int64).reshape(-1, 2).tolist() if span.is_valid else []
                 removed.append(sum(e - a for a, e in at))
                 spans.append(len(at))
@@ -360,21 +348,29 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     shorter texts lose nothing (null counts as empty). Exact copies lose all if
     they are long enough. Repeated rows are copies. An empty table gives an empty
     result.
+
+    The distinct long texts are shuffled once, into buckets by digest; whatever
+    else meets them is narrow. Copies are resolved by their digest's count alone.
     """
     ship(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     named = docs.select(F.struct(*rest).alias("_row"), body.alias("text"), F.unhex(F.md5(body)).alias("uid"))
-    long = F.octet_length("text") >= length
-    spans = covered(named.filter(long).select("uid", "text"), length, gram)
-    copies = named.filter(long).groupBy("uid").agg(F.count("*").alias("n")).filter("n > 1").select("uid", F.lit(True).alias("copied"))
-    facts = spans.join(copies, "uid", "full")
-    joined = named.join(cut(facts, "spans"), "uid", "left")
+    named = named.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    long = named.filter(F.col("n_bytes") >= length)
+    texts = clustered(long.select("uid", "text").dropDuplicates(["uid"]), "uid", "texts")
+    spans = covered(texts, length, gram)
+
+    copies = long.groupBy("uid").agg(F.count("*").alias("n")).filter("n > 1").select("uid", F.lit(True).alias("copied"))
+    rows = cut(long.select("_row", "uid", "n_bytes").join(copies, "uid", "left"), "rows")
     names = ["_row", "n_bytes", "n_removed", "n_spans", "kept"]
     kind = named.schema["_row"].dataType.simpleString()
-    # a copied text is known to go whole: its bytes need not reach Python
-    packed = joined.select("_row", "text", "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
-    return packed.mapInArrow(_strip(names, characters), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    zero = F.lit(0).cast("long")
+    short = named.filter(F.col("n_bytes") < length).select("_row", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))
+    gone = rows.filter("copied").select("_row", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    single = texts.join(rows.filter("copied is null").select("uid", "_row"), "uid").join(cut(spans, "spans"), "uid", "left").select("_row", "text", "spans")
+    single = single.mapInArrow(_strip(names, characters), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return single.unionByName(gone).unionByName(short)
 
 
 def strip_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
