@@ -28,10 +28,11 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> with block, place (from 1), turns (of its conversation), h1, h2: hash up to the turn."""
-    df = turns.select("conv_id", "turn", "role", "text").withColumn("block", F.floor(F.col("turn") / BLOCK))
-    inside = W.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    df = df.withColumn("_r", F.row_number().over(inside))
+    """(conv_id, block, place from 1, turns of the conversation, h1, h2: hash up to the turn); texts are left behind as hashes."""
+    named = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    df = turns.select("conv_id", "turn", "role", *[F.xxhash64(F.lit(k), *named).alias(f"k{k}") for k in (1, 2)])
+    df = df.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    df = df.withColumn("_r", F.row_number().over(W.partitionBy("conv_id", "block").orderBy(*TURN_ORDER)))
     sizes = df.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
     before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(
@@ -40,9 +41,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
     )
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b"))
     df = df.join(sizes, same).withColumn("place", F.col("_base") + F.col("_r")).drop("_c", "_b", "_base", "_r")
-    named = [F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
     for k in (1, 2):  # 40 bits each: a sum over eight million turns can't overflow
-        df = df.withColumn(f"t{k}", F.shiftrightunsigned(F.xxhash64(F.lit(k), *named), 24))
+        df = df.withColumn(f"t{k}", F.shiftrightunsigned(F.xxhash64(F.lit(k), "place", "k1", "k2"), 24))
     sums = df.groupBy("conv_id", "block").agg(F.sum("t1").alias("s1"), F.sum("t2").alias("s2"))
     sums = sums.select(
         F.col("conv_id").alias("_c"), F.col("block").alias("_b"),
@@ -50,26 +50,33 @@ def prefixes(turns: DataFrame) -> DataFrame:
     )
     upto = W.partitionBy("conv_id", "block").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumns({f"h{k}": F.sum(f"t{k}").over(upto) for k in (1, 2)}).join(sums, same)
-    return df.withColumns({f"h{k}": F.col(f"h{k}") + F.col(f"_s{k}") for k in (1, 2)}).drop("_c", "_b", "_s1", "_s2", "t1", "t2")
+    return df.select("conv_id", "block", "place", "turns", *[(F.col(f"h{k}") + F.col(f"_s{k}")).alias(f"h{k}") for k in (1, 2)])
+
+
+#: Order of turns; the hashes part turns that are equal but for the text.
+TURN_ORDER = ("turn", "role", "k1", "k2")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, turns, copies, text) of every maximal conversation; copies: conversations equal to it.
 
-    Turns are ordered by turn, role and text, nulls first; a null conv_id is one
-    conversation of its own. Repeated rows are turns of their own. Null roles and
-    texts equal only nulls. Very long texts are whole. An empty table gives an
-    empty result. Other columns are left out.
+    Turns are ordered by turn and role, nulls first, equal ones by a hash of the
+    text; a null conv_id is one conversation of its own. Repeated rows are turns
+    of their own. Null roles and texts equal only nulls. Very long texts are
+    whole. An empty table gives an empty result. Other columns are left out.
     """
     df = cut(prefixes(turns), "prefixes")
     name = ["place", "h1", "h2"]
     whole = df.filter("place = turns").groupBy(*name).agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("keep"), F.count("*").alias("copies"))
     earlier = df.filter("place < turns").select(*name).distinct()
-    maximal = cut(whole.join(earlier, name, "left_anti").select(F.col("keep.conv_id").alias("_keep"), "copies"), "maximal")
-    kept = df.join(maximal, F.col("conv_id").eqNullSafe(F.col("_keep")))
-    blocks = kept.groupBy("conv_id", "block", "turns", "copies").agg(F.array_sort(F.collect_list(F.struct("place", rendered(F.col("role"), F.col("text")).alias("text")))).alias("all"))
-    blocks = blocks.select("conv_id", "turns", "copies", F.element_at("all", 1)["place"].alias("place"), F.array_join("all.text", "").alias("text"))
-    chats = blocks.groupBy("conv_id", "turns", "copies").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("all"))
+    kept = whole.join(earlier, name, "left_anti").select(F.col("keep.conv_id").alias("_keep"), F.col("place").alias("turns"), "copies")
+    named = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    lines = turns.select("conv_id", "turn", "role", *[F.xxhash64(F.lit(k), *named).alias(f"k{k}") for k in (1, 2)], rendered(F.col("role"), F.col("text")).alias("text"))
+    lines = lines.join(cut(kept, "maximal"), F.col("conv_id").eqNullSafe(F.col("_keep"))).drop("_keep").withColumn("block", F.floor(F.col("turn") / BLOCK))
+    # blocks first: a long conversation is put in order in parts
+    blocks = lines.groupBy("conv_id", "block", "turns", "copies").agg(F.sort_array(F.collect_list(F.struct(*TURN_ORDER, "text"))).alias("all"))
+    blocks = blocks.select("conv_id", "turns", "copies", "block", F.array_join("all.text", "").alias("text"))
+    chats = blocks.groupBy("conv_id", "turns", "copies").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("all"))
     return chats.select("conv_id", "turns", "copies", F.array_join("all.text", "").alias("text"))
 
 
