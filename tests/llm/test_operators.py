@@ -205,6 +205,34 @@ def test_search(rows, docs, empty):
     assert op07_topk_search.search(empty, F.col("doc") % 10 == 0).count() == 0
 
 
+def test_search_whole_queries(spark, monkeypatch):
+    """With the defaults of op7 every distinct term of a query counts, in several passes too, and equal scores rank by id."""
+    draw = np.random.default_rng(7)
+    texts = {i: " ".join(f"w{x}" for x in np.minimum(draw.zipf(1.2, 40 + 6 * (i % 50)), 3000)) for i in range(300)}
+    texts |= {300 + i: texts[0] for i in range(15)} | {320: "w1", 321: "only here"}
+    terms = {k: Counter(t.split()) for k, t in texts.items()}
+    # a repeated row is a document of its own, but as a query one
+    rows = [*texts.items(), (0, texts[0])]
+    held = [(k, terms[k]) for k, _ in rows]
+    size = {k: sum(c.values()) for k, c in terms.items()}
+    mean = sum(size[k] for k, _ in rows) / len(rows)
+    df = Counter(w for _, c in held for w in c)
+    idf = {w: math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    asked = [k for k in texts if k % 20 == 0]
+    assert max(len(terms[k]) for k in asked) > 64
+    monkeypatch.setattr(op07_topk_search, "TERM_BLOCK", 300, raising=False)
+    got = {}
+    for r in op07_topk_search.search(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc") % 20 == 0).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["doc"], r["score"]))
+    assert sorted(got) == asked
+    for q in asked:
+        scored = [(round(-sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[k] / mean)) for w in sorted(terms[q]) if w in c), 9), k) for k, c in held]
+        best = sorted(x for x in scored if x[0] < 0)[:10]
+        assert [x[0] for x in sorted(got[q])] == list(range(1, len(best) + 1))
+        assert np.allclose([x[2] for x in sorted(got[q])], [-s for s, _ in best])
+        assert [x[1] for x in sorted(got[q])] == [k for _, k in best]
+
+
 def test_quality_rules(rows, docs, empty):
     scored = op08_quality_rules.measures(docs).collect()
     by = {(r["doc_id"], r["text"]): r for r in scored}
