@@ -30,11 +30,26 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def shared_neighbours(edges: DataFrame, least: int = 1) -> DataFrame:
+def pairs_within(rows: DataFrame, key: str, id: str, size: int = 256) -> DataFrame:
+    """All pairs of rows with one key and different ids, each pair once: _x and _y, structs of the columns, the id of _x the smaller.
+
+    The rows of a key are dealt to blocks of about ``size`` by a hash of the id;
+    two blocks are one join key, so a hot key's pairs come from many tasks. Null
+    keys and ids pair with nothing.
+    """
+    many = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
+    dealt = rows.join(many, key).select(F.struct(*rows.columns).alias("_x"), F.col(key).alias("_key"), "_n", F.pmod(F.xxhash64(F.lit(3), id), "_n").cast("int").alias("_own"))
+    left = dealt.select("_x", "_key", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_n") - 1)).alias("_j"))
+    right = dealt.select(F.col("_x").alias("_y"), "_key", F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"))
+    x, y = F.col("_x")[id], F.col("_y")[id]
+    met = left.join(right, ["_key", "_i", "_j"]).filter((x < y) | ((F.col("_i") < F.col("_j")) & (x > y)))
+    return met.select(F.when(x < y, F.col("_x")).otherwise(F.col("_y")).alias("_x"), F.when(x < y, F.col("_y")).otherwise(F.col("_x")).alias("_y"))
+
+
+def shared_neighbours(edges: DataFrame, least: int = 1, size: int = 256) -> DataFrame:
     """(a, b, shared) of sources that point at the same nodes, a < b."""
-    e = edges.select("src", "dst").distinct()
-    other = e.select(F.col("src").alias("b"), "dst")
-    return e.join(other, "dst").filter("src < b").groupBy(F.col("src").alias("a"), "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    met = pairs_within(edges.select("src", "dst").distinct(), "dst", "src", size)
+    return met.groupBy(F.col("_x.src").alias("a"), F.col("_y.src").alias("b")).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
 
 def roots(parents: DataFrame, depth: int) -> DataFrame:

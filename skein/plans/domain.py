@@ -315,6 +315,34 @@ def similar(s, d):
     return graph.shared_neighbours(edges(s, d)).orderBy(F.col("shared").desc(), "a", "b").limit(10)
 
 
+ALL_EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem"
+
+
+def all_edges(s, d):
+    return t(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+
+
+@query("gr03_all_neighbours", f"WITH e AS ({ALL_EDGES}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT s_suppkey, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst), '') AS near FROM supplier LEFT JOIN u ON src = s_suppkey GROUP BY 1")
+def all_neighbours(s, d):
+    return graph.neighbours(t(s, d, "supplier"), all_edges(s, d), "s_suppkey").select("s_suppkey", F.array_join(F.transform("near", lambda v: v.cast("string")), ",").alias("near"))
+
+
+@query("gr04_all_two_hops", f"WITH e AS ({ALL_EDGES}) SELECT DISTINCT x.src AS a, y.src AS b FROM e x JOIN e y USING (dst) WHERE x.src <> y.src")
+def all_two_hops(s, d):
+    met = graph.shared_neighbours(all_edges(s, d))
+    return met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
+
+
+@query("gr08_all_similarity", f"WITH e AS ({ALL_EDGES}), p AS (SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y USING (dst) WHERE x.src < y.src GROUP BY ALL) SELECT * FROM p ORDER BY shared DESC, a, b LIMIT 10")
+def all_similar(s, d):
+    return graph.shared_neighbours(all_edges(s, d)).orderBy(F.col("shared").desc(), "a", "b").limit(10)
+
+
+@query("gr12_all_degrees", f"WITH e AS ({ALL_EDGES}) SELECT src, count(*) AS degree FROM e GROUP BY 1")
+def all_degrees(s, d):
+    return all_edges(s, d).groupBy("src").agg(F.count("*").alias("degree"))
+
+
 @query("gr09_reach", """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey::BIGINT AS src, (n_nationkey + 100)::BIGINT AS dst FROM nation UNION SELECT n_nationkey + 100, (n_regionkey + 1) % 5 FROM nation),
 w AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM w JOIN e ON src = node WHERE hops < 3) SELECT 0::BIGINT AS start, node, min(hops) AS hops FROM w GROUP BY node""")
 def reach(s, d):
