@@ -210,6 +210,12 @@ def union(s, d):
     return df.filter("l_partkey < 50").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).union(df.filter("l_suppkey < 5").select("l_partkey", "l_suppkey")).distinct()
 
 
+@query("st01_all_union", "SELECT l_suppkey AS a, l_partkey AS b FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem")
+def all_union(s, d):
+    df = t(s, d, "lineitem")
+    return df.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).union(df.select("l_partkey", "l_suppkey")).distinct()
+
+
 @query("st02_union_all", "SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier")
 def union_all(s, d):
     return t(s, d, "customer").select(F.col("c_name").alias("name")).unionByName(t(s, d, "supplier").select(F.col("s_name").alias("name")))

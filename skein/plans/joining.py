@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from skein.operators.graph import shared_neighbours
 from skein.operators.ordering import latest
 from skein.registry import query
 from skein.session import table as t
@@ -76,6 +77,11 @@ def many(s, d):
     return t(s, d, "orders").filter("o_custkey % 10 = 1").join(t(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
 
 
+@query("jn10_all_many_to_many", "SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def all_many(s, d):
+    return t(s, d, "orders").join(t(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+
+
 @query("jn11_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def not_in(s, d):
     return t(s, d, "customer").join(t(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
@@ -118,6 +124,12 @@ def shared(s, d):
     return e.join(other, "p").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+@query("jn19_all_shared_neighbours", """WITH e AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS p FROM lineitem)
+SELECT x.a AS a, y.a AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND x.a < y.a GROUP BY ALL""")
+def all_shared(s, d):
+    return shared_neighbours(t(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
 @query("jn20_workload", "SELECT c_custkey, count(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS open FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = 2 GROUP BY c_custkey HAVING count(o_orderkey) FILTER (WHERE o_orderstatus = 'O') < 5")
 def workload(s, d):
     people = t(s, d, "customer").join(t(s, d, "nation").filter("n_regionkey = 2"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey")

@@ -215,6 +215,13 @@ def gr02(s, d):
     return pairs.join(t(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("s_name", "p_name", F.lit("SUPPLIES").alias("type")).distinct()
 
 
+@query("gr02_all_edges", "SELECT DISTINCT s_name, p_name, 'SUPPLIES' AS type FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey")
+def all_gr02(s, d):
+    keys = t(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    pairs = keys.join(t(s, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_suppkey", "p_name").distinct()
+    return pairs.join(t(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("s_name", "p_name", F.lit("SUPPLIES").alias("type")).distinct()
+
+
 @query("gr05_map", "SELECT n_nationkey, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def cultural(s, d):
     # each side is counted before the join, so nothing multiplies
@@ -243,6 +250,12 @@ def vectors(s, d):
     return a.join(b, "label").filter("a < b").select("a", "b", F.round(search.cosine(F.col("u"), F.col("v")), 6).alias("score"))
 
 
+@query("gr13_all_vector_similarity", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
+def all_vectors(s, d):
+    met = graph.pairs_within(t(s, d, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id")
+    return met.select(F.col("_x.vec_id").alias("a"), F.col("_y.vec_id").alias("b"), F.round(search.cosine(F.col("_x.embedding"), F.col("_y.embedding")), 6).alias("score"))
+
+
 @query("ln03_both_ways", "SELECT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey = 7 UNION SELECT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey = 7")
 def both_ways(s, d):
     df = t(s, d, "lineitem")

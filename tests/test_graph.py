@@ -42,3 +42,18 @@ def test_every_edge_counts(spark, data, lines):
     near = {r["s_suppkey"]: r["near"] for r in QUERIES["gr03_all_neighbours"](spark, data).select("s_suppkey", "near").collect()}
     both = {(a, b) for x, y in lines for a, b in ((x, y), (y, x))}
     assert all(v == ",".join(map(str, sorted(b for a, b in both if a == k))) for k, v in near.items())
+
+
+def test_whole_tables(spark, data, lines):
+    """Pairs, edges and unions reach past the rows of the queries cut at small ids."""
+    vectors = [(r["vec_id"], r["label"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "label").collect()]
+    want = {(a, b) for a, k in vectors for b, m in vectors if k == m and a < b}
+    assert {(r["a"], r["b"]) for r in QUERIES["gr13_all_vector_similarity"](spark, data).collect()} == want
+    assert max(b for _, b in want) > 100
+    orders: dict = {}
+    for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect():
+        orders.setdefault(r[1], []).append(r[0])
+    shared = Counter(p for near in orders.values() for p in combinations(sorted(near), 2))
+    assert {(r["a"], r["b"]): r["shared"] for r in QUERIES["jn19_all_shared_neighbours"](spark, data).collect()} == shared
+    both = lines | {(p, a) for a, p in lines}
+    assert {(r["a"], r["b"]) for r in QUERIES["st01_all_union"](spark, data).collect()} == both
