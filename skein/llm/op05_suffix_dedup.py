@@ -12,6 +12,8 @@
    their successors are sorted directly, the others are induced by scanning the
    buckets of first bytes upwards; then the common prefixes of adjacent suffixes
    are computed. A prefix of ``length`` marks both starts.
+   Where a part still has very many different segments, no task holds it: every
+   string of ``length`` bytes in them is counted by its digest.
 4. Marked starts go back to their texts, where they cover bytes.
 
 Texts are handled by digest: exact copies are one text here, and all their
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import clustered, cut, partitions, ship, table
+from skein.llm.common import clustered, cut, partitions, ship, small_join, table
 from skein.llm.words import mix64
 
 LENGTH = 400
@@ -35,6 +37,8 @@ LENGTH = 400
 GRAM = 128
 #: Segments under one minimizer beyond which their starts are split by distance, and parts at most.
 SPLIT_AT, SPLITS = 4096, 16
+#: Different segments of one minimizer and part beyond which they are not sorted together: each start's string is counted by its digest.
+CROWD = 16_384
 #: Suffixes that a task sorts at once about.
 BATCH = 500_000
 
@@ -257,7 +261,7 @@ def _mark(length: int):
         inside = np.stack([first - begin[own], last - begin[own]], 1).astype(np.int32)
         where = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
         chosen = [keys[i] for i in own[where]]
-        marks = [inside[a:e].tobytes() for a, e in zip(where, [*where[1:], len(own)], strict=True)]
+        marks = [inside[a:e].tobytes() for a, e in zip(where, [*where[1:], len(own)], strict=False)]  # none where nothing is marked
         return pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in chosen], pa.int64()), pa.array([k[1] for k in chosen], pa.int32()), pa.array([k[2] for k in chosen], pa.binary()), pa.array(marks, pa.binary())],
             names=["h", "salt", "dg", "marks"],
@@ -284,6 +288,26 @@ def _mark(length: int):
     return run
 
 
+def _single(batches):
+    """(h, salt, dg, starts) -> the same with each start as a run of its own."""
+    for batch in batches:
+        marks = [np.repeat(np.sort(np.asarray(x.as_py(), np.int32)), 2).tobytes() for x in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.binary())], names=["h", "salt", "dg", "marks"])
+
+
+def _distinct(segs: DataFrame) -> DataFrame:
+    return segs.groupBy("h", "salt", "dg").agg(F.first("seg").alias("seg"), F.count("*").alias("copies"))
+
+
+def _mark_crowded(segs: DataFrame, length: int) -> DataFrame:
+    """What ``_mark`` gives, for segments of any number under one minimizer: equal strings meet by digest."""
+    each = _distinct(segs).withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("seg") - F.lit(length))))
+    each = cut(each.select("h", "salt", "dg", "i", "copies", F.unhex(F.md5(F.substring("seg", F.col("i") + 1, F.lit(length)))).alias("sd")), "starts")
+    again = each.groupBy("h", "salt", "sd").agg(F.sum("copies").alias("n")).filter("n > 1").select("h", "salt", "sd")
+    hit = each.join(again, ["h", "salt", "sd"]).groupBy("h", "salt", "dg").agg(F.collect_list("i").alias("starts"))
+    return hit.mapInArrow(_single, "h long, salt int, dg binary, marks binary")
+
+
 def _gather(length: int):
     """(uid, spans of marked starts) -> (uid, spans of covered bytes as pairs of 64-bit integers)."""
 
@@ -311,9 +335,16 @@ def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     repeated = found.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "first", "last", "place", F.least("held", F.lit(SPLITS * SPLIT_AT)).alias("held"))).alias("found"))
     segs = texts.join(repeated, "uid").select("uid", "text", "found").mapInArrow(_cut_out(length), "uid binary, h long, salt int, seg binary, first long, last long")
     segs = cut(segs.withColumn("dg", F.unhex(F.md5("seg"))), "segments")
-    distinct = segs.groupBy("h", "salt", "dg").agg(F.first("seg").alias("seg"), F.count("*").alias("copies"))
-    sorted_ = distinct.repartition(partitions(spark), "h", "salt").sortWithinPartitions("h", "salt").select("h", "salt", "dg", "seg", "copies")
+    # many segments, then many different ones
+    full = segs.groupBy("h", "salt").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("h", "salt")
+    full = small_join(segs.select("h", "salt", "dg"), cut(full, "full"), ["h", "salt"], "left_semi")
+    crowded = cut(full.groupBy("h", "salt").agg(F.count_distinct("dg").alias("n")).filter(F.col("n") > CROWD).select("h", "salt"), "crowded")
+    many = crowded.count()
+    calm = small_join(segs, crowded, ["h", "salt"], "left_anti", many) if many else segs
+    sorted_ = _distinct(calm).repartition(partitions(spark), "h", "salt").sortWithinPartitions("h", "salt").select("h", "salt", "dg", "seg", "copies")
     marks = sorted_.mapInArrow(_mark(length), "h long, salt int, dg binary, marks binary")
+    if many:
+        marks = marks.unionByName(_mark_crowded(small_join(segs, crowded, ["h", "salt"], "left_semi", many), length))
     at = segs.select("uid", "h", "salt", "dg", "first").join(cut(marks, "marks"), ["h", "salt", "dg"])
     return at.groupBy("uid").agg(F.collect_list(F.struct("first", "marks")).alias("at")).mapInArrow(_gather(length), "uid binary, spans binary")
 

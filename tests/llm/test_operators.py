@@ -182,6 +182,40 @@ def test_fill_meets_shares():
     assert all(abs(served[s] / total - shares[s]) < 0.05 for s in shares)
 
 
+def test_suffix_dedup_of_crowded_minimizers(spark, monkeypatch):
+    """A line shorter than the length in very many texts: all its segments differ, no task sorts them together, and none is lost."""
+    op, length, crowd = op05_suffix_dedup, 60, 8
+    draw = np.random.default_rng(3)
+
+    def noise(n):
+        return "".join(chr(97 + x) for x in draw.integers(0, 26, n))
+
+    line, tail = noise(45), noise(30)
+    texts = [noise(40 + i % 7) + line + noise(50) for i in range(60)] + [noise(30) + line + tail + noise(20 + i) for i in range(5)]
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    want = {}
+    for k, t in enumerate(texts):
+        gone = {j for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1 for j in range(i, i + length)}
+        want[k] = "".join(c for j, c in enumerate(t) if j not in gone)
+    assert sum(len(t) for t in texts[60:]) - sum(len(want[k]) for k in range(60, 65)) >= 5 * 75
+    plain = op._mark
+
+    def held(size):
+        def run(batches):
+            batches = list(batches)
+            groups = Counter((h, salt) for b in batches for h, salt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            assert max(groups.values(), default=0) <= crowd
+            return plain(size)(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(op, "_mark", held)
+    monkeypatch.setattr(op, "CROWD", crowd, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: bytes(r[1]).decode() for r in op.dedup(docs, length=length, gram=20).select("_row.doc_id", "kept").collect()}
+    assert got == want
+
+
 def test_search(rows, docs, empty):
     texts = {r[0]: r[1] for r in rows if r[0] is not None and r[0] != 1005}
     own = docs.filter("doc_id is not null and doc_id <> 1005")
