@@ -384,7 +384,7 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     else meets them is narrow. Copies are resolved by their digest's count alone.
     """
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
+    rest = [F.col(c) for c in docs.columns if c != text] or [F.lit(True).alias("alone")]  # a struct needs a field
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     named = docs.select(F.struct(*rest).alias("_row"), body.alias("text"), F.unhex(F.md5(body)).alias("uid"))
     named = named.withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -404,10 +404,14 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     return single.unionByName(gone).unionByName(short)
 
 
-def strip_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the repeated strings; a character that a cut splits goes too."""
-    done = dedup(docs, text, characters=True)
-    return done.select(*[(F.col("kept").cast("string") if c == text else F.col(f"_row.{c}")).alias(c) for c in docs.columns])
+def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` without the strings of ``length`` bytes that repeat; a character that a cut splits goes too.
+
+    Nulls become empty texts, shorter texts stay as they are, repeated rows stay
+    as many rows, with what is left of their text. All columns keep their names.
+    """
+    done = dedup(docs, text, length, gram, characters=True)
+    return done.select(*[(F.col("kept").cast("string") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions, ship, small_join, table
+from skein.llm.common import cut, partitions, ship, small_join, sum_before, table
 
 LENGTH = 2048
 END_ID = 1
@@ -209,30 +208,37 @@ def _pack_group(length: int, least: int):
 
 
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", length: int = LENGTH,
-         group_tokens: int = GROUP_TOKENS, least: int = MIN_PIECE, path: str | None = None) -> DataFrame:
+         group_tokens: int = GROUP_TOKENS, least: int = MIN_PIECE, path: str | None = None, targets: dict[str | None, float] | None = None) -> DataFrame:
     """Pieces of all documents: ids as bytes of little-endian unsigned 32-bit integers, the sequence and the place there.
 
     Null and empty texts have their end id alone. Null sources are one source.
-    Repeated rows are packed each. Very long texts cross sequences. An empty
-    table gives an empty result. Shares are the sources' shares of all tokens,
-    so that every token is packed once and the queues end together.
+    Repeated rows are packed each; every stored row has a number of its own that
+    deals it, so equal rows lie in different groups and places. Very long texts
+    cross sequences. An empty table gives an empty result.
+
+    ``targets`` gives weights of sources (None: of null; those not named have 0):
+    windows keep to their shares while the sources last, the rest follows on
+    credit, as every token is packed once. Without it, shares are the sources'
+    shares of all tokens, so that the queues end together.
     """
     spark = docs.sparkSession
-    tokens = cut(tokenise(docs, text, key, source, path), "tokens")
+    tokens = cut(tokenise(docs, text, key, source, path).withColumn("uid", F.monotonically_increasing_id()), "tokens")
     total = tokens.agg(F.sum("tokens")).first()[0] or 0
     groups = max(partitions(spark), math.ceil(total / group_tokens))
-    order = F.xxhash64(F.lit(SEED), "doc_id", "tokens")
-    dealt = tokens.withColumn("ord", order).withColumn("g", F.pmod(F.xxhash64(F.lit(SEED + 1), "ord"), F.lit(groups)))
+    order = F.xxhash64(F.lit(SEED), "doc_id", "tokens", "uid")
+    dealt = tokens.withColumn("ord", order).drop("uid").withColumn("g", F.pmod(F.xxhash64(F.lit(SEED + 1), "ord"), F.lit(groups)))
     counts = cut(dealt.groupBy("g", "source").agg(F.sum("tokens").alias("n")), "counts")
     sums = counts.groupBy("source").agg(F.sum("n").alias("of_source"))
-    stats = counts.groupBy("g").agg(F.sum("n").alias("of_group"))
-    before = W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)
-    stats = stats.withColumn("all_before", F.coalesce(F.sum("of_group").over(before), F.lit(0)))
+    stats = sum_before(counts.groupBy("g").agg(F.sum("n").alias("of_group")), "of_group", "g", "all_before").select("g", "all_before")
     # each source's tokens before each group, also where a group has none of it
-    own = W.partitionBy("source").orderBy("g").rowsBetween(W.unboundedPreceding, -1)
-    owed = counts.withColumn("own_before", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    owed = sum_before(counts, "n", "g", "own_before", by="source")
     owed = owed.join(stats, "g").join(sums.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     share = F.col("of_source") / F.lit(float(max(total, 1)))
+    if targets is not None:
+        weight = F.lit(0.0)
+        for name, value in targets.items():
+            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value) / sum(targets.values()))).otherwise(weight)
+        share = weight
     owed = owed.select(F.col("g").alias("_g"), F.col("source").alias("_source"), share.alias("share"), (share * F.col("all_before") - F.col("own_before")).alias("owed"))
     joined = small_join(dealt, owed, (F.col("g") == F.col("_g")) & F.col("source").eqNullSafe(F.col("_source")), rows=counts.count()).drop("_g", "_source")
     return joined.groupBy("g").applyInArrow(_pack_group(length, least), PIECES)

@@ -46,30 +46,27 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A word is a run of anything but ASCII white space; n_repeat_words counts the
     words inside three-word windows that occur at least twice in the text.
-    Windows are compared by 64-bit hashes that share a word with the window's
-    place, so sorting longs finds the repeats without a row for each window.
+    Windows are compared by full 64-bit hashes at any length; sorting (hash,
+    place) finds the repeats without a row for each window.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_body", body)
     df = df.withColumn("_words", F.array_remove(F.split(F.col("_body"), SPACE_RE), ""))
     df = df.withColumn("_n", F.size("_words"))
-    # the number of low bits that hold a place
-    df = df.withColumn("_bits", F.length(F.bin(F.col("_n").cast("long"))))
     hashed = F.expr(
         "CASE WHEN _n < 4 THEN array() ELSE transform(sequence(0, _n - 3), i -> "
-        "shiftleft(xxhash64(_words[i], _words[i + 1], _words[i + 2]), _bits) + i) END"
+        "struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) AS h, i AS at)) END"
     )
-    df = df.withColumn("_seen", F.sort_array(hashed.cast("array<bigint>")))
+    df = df.withColumn("_seen", F.sort_array(hashed.cast("array<struct<h:bigint,at:int>>")))
     repeats = F.expr(
         "sort_array(transform(filter(sequence(0, greatest(size(_seen) - 1, 0)), j -> size(_seen) > 0 AND ("
-        "(j > 0 AND shiftright(_seen[j], _bits) = shiftright(_seen[j - 1], _bits)) OR "
-        "(j < size(_seen) - 1 AND shiftright(_seen[j], _bits) = shiftright(_seen[j + 1], _bits)))), "
-        "j -> _seen[j] & (shiftleft(1L, _bits) - 1)))"
+        "(j > 0 AND _seen[j].h = _seen[j - 1].h) OR (j < size(_seen) - 1 AND _seen[j].h = _seen[j + 1].h))), "
+        "j -> _seen[j].at))"
     )
     df = df.withColumn("_at", repeats)
     covered = F.expr(
         "CASE WHEN size(_at) = 0 THEN 0L ELSE 3L + aggregate(sequence(1, size(_at)), 0L, "
-        "(s, j) -> s + CASE WHEN j < size(_at) THEN least(3L, _at[j] - _at[j - 1]) ELSE 0L END) END"
+        "(s, j) -> s + CASE WHEN j < size(_at) THEN least(3, _at[j] - _at[j - 1]) ELSE 0 END) END"
     )
     lines = F.filter(F.split(F.col("_body"), "\n"), lambda line: F.length(F.translate(line, SPACE, "")) > 0)
     df = df.withColumn("_lines", lines)
@@ -86,7 +83,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_exclaim": _without(F.col("_body"), "!").cast("long"),
             "n_digits": _without(F.col("_body"), "0123456789").cast("long"),
         }
-    ).drop("_body", "_words", "_n", "_bits", "_seen", "_at", "_lines")
+    ).drop("_body", "_words", "_n", "_seen", "_at", "_lines")
 
 
 def votes(df: DataFrame, rules=RULES) -> DataFrame:

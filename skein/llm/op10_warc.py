@@ -1,8 +1,8 @@
 """WARC: a deterministic sharded writer of web archives, and their reader.
 
-Records are dealt to shards by ranges of their id; the ranges come from exact
-byte counts of equal-width id buckets, so they depend on the data alone. A task
-sorts a shard and writes one gzip member for each record, with headers and
+Records are dealt to shards by ranges of (id, payload key). The borders are exact
+quantiles of payload bytes, from running sums over all keys in order, so they
+depend on the data alone, whatever the ids look like. A task sorts a shard and writes one gzip member for each record, with headers and
 digests made anew, into a file with a temporary name; a file that reaches its
 compressed size is closed and renamed, and the next begins. Names follow from
 shard and number, so a task that runs again, or twice, puts the same bytes in the
@@ -16,24 +16,26 @@ revisit it and carry the digest and length without the payload.
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, shared_dir, ship, table
+from skein.llm.common import cut, folder, partitions, ship, table
 
 #: Smallest payload that a revisit may stand for.
 REVISIT_BYTES = 100
 #: Compressed bytes at which a file is closed.
 ROLL_BYTES = 8 << 20
-#: Payload bytes of a shard, about.
+#: Payload bytes of a shard, about, and how many shards there are at most: beyond, shards grow (a task streams its shard).
 SHARD_BYTES = 16 << 20
-#: Equal-width id ranges that are counted to cut shards.
-BUCKETS = 4096
+SHARDS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -174,19 +176,46 @@ def _write(uri: str, roll: int):
     return run
 
 
-def shard_ranges(pages: DataFrame, shard_bytes: int) -> tuple[int, float, list[int]]:
-    """(least id, width of a bucket, shard of each bucket): shards of about equal payload bytes."""
-    ends = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if ends[0] is None:
-        return 0, 1.0, [0]
-    low, width = ends[0], (ends[1] - ends[0] + 1) / BUCKETS
-    bucket = F.floor((F.col("page_id") - low) / width).cast("int")
-    sizes = dict(pages.groupBy(bucket.alias("b")).agg(F.sum("bytes")).collect())  # BUCKETS rows at most
-    shards, total = [], 0
-    for b in range(BUCKETS):
-        shards.append(total // shard_bytes)
-        total += sizes.get(b) or 0
-    return low, width, shards
+def _payload_key(page_id: Column, url: Column, digest: Column) -> Column:
+    """What splits an id between shards: its payload, as equal payloads of an id belong together; without an id the url too."""
+    return F.xxhash64(digest, F.when(page_id.isNull(), url))
+
+
+def shard_borders(facts: DataFrame, shard_bytes: int) -> list[tuple[int | None, int]]:
+    """The least (page_id, key) of each shard but the first: exact quantiles of bytes, SHARDS of them at most.
+
+    Keys are dealt to ranges; bytes are summed up within each range, and over the
+    ranges, so no task sees all keys.
+    """
+    spark = facts.sparkSession
+    keys = facts.groupBy("page_id", "key").agg(F.sum("bytes").alias("b"))
+    keys = keys.repartitionByRange(partitions(spark), F.col("page_id").asc_nulls_first(), "key").withColumn("p", F.spark_partition_id())
+    keys = cut(keys, "keys")
+    sums = keys.groupBy("p").agg(F.sum("b").alias("s")).orderBy("p").collect()  # one row for each range
+    total, base = 0, {}
+    for r in sums:
+        base[r["p"]] = total
+        total += r["s"]
+    step = max(shard_bytes, math.ceil(total / SHARDS))
+    if total <= step:
+        return []
+    bases = spark.createDataFrame(list(base.items()), "p int, base long")
+    order = W.partitionBy("p").orderBy(F.col("page_id").asc_nulls_first(), "key").rowsBetween(W.unboundedPreceding, -1)
+    placed = keys.withColumn("before", F.coalesce(F.sum("b").over(order), F.lit(0))).join(F.broadcast(bases), "p")
+    placed = placed.withColumn("shard", F.floor((F.col("base") + F.col("before")) / step))
+    firsts = placed.groupBy("shard").agg(F.min(F.struct("page_id", "key")).alias("f")).orderBy("shard").select("f.*").collect()
+    return [(r["page_id"], r["key"]) for r in firsts[1:]]
+
+
+def _shard_of(borders: list[tuple[int | None, int]]) -> Column:
+    """How many borders are not above (page_id, key): a binary search in a constant."""
+    if not borders:
+        return F.lit(0)
+    rows = json.dumps([{"page_id": i, "key": k} for i, k in borders])
+    edges = F.from_json(F.lit(rows), "array<struct<page_id:bigint,key:bigint>>")
+    steps = F.array(*[F.lit(1 << b) for b in range(len(borders).bit_length() - 1, -1, -1)])
+    own = F.struct("page_id", "key")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(borders)) & (F.get(edges, at + step - 1) <= own), at + step).otherwise(at))
 
 
 def write_warc(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", html: str = "html",
@@ -194,33 +223,27 @@ def write_warc(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url
     """Write ``pages`` under ``uri`` and commit; -> the manifest's rows.
 
     Null payloads are empty. Null urls have no target header. Rows without an id
-    go to the first shard and are responses. Repeated rows have records of their
-    own: the first is the response, the others revisit it. An empty table gives a
-    manifest without files. A reader that finds no manifest finds no archive.
+    come first and are responses. Repeated rows have records of their own: the
+    first is the response, the others revisit it. Many rows of one id are split
+    between shards by payload. An empty table gives a manifest without files. A
+    reader that finds no manifest finds no archive.
     """
     spark = pages.sparkSession
     ship(spark)
     body = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    plain = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html"))
-    facts = cut(plain.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("digest")), "facts")
-    low, width, shards = shard_ranges(facts, shard_bytes)
+    plain = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html")).withColumn("digest", F.sha2("html", 256))
+    plain = plain.withColumn("key", _payload_key(F.col("page_id"), F.col("url"), F.col("digest")))
+    facts = cut(plain.select("page_id", "key", F.octet_length("html").cast("long").alias("bytes"), "digest"), "facts")
+    borders = shard_borders(facts, shard_bytes)
     # ids by payload: sums meet, not rows; only payloads that occur again go on
     equal = facts.filter((F.col("bytes") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
-    again = facts.filter(F.col("page_id").isNotNull()).join(equal.filter("n > 1"), "digest").select("page_id", "digest", "refers_to").distinct()
-    shard = F.get(F.array(*[F.lit(x) for x in sorted(set(shards))]), F.lit(0))  # for one shard
-    if len(set(shards)) > 1:
-        # the least bucket of each further shard: a sum of comparisons, as many as shards
-        firsts = [shards.index(x) for x in sorted(set(shards))[1:]]
-        edges = F.array(*[F.lit(x) for x in firsts])
-        bucket = F.floor((F.col("page_id") - low) / width).cast("int")
-        shard = F.coalesce(F.size(F.filter(edges, lambda e: e <= bucket)), F.lit(0))
-    rows = plain.select("page_id", F.lit(1).alias("tag"), "url", "html", F.sha2("html", 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    marks = again.select("page_id", F.lit(0).alias("tag"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to")
-    both = rows.unionByName(marks).withColumn("shard", shard.cast("int"))
-    number = len(set(shards))
-    dealt = both.repartitionByRange(max(1, number), "shard").sortWithinPartitions("shard", "page_id", "tag", "url", "digest")
+    again = facts.filter(F.col("page_id").isNotNull()).join(equal.filter("n > 1"), "digest").select("page_id", "key", "digest", "refers_to").distinct()
+    rows = plain.select("page_id", "key", F.lit(1).alias("tag"), "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"))
+    marks = again.select("page_id", "key", F.lit(0).alias("tag"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to")
+    both = rows.unionByName(marks).withColumn("shard", _shard_of(borders).cast("int"))
+    dealt = both.repartitionByRange(len(borders) + 1, "shard").sortWithinPartitions("shard", "page_id", "tag", "url", "digest")
     files = dealt.select("shard", "page_id", "tag", "url", "html", "digest", "refers_to").mapInArrow(_write(uri, roll_bytes), FILES)
-    files.coalesce(max(1, number)).write.mode("overwrite").parquet(f"{uri}/_manifest-temporary")
+    files.write.mode("overwrite").parquet(f"{uri}/_manifest-temporary")
     _rename(spark, f"{uri}/_manifest-temporary", f"{uri}/_manifest")
     return manifest(spark, uri)
 
@@ -243,16 +266,18 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 def read_warc(spark: SparkSession, uri: str, payloads: bool = True) -> DataFrame:
     """The committed archive's records; files that the manifest doesn't list are not read, listed ones that are short or changed raise."""
     ship(spark)
-    # rows of the manifest are files, not records
+    # rows of the manifest are files, not records: a task opens its files itself
     listed = manifest(spark, uri).select("name", "bytes", "sha256")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(uri)
-    found = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    files = listed.join(found, "name", "left")
+    files = listed.repartition(max(partitions(spark), math.ceil(listed.count() / 8)), "name")
 
     def run(batches):
+        from pyarrow.fs import FileSystem
+
+        store, root = FileSystem.from_uri(uri)
         for batch in batches:
-            for name, size, sha, content in zip(*(batch.column(i) for i in range(4)), strict=True):
-                data = content.as_py() if content.is_valid else b""
+            for name, size, sha in zip(*(batch.column(i) for i in range(3)), strict=True):
+                with store.open_input_stream(f"{root}/{name.as_py()}", compression=None) as f:  # bytes of ROLL_BYTES and a record
+                    data = f.read()
                 if len(data) != size.as_py() or hashlib.sha256(data).hexdigest() != sha.as_py():
                     raise ValueError(f"{name.as_py()} is not what the manifest lists")
                 out: list[list] = [[] for _ in range(7)]
@@ -283,7 +308,7 @@ def read_warc(spark: SparkSession, uri: str, payloads: bool = True) -> DataFrame
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uri = f"{shared_dir(spark)}/skein/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
+    uri = folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), uri)
     return read_warc(spark, uri, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
