@@ -20,7 +20,7 @@ from skein.llm.words import chunks, mix64, word_hashes
 BUCKETS = 1 << 16
 #: Labelled rows that the target model is fitted on at most, those of least hash.
 FIT_ROWS = 20_000
-#: Words to which a text's mean log ratio is scaled.
+#: N-grams to which a text's mean log ratio is scaled: those of about a hundred words, a short text.
 SCALE = 200.0
 SEED = 1
 
@@ -67,7 +67,14 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", scale: float = SCALE) -> DataFrame:
-    """All columns of ``docs`` but the text in ``_row``, with n_grams and log_weight (texts without words: -1e9)."""
+    """All columns of ``docs`` but the text in ``_row``, with n_grams, log_ratio and log_weight (texts without words: -1e9).
+
+    log_ratio is the log of P(text | target) / P(text | raw), a sum over its
+    n-grams, so it grows with length and a long text would always win or lose
+    against the noise, whatever it says. log_weight is the ratio that ``scale``
+    n-grams of the text's own mean would have: the models decide, and the noise
+    weighs alike for short and long texts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS doubles
     buckets = len(ratios)
     others = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("_row"), F.col(text).alias("text"))
@@ -78,11 +85,11 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", scale: float
         for batch in batches:
             for first, raw, offsets in chunks(batch.column(1)):
                 grams, counts = _grams(raw, offsets, buckets)
-                sums = np.bincount(np.repeat(np.arange(len(counts)), counts), table_[grams], minlength=len(counts))
+                sums = np.bincount(np.repeat(np.arange(len(counts)), counts), table_[grams], minlength=len(counts)).astype(np.float64)
                 weight = np.where(counts > 0, scale * sums / np.maximum(counts, 1), -1e9)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(weight)], names=["_row", "n_grams", "log_weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(sums), pa.array(weight)], names=["_row", "n_grams", "log_ratio", "log_weight"])
 
-    return others.mapInArrow(run, f"_row {kind}, n_grams long, log_weight double")
+    return others.mapInArrow(run, f"_row {kind}, n_grams long, log_ratio double, log_weight double")
 
 
 def top_k(rows: DataFrame, value: str, k: int, tie: str) -> DataFrame:
@@ -121,7 +128,7 @@ def top_k(rows: DataFrame, value: str, k: int, tie: str) -> DataFrame:
 
 
 def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: float | None = None, fit_rows: int = FIT_ROWS, seed: int = SEED) -> DataFrame:
-    """``_row`` (all columns but the text), n_grams, log_weight, gumbel, kept.
+    """``_row`` (all columns but the text), n_grams, log_ratio, log_weight, gumbel, kept.
 
     Target text: documents labelled good and not toxic, at most ``fit_rows`` of
     them by least hash. Raw text: all documents. ``keep`` is the share to keep;

@@ -439,10 +439,3 @@ def test_importance_held_out(spark):
     good = out["quality"] == 1
     auc = (ranks[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
     assert auc > 0.9
-
-
-def test_pipeline(spark, data):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    pieces = pipeline.run(spark, data)
-    sizes = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), (F.max(F.col("offset") + F.col("length"))).alias("end")).collect()
-    assert sizes and all(r["n"] == r["end"] <= 2048 for r in sizes)
