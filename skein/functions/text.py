@@ -5,12 +5,20 @@ Word and space classes are Unicode ones, as a text editor sees them.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside other lambdas an expression would be computed at each call."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Pieces between white space, none of them empty; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -65,17 +73,25 @@ def clean_transcript(text: Column, dedup: bool = True) -> Column:
 
 
 def drop_repeated_phrases(text: Column) -> Column:
-    """Drop word i (from the fifth on) if the four words before it are, as a set, four words that began 1 to 7 places earlier."""
-    w = words(text)
-    key = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 4, F.lit(0))), lambda j: F.array_join(F.array_sort(F.array_distinct(F.transform(F.slice(w, j + 1, F.lit(4)), F.lower))), "\x01"))
+    """Drop word i (from the fifth on) if the four words before it are, as a set, four words that began 1 to 7 places earlier.
+
+    Linear in the words: the text is split once, each run of four has its key once.
+    """
 
-    def keep(i: Column) -> Column:
-        back = F.sequence(F.greatest(F.lit(0), i - 11), i - 5)
-        again = F.exists(F.when(i >= 5, back).otherwise(F.array().cast("array<int>")), lambda j: F.get(key, j) == F.get(key, i - 4))
-        return ~again
+    def keys(w: Column) -> Column:
+        last = F.size(w) - 4
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda j: F.array_join(F.array_sort(F.array_distinct(F.transform(F.slice(w, j + 1, F.lit(4)), F.lower))), "\x01"))
 
-    kept = F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), keep), lambda i: F.get(w, i))
-    return F.when(F.size(w) < 5, text).otherwise(F.array_join(kept, " "))
+    def kept(both: Column) -> Column:
+        w, key = both["w"], both["key"]
+
+        def keep(word: Column, i: Column) -> Column:
+            back = F.when(i >= 5, F.slice(key, F.greatest(F.lit(1), i - 10), F.least(F.lit(7), i - 4))).otherwise(F.array().cast("array<string>"))
+            return ~F.coalesce(F.array_contains(back, F.get(key, i - 4)), F.lit(False))
+
+        return F.array_join(F.filter(w, keep), " ")
+
+    return let(words(text), lambda w: F.when(F.size(w) < 5, text).otherwise(let(F.struct(w.alias("w"), keys(w).alias("key")), kept)))
 
 
 def light_clean(text: Column) -> Column:
@@ -196,3 +212,85 @@ def chunk(pieces: Column, limit: int = 512, overlap: int = 50) -> Column:
         return F.transform(F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]), lambda c: F.array_join(c, " "))
 
     return F.aggregate(F.filter(pieces, lambda p: F.trim(p) != ""), start, step, finish)
+
+
+def chunk_segments(segments: Column, limit: int = 512) -> Column:
+    """Segments (start, end, content) packed into chunks of at most ``limit`` words, none carried over.
+
+    -> array of (text, word_count, start_seconds, end_seconds, segment_count); a
+    segment is never split, so a chunk can be longer than the limit.
+    """
+    one = "struct<content:array<string>,word_count:int,start_seconds:double,end_seconds:double>"
+    kind = f"struct<done:array<{one}>,open:{one}>"
+    start = F.struct(F.array().cast(f"array<{one}>").alias("done"), F.lit(None).cast(one).alias("open")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        n = word_count(x["content"]).cast("int")
+        begin, end = F.coalesce(x["start"], F.lit(0.0)), F.coalesce(x["end"], F.lit(0.0))
+        content = F.coalesce(x["content"], F.lit(""))
+        fresh = F.struct(F.array(content).alias("content"), n.alias("word_count"), begin.alias("start_seconds"), end.alias("end_seconds"))
+        grown = F.struct(F.concat(s["open"]["content"], F.array(content)).alias("content"), (s["open"]["word_count"] + n).alias("word_count"), s["open"]["start_seconds"].alias("start_seconds"), end.alias("end_seconds"))
+        full = F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), fresh.alias("open")).cast(kind)
+        return (
+            F.when(s["open"].isNull(), F.struct(s["done"].alias("done"), fresh.alias("open")).cast(kind))
+            .when(s["open"]["word_count"] + n > limit, full)
+            .otherwise(F.struct(s["done"].alias("done"), grown.alias("open")).cast(kind))
+        )
+
+    def finish(s: Column) -> Column:
+        every = F.when(s["open"].isNotNull(), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+        return F.transform(every, lambda c: F.struct(F.array_join(c["content"], " ").alias("text"), c["word_count"].alias("word_count"), c["start_seconds"].alias("start_seconds"), c["end_seconds"].alias("end_seconds"), F.size(c["content"]).alias("segment_count")))
+
+    return F.aggregate(segments, start, step, finish)
+
+
+#: English function words that an article in another language should not have.
+FUNCTION_WORDS = ("the", "is", "are", "was", "were", "has", "have", "been", "will", "would", "could", "should", "may", "might")
+
+
+def function_words(text: Column) -> Column:
+    """How often English function words occur, in any case."""
+    return F.regexp_count(text, F.lit(r"(?i)(?U)\b(" + "|".join(FUNCTION_WORDS) + r")\b"))
+
+
+def sentence_ends(text: Column) -> Column:
+    """Runs of sentence terminators, one at least."""
+    return F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
+
+
+def citations(text: Column) -> Column:
+    """Bracketed pieces within a line."""
+    return F.regexp_count(text, F.lit(r"\[[^\n]*?\]"))
+
+
+def music_label(text: Column) -> Column:
+    low = F.lower(text)
+    return F.contains(low, F.lit("[music]")) | F.contains(low, F.lit("(music)"))
+
+
+def render(template: str, values: dict[str, Column]) -> Column:
+    """A template with {{ name }} places; a null value is an empty text, an unknown name an error."""
+    parts: list[Column] = []
+    at = 0
+    for found in re.finditer(r"\{\{\s*(\w+)\s*\}\}", template):
+        parts += [F.lit(template[at : found.start()]), F.coalesce(values[found[1]].cast("string"), F.lit(""))]
+        at = found.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+#: How long texts may become by their use.
+LIMITS = {"description": 5000, "summary": 500, "error": 500, "transcript": 15000, "knowledge": 5000}
+
+
+def truncate(text: Column, use: str) -> Column:
+    return F.substring(text, 1, LIMITS[use])
+
+
+def seo(title: Column, excerpt: Column, keywords: Column) -> dict[str, Column]:
+    """Title of 60 characters, description of 160 (the title's where there is no excerpt), slug, five keywords."""
+    return {
+        "meta_title": F.substring(title, 1, 60),
+        "meta_description": F.substring(F.coalesce(F.nullif(excerpt, F.lit("")), title), 1, 160),
+        "slug": slug(title),
+        "focus_keywords": F.slice(F.coalesce(keywords, F.array().cast("array<string>")), 1, 5),
+    }

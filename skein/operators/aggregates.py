@@ -14,6 +14,11 @@ def total(column: str) -> Column:
     return F.sum(money(column)).cast("double")
 
 
+def mean(column: str) -> Column:
+    """The average as a decimal sum divided once, so that it doesn't depend on order; nulls count as rows without a value."""
+    return total(column) / F.count(column)
+
+
 def total_if(column: str, condition: Column) -> Column:
     """Null where no row meets the condition, as a filtered sum is."""
     return F.sum(F.when(condition, money(column))).cast("double")
@@ -31,18 +36,34 @@ def histogram(df: DataFrame, value: str, bounds: list[float], *keys: str) -> Dat
     return counts.select(*keys, F.inline(each))
 
 
-def percentiles(value: str, *shares: float) -> list[Column]:
-    return [F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in shares]
+def percentiles(value: str, *shares: float, rows: int | None = None) -> list[Column]:
+    """Percentiles of a group. The exact ones hold a group's distinct values in a task; where a caller states more ``rows`` than fit, sketches of bounded size give them."""
+    exact = rows is None or rows <= EXACT_ROWS
+    return [(F.percentile(value, F.lit(p)) if exact else F.percentile_approx(value, p, 10_000)).alias(f"p{round(100 * p)}") for p in shares]
+
+
+#: Rows of a group up to which percentiles are exact.
+EXACT_ROWS = 10_000_000
 
 
 def extraction_metrics(df: DataFrame, key: str, confidence: str, low: float = 0.6) -> DataFrame:
     """Mean, least, number and share of low confidences (missing ones are 0.5) for each key."""
-    c = F.coalesce(F.col(confidence), F.lit(0.5))
-    out = df.groupBy(key).agg(F.avg(c).alias("a"), F.min(c).alias("least"), F.count_if(c < low).alias("low"), F.count("*").alias("n"))
-    return out.select(key, F.round("a", 3).alias("mean"), F.round("least", 3).alias("least"), "low", F.round(F.col("low") / F.col("n"), 3).alias("risk"))
+    rows = df.select(key, F.coalesce(F.col(confidence), F.lit(0.5)).alias("_c"))
+    out = rows.groupBy(key).agg(mean("_c").alias("mean"), F.min("_c").alias("least"), F.count_if(F.col("_c") < low).alias("low"), F.count("*").alias("_n"))
+    return out.select(key, "mean", "least", "low", (F.col("low") / F.col("_n")).alias("risk"))
 
 
 def budget_action(spent: Column, limit: Column) -> Column:
     """block, throttle, warn or allow at 100, 90 and 70 per cent of a budget."""
     share = spent * 100 / limit
     return F.when(share >= 100, "block").when(share >= 90, "throttle").when(share >= 70, "warn").otherwise("allow")
+
+
+#: Actions from the mildest on.
+ACTIONS = ("allow", "warn", "throttle", "block")
+
+
+def strictest(*actions: Column) -> Column:
+    """Of several scopes' actions, the most restrictive."""
+    order = F.array(*[F.lit(a) for a in ACTIONS])
+    return F.element_at(order, F.greatest(*[F.array_position(order, a) for a in actions]).cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,51 @@ def trace(lineage: DataFrame, depth: int) -> DataFrame:
     first = lineage.groupBy(F.col("target").alias("node")).agg(F.min_by("source", F.struct("created", "source")).alias("parent"))
     both = first.unionByName(lineage.select(F.col("source").alias("node")).distinct().join(first, "node", "left_anti").withColumn("parent", F.lit(None).cast(lineage.schema["source"].dataType)))
     return roots(both, depth).select(F.col("node").alias("target"), F.col("root").alias("source"), F.col("level").alias("steps"))
+
+
+def merge_aliases(edges: DataFrame, aliases: DataFrame, *ends: str) -> DataFrame:
+    """Edges whose ``ends`` (src, unless named) moved from an alias to its canonical node (alias, canonical), one of each; other columns go."""
+    to = aliases.groupBy("alias").agg(F.min("canonical").alias("_to"))
+    edges = edges.select("src", "dst")
+    for end in ends or ("src",):
+        edges = edges.join(to.withColumnRenamed("alias", end), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return edges.select("src", "dst").distinct()
+
+
+def without(edges: DataFrame, archived: DataFrame, *ends: str) -> DataFrame:
+    """Edges none of whose ``ends`` (both, unless named) is an archived node."""
+    for end in ends or ("src", "dst"):
+        edges = edges.join(archived.select(F.col("node").alias(end)), end, "left_anti")
+    return edges
+
+
+def similar_sets(rows: DataFrame, items: str, least: float) -> DataFrame:
+    """(a, b, similarity, stories_a, stories_b): pairs of classes of equal sets whose Jaccard similarity is over ``least``; a class of several is alike with itself.
+
+    Only classes that share an item meet, counted by item; a <= b.
+    """
+    classes = rows.groupBy(F.sort_array(F.array_distinct(items)).alias("set")).agg(F.count("*").alias("stories"))
+    each = classes.select("set", F.explode("set").alias("_item"))
+    met = pairs_within(each.withColumn("_id", F.array_join("set", "\x01")), "_item", "_id").groupBy(F.col("_x.set").alias("a"), F.col("_y.set").alias("b")).agg(F.count("*").alias("_n"))
+    alike = met.withColumn("similarity", F.col("_n") / (F.size("a") + F.size("b") - F.col("_n"))).filter(F.col("similarity") > least).select("a", "b", "similarity")
+    own = classes.filter("stories > 1").select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity"))
+    first, second = classes.select(F.col("set").alias("a"), F.col("stories").alias("stories_a")), classes.select(F.col("set").alias("b"), F.col("stories").alias("stories_b"))
+    return alike.unionByName(own).join(first, "a").join(second, "b")
+
+
+def lineage_of(lineage: DataFrame, **keys) -> DataFrame:
+    """Lineage rows by equality of the given columns: an object and its type, a parent, a tenant."""
+    for name, value in keys.items():
+        lineage = lineage.filter(F.col(name) == F.lit(value))
+    return lineage
+
+
+def citations(author: Column, year: Column, title: Column, archive: Column, url: Column) -> dict[str, Column]:
+    """A source in four styles."""
+    at = F.concat
+    return {
+        "apa": at(author, F.lit(" ("), year, F.lit("). "), title, F.lit(". "), archive, F.lit(". "), url),
+        "mla": at(author, F.lit('. "'), title, F.lit('." '), archive, F.lit(", "), year, F.lit(", "), url, F.lit(".")),
+        "chicago": at(author, F.lit('. "'), title, F.lit('." '), archive, F.lit(". "), year, F.lit(". "), url, F.lit(".")),
+        "ieee": at(author, F.lit(', "'), title, F.lit(',\" '), archive, F.lit(", "), year, F.lit(". [Online]. Available: "), url),
+    }

@@ -45,13 +45,9 @@ def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return rows.withColumns({"totalItems": F.lit(total), "totalPages": F.lit(pages), "hasNext": F.lit(number < pages), "hasPrev": F.lit(number > 1)})
 
 
-def trailing_window(keys: list[str], seconds: Column, span: int):
-    """The rows of the last ``span`` seconds, the current one included."""
-    return W.partitionBy(*keys).orderBy(seconds).rangeBetween(-span, 0)
-
-
-def trailing(value: Column, keys: list[str], seconds: Column, span: int) -> Column:
-    return F.avg(value).over(trailing_window(keys, seconds, span))
+def trailing_window(keys: list[str], at: Column, span: int):
+    """The rows of the last ``span`` units of ``at`` (a whole number, such as microseconds), the current one included."""
+    return W.partitionBy(*keys).orderBy(at).rangeBetween(-span, 0)
 
 
 def merge_hits(parts: list[DataFrame], distance: str, limit: int, *tie: Column) -> DataFrame:

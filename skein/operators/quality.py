@@ -10,21 +10,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Required fields by object, severity by object, known categories.
+from skein.functions.scalars import clamp, round_even
+from skein.functions.text import citations, function_words, sentence_ends, word_count
+
+#: Required fields by object.
 REQUIRED = {
-    "entities": (("entityId", "name", "entityType"), "high"),
-    "claims": (("claimId", "statement", "category"), "high"),
-    "themes": (("name",), "medium"),
+    "entity": ("entityId", "name", "entityType", "confidence"),
+    "claim": ("claimId", "statement", "confidence", "evidence"),
+    "theme": ("themeId", "name", "confidence"),
 }
-EVIDENCE_STEPS = ((80, 3), (60, 2), (40, 1), (20, 1), (0, 0))
+#: Least confidence -> least number of evidence segments.
+EVIDENCE_STEPS = ((0, 0), (20, 1), (40, 1), (60, 2), (80, 3))
+#: Kinds of entities and of claims; kinds of entities that belong to a region.
+ENTITY_TYPES = ("spirit", "deity", "creature", "person", "location", "object", "phenomenon", "concept", "group", "other")
+CATEGORIES = ("existence", "behavior", "appearance", "location", "history", "origin", "power", "relationship", "ritual", "belief")
+REGIONAL = ("spirit", "deity", "creature")
+#: How many issues and warnings a result lists.
+ISSUES, WARNINGS = 10, 20
 
 EVIDENCE = "array<struct<text:string,speaker:string>>"
 KNOWLEDGE = (
-    f"knowledgeId string, entities array<struct<entityId:string,name:string,entityType:string,confidence:int,region:string,evidence:{EVIDENCE}>>, "
+    "knowledgeId string, "
+    f"entities array<struct<entityId:string,name:string,normalizedName:string,entityType:string,confidence:int,region:string,evidence:{EVIDENCE}>>, "
     f"claims array<struct<claimId:string,statement:string,category:string,confidence:int,entityIds:array<string>,evidence:{EVIDENCE}>>, "
-    "themes array<struct<name:string>>, motifs array<struct<name:string>>, beliefs array<struct<name:string>>, rituals array<struct<name:string>>, "
+    "themes array<struct<themeId:string,name:string,confidence:int>>, motifs array<struct<name:string>>, beliefs array<struct<name:string>>, rituals array<struct<name:string>>, "
     f"contradictions array<struct<contradictionId:string,sides:array<struct<label:string,evidence:{EVIDENCE}>>>>"
 )
+FINDINGS = "array<struct<type:string,target:string,targetId:string,message:string,severity:string>>"
 
 
 def arr(name: str) -> Column:
@@ -38,125 +50,238 @@ def count(c: Column) -> Column:
 
 def required_evidence(confidence: Column) -> Column:
     out = F.lit(0)
-    for bound, n in reversed(EVIDENCE_STEPS):
+    for bound, n in EVIDENCE_STEPS:
         out = F.when(confidence >= bound, n).otherwise(out)
     return out
 
 
-def _issue(kind: str, severity: Column | str, field: Column | str, object_: Column) -> Column:
+def _finding(kind: str, target: str, id_: Column | str, message: Column, severity: Column | str) -> Column:
     as_col = lambda v: F.lit(v) if isinstance(v, str) else v
-    return F.struct(F.lit(kind).alias("kind"), as_col(severity).alias("severity"), as_col(field).alias("field"), object_.cast("string").alias("object"))
+    return F.struct(
+        F.lit(kind).alias("type"), F.lit(target).alias("target"), F.coalesce(as_col(id_), F.lit("unknown")).alias("targetId"),
+        message.alias("message"), as_col(severity).alias("severity"),
+    )
 
 
-NONE = "array<struct<kind:string,severity:string,field:string,object:string>>"
+def _each(name: str, *make) -> Column:
+    """The findings about each element, element by element; a maker gives a finding or null."""
+    return F.flatten(F.transform(arr(name), lambda x: F.array_compact(F.array(*[m(x) for m in make])))).cast(FINDINGS)
 
 
-def _found(name: str, condition, make) -> Column:
-    """An issue for each element that meets the condition."""
-    return F.transform(F.filter(arr(name), condition), make).cast(NONE)
+def _missing(target: str, severity: str):
+    fields = REQUIRED[target]
 
+    def make(x: Column) -> Column:
+        names = F.array_compact(F.array(*[F.when(x[f].isNull(), f) for f in fields]))
+        message = F.concat(F.lit(f"{target.capitalize()} missing required fields: "), F.array_join(names, ", "))
+        return F.when(F.size(names) > 0, _finding("missing_field", target, x[fields[0]], message, severity))
 
-def _missing(name: str, field: str, severity: str, key: str) -> Column:
-    return _found(name, lambda x: x[field].isNull(), lambda x: _issue("missing", severity, field, x[key]))
+    return make
 
 
-def missing_fields() -> Column:
-    parts = []
-    for name, (fields, severity) in REQUIRED.items():
-        for f in fields:
-            parts.append(_missing(name, f, severity, fields[0]))
-    return F.concat(*parts)
+def schema_issues() -> Column:
+    """Stage one, the only one that makes issues: one for an incomplete object, one for an unknown kind."""
 
+    def unknown_type(x: Column) -> Column:
+        kind = x["entityType"]
+        message = F.concat(F.lit("Invalid entity type '"), kind, F.lit(f"'. Must be one of: {', '.join(ENTITY_TYPES)}"))
+        return F.when((kind != "") & ~kind.isin(*ENTITY_TYPES), _finding("invalid_entity_type", "entity", x["entityId"], message, "medium"))
 
-def unknown_kinds(entity_types, categories) -> Column:
-    a = _found("entities", lambda x: (x["entityType"] != "") & ~x["entityType"].isin(*entity_types), lambda x: _issue("type", "medium", "entityType", x["entityId"]))
-    b = _found("claims", lambda x: (x["category"] != "") & ~x["category"].isin(*categories), lambda x: _issue("type", "low", "category", x["claimId"]))
-    return F.concat(a, b)
+    def unknown_category(x: Column) -> Column:
+        kind = x["category"]
+        return F.when((kind != "") & ~kind.isin(*CATEGORIES), _finding("invalid_category", "claim", x["claimId"], F.concat(F.lit("Invalid claim category '"), kind, F.lit("'")), "low"))
 
+    return F.concat(_each("entities", _missing("entity", "high"), unknown_type), _each("claims", _missing("claim", "high"), unknown_category), _each("themes", _missing("theme", "medium")))
 
-def weak_evidence() -> Column:
-    need = lambda x: required_evidence(F.coalesce(x["confidence"], F.lit(0)))
-    claims = _found("claims", lambda x: count(x["evidence"]) < need(x), lambda x: _issue("evidence", F.when(need(x) > 1, "medium").otherwise("low"), "evidence", x["claimId"]))
-    bare = _found("entities", lambda x: count(x["evidence"]) == 0, lambda x: _issue("evidence", "medium", "evidence", x["entityId"]))
-    return F.concat(claims, bare)
 
+def _confidence(x: Column) -> Column:
+    return F.coalesce(x["confidence"], F.lit(0))
 
-def miscalibrated() -> Column:
-    c = lambda x: F.coalesce(x["confidence"], F.lit(0))
-    return F.concat(
-        _found("claims", lambda x: (c(x) >= 80) & (count(x["evidence"]) < 2), lambda x: _issue("calibration", "medium", "confidence", x["claimId"])),
-        _found("claims", lambda x: (c(x) < 20) & (count(x["evidence"]) == 0), lambda x: _issue("calibration", "low", "confidence", x["claimId"])),
-        _found("entities", lambda x: (c(x) >= 90) & (count(x["evidence"]) == 0), lambda x: _issue("calibration", "high", "confidence", x["entityId"])),
-    )
 
+def evidence_warnings() -> Column:
+    def few(x: Column) -> Column:
+        need, n = required_evidence(_confidence(x)), count(x["evidence"])
+        message = F.concat(F.lit("Claim has "), n.cast("string"), F.lit(" evidence segments, expected at least "), need.cast("string"), F.lit(" for confidence "), _confidence(x).cast("string"))
+        return F.when(n < need, _finding("insufficient_evidence", "claim", x["claimId"], message, F.when(need > 1, "medium").otherwise("low")))
+
+    def bare(x: Column) -> Column:
+        message = F.concat(F.lit("Entity '"), F.coalesce(x["name"], F.lit("unknown")), F.lit("' has no evidence"))
+        return F.when(count(x["evidence"]) == 0, _finding("missing_evidence", "entity", x["entityId"], message, "medium"))
+
+    return F.concat(_each("claims", few), _each("entities", bare))
+
+
+def calibration_warnings() -> Column:
+    def high(x: Column) -> Column:
+        c, n = _confidence(x), count(x["evidence"])
+        message = F.concat(F.lit("Confidence "), c.cast("string"), F.lit(" is high but only "), n.cast("string"), F.lit(" evidence(s) provided"))
+        return F.when((c >= 80) & (n < 2), _finding("confidence_mismatch", "claim", x["claimId"], message, "medium"))
+
+    def low(x: Column) -> Column:
+        c = _confidence(x)
+        message = F.concat(F.lit("Claim has low confidence ("), c.cast("string"), F.lit(") and no evidence"))
+        return F.when((c < 20) & (count(x["evidence"]) == 0), _finding("low_confidence_no_evidence", "claim", x["claimId"], message, "low"))
+
+    def sure(x: Column) -> Column:
+        c = _confidence(x)
+        message = F.concat(F.lit("Entity confidence "), c.cast("string"), F.lit(" with zero evidence"))
+        return F.when((c >= 90) & (count(x["evidence"]) == 0), _finding("confidence_mismatch", "entity", x["entityId"], message, "high"))
+
+    return F.concat(_each("claims", high, low), _each("entities", sure))
 
-def orphans() -> Column:
-    known = F.transform(arr("entities"), lambda e: e["entityId"])
-    lost = F.array_except(F.flatten(F.transform(arr("claims"), lambda x: F.coalesce(x["entityIds"], F.array().cast("array<string>")))), known)
-    return F.transform(lost, lambda i: _issue("orphan", "medium", "entityIds", i)).cast(NONE)
 
+def consistency_warnings() -> Column:
+    """References to unknown entities, one for each reference; names that several entities have."""
+    known = F.filter(F.transform(arr("entities"), lambda e: e["entityId"]), lambda i: i != "")
 
-def duplicate_names() -> Column:
-    names = F.transform(arr("entities"), lambda e: F.lower(e["name"]))
-    twice = F.filter(F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) > 1)
-    return F.transform(twice, lambda n: _issue("duplicate", "low", "name", n)).cast(NONE)
+    def orphan(claim: Column) -> Column:
+        lost = F.filter(F.coalesce(claim["entityIds"], F.array().cast("array<string>")), lambda i: ~F.coalesce(F.array_contains(known, i), F.lit(False)))
+        return F.transform(lost, lambda i: _finding("orphaned_entity_reference", "claim", claim["claimId"], F.concat(F.lit("Claim references entity "), F.coalesce(i, F.lit("None")), F.lit(" which is not in entities list")), "medium"))
 
+    names = F.transform(arr("entities"), lambda e: F.lower(F.coalesce(e["normalizedName"], e["name"], F.lit(""))))
+    times = lambda n: F.size(F.filter(names, lambda m: m == n))
+    twice = F.filter(F.array_distinct(names), lambda n: times(n) > 1)
+    repeated = F.transform(twice, lambda n: _finding("possible_duplicate", "entity", "multiple", F.concat(F.lit("Entity name '"), n, F.lit("' appears "), times(n).cast("string"), F.lit(" times, may need normalization merge")), "low"))
+    return F.concat(F.flatten(F.transform(arr("claims"), orphan)).cast(FINDINGS), repeated.cast(FINDINGS))
 
-def contradictions() -> Column:
-    sides = lambda x: F.coalesce(x["sides"], F.array().cast(f"array<struct<label:string,evidence:{EVIDENCE}>>"))
-    few = _found("contradictions", lambda x: F.size(sides(x)) < 2, lambda x: _issue("contradiction", "high", "sides", x["contradictionId"]))
-    bare = F.flatten(F.transform(arr("contradictions"), lambda x: F.transform(F.filter(sides(x), lambda y: count(y["evidence"]) == 0), lambda y: _issue("contradiction", "medium", "evidence", y["label"]))))
-    return F.concat(few, bare.cast(NONE))
 
+def contradiction_warnings() -> Column:
+    def review(x: Column) -> Column:
+        sides = F.coalesce(x["sides"], F.array().cast(f"array<struct<label:string,evidence:{EVIDENCE}>>"))
+        message = F.concat(F.lit("Contradiction has only "), F.size(sides).cast("string"), F.lit(" side(s), expected at least 2"))
+        few = F.array_compact(F.array(F.when(F.size(sides) < 2, _finding("incomplete_contradiction", "contradiction", x["contradictionId"], message, "high")))).cast(FINDINGS)
+        bare = F.filter(sides, lambda y: count(y["evidence"]) == 0)
+        return F.concat(few, F.transform(bare, lambda y: _finding("missing_evidence", "contradiction", x["contradictionId"], F.concat(F.lit("Contradiction side '"), F.coalesce(y["label"], F.lit("unknown")), F.lit("' has no evidence")), "medium")).cast(FINDINGS))
 
-def gaps() -> Column:
-    """Research gaps of a document, as text."""
-    spirits = F.filter(arr("entities"), lambda e: e["entityType"].isin("spirit", "deity", "creature") & e["region"].isNull())
-    speakers = F.array_compact(F.array_distinct(F.flatten(F.transform(arr("claims"), lambda x: F.transform(F.coalesce(x["evidence"], F.array().cast(EVIDENCE)), lambda v: v["speaker"])))))
-    return F.array_compact(
-        F.concat(
-            F.transform(spirits, lambda e: F.concat(F.lit("no region: "), e["name"])),
-            F.array(
-                F.when((F.size(arr("themes")) == 0) & (F.size(arr("entities")) > 0), "no themes"),
-                F.when((F.size(arr("beliefs")) > 0) & (F.size(arr("rituals")) == 0), "no rituals"),
-                F.when((F.size(arr("claims")) > 0) & (F.size(speakers) <= 1), "one speaker"),
-            ),
+    return F.flatten(F.transform(arr("contradictions"), review)).cast(FINDINGS)
+
+
+def gap_warnings() -> Column:
+    """Research gaps; they are warnings like the others."""
+
+    def no_region(x: Column) -> Column:
+        message = F.concat(F.lit("Entity '"), F.coalesce(x["name"], F.lit("unknown")), F.lit("' missing cultural context (region)"))
+        return F.when(x["entityType"].isin(*REGIONAL) & (F.coalesce(x["region"], F.lit("")) == ""), _finding("research_gap", "entity", x["entityId"], message, "medium"))
+
+    speakers = F.flatten(F.transform(arr("claims"), lambda x: F.transform(F.coalesce(x["evidence"], F.array().cast(EVIDENCE)), lambda v: v["speaker"])))
+    seen = F.size(F.array_distinct(F.filter(speakers, lambda v: v != "")))
+    overall = lambda message, severity: _finding("research_gap", "story", "overall", message, severity)
+    story = F.array_compact(
+        F.array(
+            F.when((F.size(arr("themes")) == 0) & (F.size(arr("entities")) > 0), overall(F.lit("No themes extracted despite having entities"), "low")),
+            F.when((F.size(arr("beliefs")) > 0) & (F.size(arr("rituals")) == 0), overall(F.lit("Beliefs present but no associated rituals extracted"), "low")),
+            F.when((F.size(arr("claims")) > 0) & (seen <= 1), overall(F.concat(F.lit("Only "), seen.cast("string"), F.lit(" speaker(s) identified; corroboration recommended")), "medium")),
         )
     )
+    return F.concat(_each("entities", no_region), story.cast(FINDINGS))
 
 
-def validate(docs: DataFrame, entity_types, categories) -> DataFrame:
-    """Scores and issues of knowledge documents; rounding is half away from zero.
+def validate(docs: DataFrame) -> DataFrame:
+    """Scores, issues and warnings of knowledge documents.
 
-    Issues are severe findings, warnings the others; scores count all warnings,
-    the lists keep the first 10 and 20.
+    Issues are what the schema stage finds, whatever its severity; what every
+    later stage finds is a warning, gaps included. Scores count them all; the
+    lists keep the first 10 and 20. A missing confidence counts as 0. Scores are
+    rounded half to even on the binary value.
     """
-    df = docs.withColumn("all", F.concat(missing_fields(), unknown_kinds(entity_types, categories), weak_evidence(), miscalibrated(), orphans(), duplicate_names(), contradictions()))
-    df = df.withColumn("issues", F.filter("all", lambda i: i["severity"] == "high")).withColumn("warnings", F.filter("all", lambda i: i["severity"] != "high"))
-    clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    df = docs.withColumns({"all_issues": schema_issues(), "all_evidence": evidence_warnings()})
+    df = df.withColumn("all_warnings", F.concat("all_evidence", calibration_warnings(), consistency_warnings(), contradiction_warnings(), gap_warnings()))
     has = lambda n: F.when(F.size(arr(n)) > 0, 1.0).otherwise(0.0)
-    conf = F.concat(F.transform(arr("claims"), lambda x: x["confidence"]), F.transform(arr("entities"), lambda x: x["confidence"]))
-    mean = F.when(F.size(conf) > 0, F.aggregate(conf, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0)) / 100.0) / F.size(conf)).otherwise(0.0)
-    weak = F.size(F.filter("warnings", lambda i: i["kind"] == "evidence"))
+    conf = F.transform(F.concat(F.transform(arr("claims"), _confidence), F.transform(arr("entities"), _confidence)), lambda c: c / 100.0)
+    mean = F.when(F.size(conf) > 0, F.aggregate(conf, F.lit(0.0), lambda s, x: s + x) / F.size(conf)).otherwise(0.0)
     df = df.withColumns(
         {
-            "completeness": 0.3 * has("entities") + 0.3 * has("claims") + 0.2 * has("themes") + 0.2 * has("motifs"),
-            "confidence": mean,
-            "consistency": clamp(1 - 0.05 * F.size("warnings")),
-            "schema_score": clamp(1 - 0.1 * F.size("issues")),
+            "n_issues": F.size("all_issues"), "n_warnings": F.size("all_warnings"), "n_evidence": F.size("all_evidence"),
+            "_complete": 0.3 * has("entities") + 0.3 * has("claims") + 0.2 * has("themes") + 0.2 * has("motifs"), "_confidence": mean,
         }
-    )
-    overall = 0.25 * F.col("completeness") + 0.25 * F.col("confidence") + 0.2 * F.col("consistency") + 0.2 * F.col("schema_score") + 0.1 * (1 - 0.05 * weak)
-    df = df.withColumn("overall", F.round(clamp(overall), 4)).withColumn("passed", F.col("overall") >= 0.6)
-    return df.select("knowledgeId", "completeness", F.round("confidence", 4).alias("confidence"), "consistency", "schema_score", "overall", "passed", F.slice("issues", 1, 10).alias("issues"), F.slice("warnings", 1, 20).alias("warnings"), gaps().alias("gaps"))
+    )
+    consistency, compliance = clamp(1.0 - F.col("n_warnings") * 0.05), clamp(1.0 - F.col("n_issues") * 0.1)
+    overall = clamp(F.col("_complete") * 0.25 + F.col("_confidence") * 0.25 + consistency * 0.2 + compliance * 0.2 + (1.0 - F.col("n_evidence") * 0.05) * 0.1)
+    df = df.withColumn("overall", round_even(overall, 4))
+    return df.select(
+        "knowledgeId", round_even(F.col("_complete"), 4).alias("completeness"), round_even(F.col("_confidence"), 4).alias("confidence"), round_even(consistency, 4).alias("consistency"),
+        compliance.alias("schema_score"), "overall", (F.col("overall") >= 0.6).alias("passed"), (F.col("n_issues") == 0).alias("schema_valid"),
+        "n_issues", "n_warnings", "n_evidence", F.slice("all_issues", 1, ISSUES).alias("issues"), F.slice("all_warnings", 1, WARNINGS).alias("warnings"),
+        F.transform(F.concat("all_issues", "all_warnings"), lambda f: F.struct(f["type"].alias("type"), f["target"].alias("target"), f["severity"].alias("severity"))).alias("kinds"),
+    )
+
+
+#: Words of a full article, citations of a full score, score from which a review can begin.
+BODY_WORDS, CITATIONS, REVIEW_AT = 150, 3, 0.5
+
+
+def article_metrics(text: Column) -> dict[str, Column]:
+    """Length, language and citation terms of an article, its quality, risk and confidence (from the unrounded quality)."""
+    length = F.least(word_count(text) / float(BODY_WORDS), F.lit(1.0))
+    language = F.greatest(F.lit(0.0), 1.0 - function_words(text) / sentence_ends(text))
+    cited = F.least(citations(text) / float(CITATIONS), F.lit(1.0))
+    q = length * 0.4 + language * 0.3 + cited * 0.3
+    risk = F.greatest(F.lit(0.0), 1.0 - (cited * 0.5 + length * 0.3 + language * 0.2))
+    return {
+        "quality": round_even(q, 2), "risk": round_even(risk, 2), "confidence": F.least(q + 0.2, F.lit(1.0)),
+        "words": word_count(text), "citations": citations(text).cast("long"),
+    }
 
 
-def article_metrics(text: Column, citations: Column, english: Column, sentences: Column) -> dict[str, Column]:
-    length = F.least(F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")) / 150.0, F.lit(1.0))
-    language = F.greatest(F.lit(0.0), 1 - english / F.greatest(sentences, F.lit(1)))
-    cited = F.least(citations / 3.0, F.lit(1.0))
-    q = 0.4 * length + 0.3 * language + 0.3 * cited
-    return {"quality": F.round(q, 2), "risk": F.round(F.greatest(F.lit(0.0), 1 - (0.5 * cited + 0.3 * length + 0.2 * language)), 2), "confidence": F.least(q + 0.2, F.lit(1.0))}
+def review_status(quality: Column) -> Column:
+    return F.when(quality > REVIEW_AT, "pending_review").otherwise("needs_revision")
+
+
+#: Least score of a document that goes on to the graph.
+GATE = 0.7
+
+
+def quality_gate(scored: DataFrame, score: str, ready: str) -> DataFrame:
+    """Add ``route`` (graph or review) and, for those held back, the dead-letter record ``dead``: reason and score.
+
+    An unknown score counts as 0, an unknown readiness as not ready.
+    """
+    value, good = F.coalesce(F.col(score), F.lit(0.0)), F.coalesce(F.col(ready), F.lit(False))
+    passed = (value >= GATE) & good
+    reason = F.when(value < GATE, "quality_below_threshold").otherwise("not_ready_for_graph")
+    dead = F.struct(reason.alias("reason"), value.alias("score"), F.lit("NEEDS_REVIEW").alias("status"))
+    return scored.withColumn("route", F.when(passed, "graph").otherwise("review")).withColumn("dead", F.when(~passed, dead))
+
+
+def knowledge_state(confidence: Column) -> Column:
+    """Above 0.9 verified, above 0.7 for review, under 0.5 rejected, else as extracted."""
+    return F.when(confidence > 0.9, "VERIFIED").when(confidence > 0.7, "REVIEW_REQUIRED").when(confidence < 0.5, "REJECTED").otherwise("EXTRACTED")
+
+
+#: Fixed values: (metric, weight, whether less is better, gate) of a prompt version.
+PROMPT_METRICS = (
+    ("accuracy", 0.40, False, 0.85), ("completeness", 0.20, False, 0.90), ("hallucination_rate", 0.20, True, 0.05),
+    ("consistency", 0.10, True, 0.10), ("cost_efficiency", 0.05, False, 0.80), ("latency_regression", 0.05, True, None),
+)
+LATENCY_SECONDS = 30
+
+
+def prompt_quality(runs: DataFrame) -> DataFrame:
+    """Add ``quality_score`` and ``deployable`` (every gate holds) to rows with the prompt metrics and latency_p95; an unknown metric holds no gate."""
+    score, gates = F.lit(0.0), F.coalesce(F.col("latency_p95") <= LATENCY_SECONDS, F.lit(False))
+    for name, weight, less, gate in PROMPT_METRICS:
+        value = F.col(name)
+        score = score + (1.0 - value if less else value) * weight
+        if gate is not None:
+            gates = gates & F.coalesce(value <= gate if less else value >= gate, F.lit(False))
+    return runs.withColumns({"quality_score": score, "deployable": gates})
+
+
+def rollback_triggers(now: DataFrame) -> DataFrame:
+    """Rows (quality, quality_before, hallucination_1h, tokens, tokens_before) -> the triggers that fire, and the action.
+
+    Fixed values: quality down by over 5 %, hallucinations in over 10 % of an
+    hour's calls (both automatic), tokens up by over 50 % (by an operator).
+    """
+    fired = F.array_compact(
+        F.array(
+            F.when(F.col("quality") < 0.95 * F.col("quality_before"), "quality_drop"),
+            F.when(F.col("hallucination_1h") > 0.10, "hallucination_rate"),
+            F.when(F.col("tokens") > 1.5 * F.col("tokens_before"), "token_usage"),
+        )
+    )
+    automatic = F.array_contains("triggers", "quality_drop") | F.array_contains("triggers", "hallucination_rate")
+    return now.withColumn("triggers", fired).withColumn("action", F.when(automatic, "automatic").when(F.size("triggers") > 0, "operator").otherwise("none"))
 
 
 def article_score(text: Column, names: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Share of the vector score in a hybrid search unless the caller says otherwise.
+ALPHA = 0.75
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,10 +20,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, query: list[float], key: str, vector: str, k: int) -> DataFrame:
-    """The k most similar vectors to one query: a scan and a top-k."""
-    score = cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
-    return vectors.select(key, score.alias("score")).orderBy(F.col("score").desc(), key).limit(k)
+def similarities(vectors: DataFrame, query: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, score) of all vectors to the one of ``query``, a frame of one row (or none: then there is nothing to compare)."""
+    one = query.select(F.col(vector).alias("_q")).limit(1)
+    return vectors.join(F.broadcast(one)).select(key, cosine(F.col(vector), F.col("_q")).alias("score"))
+
+
+def nearest_to(vectors: DataFrame, query: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """The k most similar vectors to that of ``query``: a scan and a top-k."""
+    return similarities(vectors, query, key, vector).orderBy(F.col("score").desc(), key).limit(k)
+
+
+def _signatures(vector: Column, planes: int, bits: int, dim: int, seed: int) -> Column:
+    """For each of several tables of random planes, the table's number and on which sides the vector lies."""
+
+    def side(table: int, bit: int) -> Column:
+        signs = F.array(*[F.lit(1.0 if hash((seed, table, bit, i)) & 1 else -1.0) for i in range(dim)])
+        return F.when(dot(vector, signs) >= 0, 1 << bit).otherwise(0)
+
+    return F.array(*[F.struct(F.lit(p).alias("table"), sum((side(p, b) for b in range(1, bits)), side(p, 0)).alias("code")) for p in range(planes)])
+
+
+def approximate_nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, dim: int, planes: int = 36, bits: int = 5, seed: int = 17) -> DataFrame:
+    """(query, key, score): the k best of the vectors that share a bucket of random planes with a query, scored exactly.
+
+    queries: (query, ``vector``). More planes find more, more bits look at less.
+    A bucket is a join key; a query meets a vector once, however many buckets
+    they share.
+    """
+    own = vectors.select(key, F.col(vector).alias("_v"), F.explode(_signatures(F.col(vector), planes, bits, dim, seed)).alias("_s"))
+    asked = queries.select("query", F.col(vector).alias("_q"), F.explode(_signatures(F.col(vector), planes, bits, dim, seed)).alias("_s"))
+    met = own.select(key, "_s").join(asked.select("query", "_s"), "_s").select("query", key).distinct()
+    scored = met.join(vectors.select(key, F.col(vector).alias("_v")), key).join(queries.select("query", F.col(vector).alias("_q")), "query")
+    scored = scored.select("query", key, cosine(F.col("_v"), F.col("_q")).alias("score"))
+    return scored.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), key))).filter(F.col("_r") <= k).drop("_r")
 
 
 def postings(docs: DataFrame, key: str, words: Column, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -43,12 +75,36 @@ def bm25(docs: DataFrame, key: str, words: Column, query: list[str]) -> DataFram
     return tf.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(idf * part).alias("score"))
 
 
-def hybrid(vector: DataFrame, keyword: DataFrame, key: str, alpha: float) -> DataFrame:
-    """alpha * vector + (1 - alpha) * keyword, each divided by its largest score; 0 is a valid alpha."""
-    top = W.partitionBy(F.lit(0))
-    v = vector.select(key, F.try_divide("score", F.max("score").over(top)).alias("v"))
-    k = keyword.select(key, F.try_divide("score", F.max("score").over(top)).alias("k"))
-    return v.join(k, key, "full").select(key, (alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("k", F.lit(0.0))).alias("score"))
+def _scaled(hits: DataFrame, key: str, name: str) -> DataFrame:
+    """Scores divided by the largest; that is one row, which is broadcast."""
+    top = hits.agg(F.max("score").alias("_top"))
+    return hits.select(key, "score").join(F.broadcast(top)).select(key, F.try_divide("score", "_top").alias(name))
+
+
+def hybrid(vector: DataFrame, keyword: DataFrame, key: str, alpha: float | None = None) -> DataFrame:
+    """alpha * vector + (1 - alpha) * keyword, each divided by its largest score; without alpha the default, 0 is a valid one."""
+    alpha = ALPHA if alpha is None else alpha
+    both = _scaled(vector, key, "v").join(_scaled(keyword, key, "k"), key, "full")
+    return both.select(key, (alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("k", F.lit(0.0))).alias("score"))
+
+
+#: Weights of relevance factors, the caller's to change: text and meaning most, popularity least.
+FACTORS = {"text": 0.25, "semantic": 0.25, "relationship": 0.15, "evidence": 0.15, "review": 0.1, "popularity": 0.03, "freshness": 0.07}
+
+
+def relevance(factors: DataFrame, key: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """(key, relevance): factors between 0 and 1, weighed; a row's unknown factors leave their weight to the others."""
+    got, held = F.lit(0.0), F.lit(0.0)
+    for name, weight in (weights or FACTORS).items():
+        clamped = F.when(F.col(name) > 1, 1.0).when(F.col(name) > 0, F.col(name)).otherwise(0.0)
+        got = got + clamped * weight
+        held = held + F.when(F.col(name).isNotNull(), weight).otherwise(0.0)
+    return factors.select(key, F.coalesce(F.try_divide(got, held), F.lit(0.0)).alias("relevance"))
+
+
+def freshness(at: Column, now: Column, half_life_days: int = 180) -> Column:
+    """1 for what is new, halved with every half-life."""
+    return F.pow(F.lit(0.5), F.greatest(F.lit(0.0), F.date_diff(now, at)) / float(half_life_days))
 
 
 def trigrams(text: Column) -> Column:

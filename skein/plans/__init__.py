@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating", "scalars", "domain", "events", "sources", "more")
+FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating", "scalars", "domain", "knowledge", "states", "events", "sources", "more")
 
 
 def load() -> None:

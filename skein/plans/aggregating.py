@@ -66,9 +66,10 @@ def case_counts(s, d):
     return t(s, d, "orders").groupBy("o_orderpriority").agg(*[F.count_if(F.col("o_orderstatus") == k).alias(n) for k, n in (("F", "done"), ("O", "open"), ("P", "failed"))])
 
 
-@query("ag10_summary", "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1")
+@query("ag10_summary", "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, sum(value::DECIMAL(18,4))::DOUBLE / count(*) AS mean FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1")
 def summary(s, d):
-    return t(s, d, "events").filter("ts >= TIMESTAMP_NTZ '2024-01-24 00:00:00'").groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    recent = t(s, d, "events").filter("ts >= TIMESTAMP_NTZ '2024-01-24 00:00:00'")
+    return recent.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), a.mean("value").alias("mean"))
 
 
 @query("ag11_having", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS open FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'O') < 3")
@@ -86,10 +87,10 @@ def high_water(s, d):
     return t(s, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("high"))
 
 
-@query("ag14_lag", "SELECT event_type, count(*) AS n, sum(epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT)::BIGINT AS lag FROM events GROUP BY 1")
+@query("ag14_lag", "SELECT event_type, count(*) AS n, sum(epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT)::DOUBLE / count(*) AS mean, max(epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT)::BIGINT AS most FROM events GROUP BY 1")
 def lag(s, d):
     age = F.unix_timestamp(F.lit("2024-02-01 00:00:00")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(age).alias("lag"))
+    return t(s, d, "events").withColumn("age", age).groupBy("event_type").agg(F.count("*").alias("n"), a.mean("age").alias("mean"), F.max("age").alias("most"))
 
 
 @query("ag15_monthly_summary", f"SELECT date_trunc('month', ts)::DATE AS month, event_type, count(*) AS calls, {SUM} AS cost, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
@@ -102,15 +103,16 @@ def collect(s, d):
     return t(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_set("l_suppkey")), lambda x: x.cast("string")), ",").alias("supps"))
 
 
-@query("ag17_extraction_metrics", "WITH c AS (SELECT l_orderkey, l_discount * 10 AS v FROM lineitem) SELECT l_orderkey, round(min(v), 3) AS least, count(*) FILTER (WHERE v < 0.6) AS low, round(count(*) FILTER (WHERE v < 0.6) / count(*), 3) AS risk FROM c GROUP BY 1")
+@query("ag17_extraction_metrics", "WITH c AS (SELECT l_orderkey, coalesce(CASE WHEN l_linenumber % 5 > 0 THEN l_discount * 10 END, 0.5) AS v FROM lineitem) SELECT l_orderkey, sum(v::DECIMAL(18,4))::DOUBLE / count(*) AS mean, min(v) AS least, count(*) FILTER (WHERE v < 0.6) AS low, count(*) FILTER (WHERE v < 0.6) / count(*) AS risk FROM c GROUP BY 1")
 def extraction(s, d):
-    df = t(s, d, "lineitem").withColumn("c", F.col("l_discount") * 10)
-    return a.extraction_metrics(df, "l_orderkey", "c").drop("mean")
+    df = t(s, d, "lineitem").withColumn("c", F.when(F.col("l_linenumber") % 5 > 0, F.col("l_discount") * 10))
+    return a.extraction_metrics(df, "l_orderkey", "c")
 
 
-@query("ag18_transcript_stats", "SELECT conv_id, count(*) AS segments, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words FROM conversations GROUP BY 1")
+@query("ag18_transcript_stats", "SELECT conv_id, count(*) AS segments, sum(n)::BIGINT AS words, sum(n)::DOUBLE / count(*) AS mean FROM (SELECT conv_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n FROM conversations) GROUP BY 1")
 def transcripts(s, d):
-    return t(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum(F.size(words(F.col("text")))).alias("words"))
+    sized = t(s, d, "conversations").select("conv_id", F.size(words(F.col("text"))).alias("n"))
+    return sized.groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum("n").alias("words"), a.mean("n").alias("mean"))
 
 
 @query("ag19_type_token", "WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents) SELECT doc_id, round(len(list_distinct(w)) / len(w)::DOUBLE, 6) AS ttr FROM w WHERE len(w) > 0")
@@ -176,10 +178,10 @@ def co_occurrence(s, d):
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("ag30_by_json", "SELECT (props->>'k')::BIGINT AS k, count(*) AS n, max((props->>'k')::DOUBLE) AS most FROM events GROUP BY 1")
+@query("ag30_by_json", "SELECT (props->>'k')::BIGINT % 7 AS k, count(*) AS n, sum((props->>'k')::DECIMAL(18,4))::DOUBLE / count(*) AS mean FROM events GROUP BY 1")
 def by_json(s, d):
     k = F.variant_get(F.parse_json("props"), "$.k", "long")
-    return t(s, d, "events").select(k.alias("k")).groupBy("k").agg(F.count("*").alias("n"), F.max(F.col("k").cast("double")).alias("most"))
+    return t(s, d, "events").select(k.alias("v"), (k % 7).alias("k")).groupBy("k").agg(F.count("*").alias("n"), a.mean("v").alias("mean"))
 
 
 @query("ag31_deployments", "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS rollbacks FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY GROUP BY 1")
@@ -199,7 +201,11 @@ def crawl_summary(s, d):
     return t(s, d, "pages").agg(F.count("*").alias("videos"), F.count_if(has).alias("with_text"), F.count_if(~has).alias("without_text"))
 
 
-@query("rt16_budget", "WITH s AS (SELECT user_id, sum(value::DECIMAL(18,4))::DOUBLE AS spent FROM events GROUP BY 1) SELECT user_id, CASE WHEN spent * 100 / 500 >= 100 THEN 'block' WHEN spent * 100 / 500 >= 90 THEN 'throttle' WHEN spent * 100 / 500 >= 70 THEN 'warn' ELSE 'allow' END AS action FROM s")
+@query("rt16_budget", """WITH s AS (SELECT user_id, user_id % 10 AS team, sum(value::DECIMAL(18,4))::DOUBLE AS spent FROM events GROUP BY ALL), g AS (SELECT team, sum(spent::DECIMAL(18,4))::DOUBLE AS spent FROM s GROUP BY 1),
+p AS (SELECT user_id, spent * 100 / 500 AS share FROM s UNION ALL SELECT user_id, g.spent * 100 / 40000 FROM s JOIN g USING (team))
+SELECT user_id, CASE WHEN max(share) >= 100 THEN 'block' WHEN max(share) >= 90 THEN 'throttle' WHEN max(share) >= 70 THEN 'warn' ELSE 'allow' END AS action FROM p GROUP BY 1""")
 def budget(s, d):
-    spent = t(s, d, "events").groupBy("user_id").agg(a.total("value").alias("spent"))
-    return spent.select("user_id", a.budget_action(F.col("spent"), F.lit(500)).alias("action"))
+    """Two scopes, user and team: the stricter action holds."""
+    own = t(s, d, "events").groupBy("user_id").agg(a.total("value").alias("spent")).withColumn("team", F.col("user_id") % 10)
+    team = own.groupBy("team").agg(a.total("spent").alias("of_team"))
+    return own.join(team, "team").select("user_id", a.strictest(a.budget_action(F.col("spent"), F.lit(500)), a.budget_action(F.col("of_team"), F.lit(40_000))).alias("action"))

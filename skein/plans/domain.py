@@ -1,5 +1,6 @@
 """QA, NM, RT, AC, VS, GR, LN families over the test tables."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import scalars as sc
@@ -8,70 +9,6 @@ from skein.operators import access, graph, quality, resolve, routing, search
 from skein.registry import query
 from skein.session import table as t
 
-TYPES = ("person", "place", "spirit")
-CATEGORIES = ("origin", "ritual")
-
-
-def knowledge(s, d):
-    """Knowledge documents made of conversations: turns are claims, roles entities."""
-    rows = t(s, d, "conversations")
-    conf = (F.col("turn") * 37 + F.col("conv_id") * 11) % 101
-    proof = F.slice(F.array(*[F.struct(F.col("text").alias("text"), F.col("role").alias("speaker"))] * 3), F.lit(1), (F.col("turn") % 4).cast("int")).cast(quality.EVIDENCE)
-    claim = F.struct(F.concat_ws("-", "conv_id", "turn").alias("claimId"), F.when(F.col("turn") % 5 > 0, F.col("text")).alias("statement"), F.when(F.col("turn") % 2 == 0, "origin").otherwise("odd").alias("category"), conf.cast("int").alias("confidence"), F.array("role").alias("entityIds"), proof.alias("evidence"))
-    entity = F.struct(F.when(F.col("turn") % 3 > 0, F.col("role")).alias("entityId"), F.col("role").alias("name"), F.when(F.col("turn") % 2 == 0, "spirit").otherwise("thing").alias("entityType"), conf.cast("int").alias("confidence"), F.lit(None).cast("string").alias("region"), proof.alias("evidence"))
-    docs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", claim.alias("c"), entity.alias("e")))).alias("all"))
-    none = F.lit(None)
-    named = "array<struct<name:string>>"
-    return docs.select(
-        F.col("conv_id").cast("string").alias("knowledgeId"), F.col("all.e").alias("entities"), F.col("all.c").alias("claims"),
-        F.when(F.col("conv_id") % 2 == 0, F.array(F.struct(F.lit("x").alias("name")))).cast(named).alias("themes"), none.cast(named).alias("motifs"), none.cast(named).alias("beliefs"), none.cast(named).alias("rituals"),
-        none.cast(f"array<struct<contradictionId:string,sides:array<struct<label:string,evidence:{quality.EVIDENCE}>>>>").alias("contradictions"),
-    )
-
-
-@query("qa01_13_validate")
-def validate(s, d):
-    return quality.validate(knowledge(s, d), TYPES, CATEGORIES)
-
-
-CONF = "((turn * 37 + conv_id * 11) % 101)"
-NEED = f"CASE WHEN {CONF} >= 80 THEN 3 WHEN {CONF} >= 60 THEN 2 WHEN {CONF} >= 20 THEN 1 ELSE 0 END"
-
-
-@query("qa03_evidence", f"SELECT conv_id, count(*) FILTER (WHERE turn % 4 < {NEED} AND turn % 4 < 4) AS weak FROM conversations GROUP BY 1")
-def evidence(s, d):
-    conf = (F.col("turn") * 37 + F.col("conv_id") * 11) % 101
-    return t(s, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("turn") % 4 < quality.required_evidence(conf)).alias("weak"))
-
-
-@query("qa10_completeness", "SELECT conv_id::VARCHAR AS \"knowledgeId\", CASE WHEN conv_id % 2 = 0 THEN 0.8 ELSE 0.6 END::DOUBLE AS completeness FROM (SELECT DISTINCT conv_id FROM conversations)")
-def completeness(s, d):
-    return quality.validate(knowledge(s, d), TYPES, CATEGORIES).select("knowledgeId", F.round("completeness", 6).alias("completeness"))
-
-
-@query("qa11_confidence", f"SELECT conv_id::VARCHAR AS \"knowledgeId\", (sum({CONF}) / count(*)::DOUBLE / 100)::DECIMAL(9,3)::DOUBLE AS confidence FROM conversations GROUP BY 1")
-def confidence(s, d):
-    conf = (F.col("turn") * 37 + F.col("conv_id") * 11) % 101
-    out = t(s, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("knowledgeId")).agg((F.sum(conf) / F.count("*") / 100).alias("c"))
-    return out.select("knowledgeId", F.col("c").cast("decimal(9,3)").cast("double").alias("confidence"))
-
-
-@query("qa14_article_metrics", "SELECT doc_id, least(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) / 150.0, 1.0)::DOUBLE AS length FROM documents")
-def article_metrics(s, d):
-    n = F.size(words(F.col("text")))
-    return t(s, d, "documents").select("doc_id", F.least(n / 150.0, F.lit(1.0)).alias("length"))
-
-
-@query("qa15_article_score", "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE round(1.0 - CASE WHEN length(text) < 500 THEN 0.3 ELSE 0 END - CASE WHEN contains(lower(text), 'the') THEN 0 ELSE 0.2 END, 2) END::DOUBLE AS score FROM documents")
-def article_score(s, d):
-    return t(s, d, "documents").select("doc_id", quality.article_score(F.col("text"), F.array(F.lit("The"))).alias("score"))
-
-
-@query("qa16_status", "SELECT c_custkey, CASE WHEN c_acctbal > 0.5 THEN 'pending_review' ELSE 'needs_revision' END AS status FROM customer")
-def status(s, d):
-    return t(s, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0.5, "pending_review").otherwise("needs_revision").alias("status"))
-
-
 @query("qa17_captions", """WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda v: v <> '') AS w FROM conversations),
 c AS (SELECT conv_id, count(*) AS seg, sum(len(w)) AS n, count(DISTINCT v) AS u, bool_or(contains(lower(array_to_string(w, ' ')), 'ther')) AS music FROM w, unnest(w) x(v) GROUP BY conv_id),
 s AS (SELECT conv_id, count(*) AS seg FROM conversations GROUP BY 1), m AS (SELECT conv_id, count(*) AS n, count(DISTINCT v) AS u FROM w, unnest(w) x(v) GROUP BY 1)
@@ -82,11 +19,6 @@ def captions(s, d):
     return df.select("conv_id", quality.caption_quality(F.col("music"), F.col("seg"), F.size("w"), F.size(F.array_distinct("w"))).alias("quality")).filter("quality is not null")
 
 
-@query("qa18_gate", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'graph' ELSE 'review' END AS route FROM labels")
-def gate(s, d):
-    return t(s, d, "labels").select("doc_id", F.when((F.col("quality") >= 0.7) & (F.col("toxic") == 0), "graph").otherwise("review").alias("route"))
-
-
 @query("qa19_composite", "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_returnflag = 'R' THEN 0.4 * l_discount + 0.6 * l_tax ELSE 0.3 * l_discount + 0.4 * l_tax + 0.3 * 0.5 END, 6) AS score FROM lineitem")
 def composite(s, d):
     a, b = F.col("l_discount"), F.col("l_tax")
@@ -105,58 +37,12 @@ def golden(s, d):
     return quality.regressions(cases).select("p_partkey", "passed", "regressed")
 
 
-@query("qa25_state", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount > 0.09 THEN 'verified' WHEN l_discount > 0.07 THEN 'review' WHEN l_discount < 0.05 THEN 'rejected' ELSE 'pending' END AS state FROM lineitem")
-def state(s, d):
-    c = F.col("l_discount")
-    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(c > 0.09, "verified").when(c > 0.07, "review").when(c < 0.05, "rejected").otherwise("pending").alias("state"))
-
-
 @query("qa26_submission", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def submission(s, d):
     rich = t(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
     return t(s, d, "orders").join(t(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").join(rich, "o_custkey", "left_semi").select("o_orderkey")
 
 
-ALIASES = [("reg", "region", 0), ("AUTOMOBILE", "vehicles", 1), ("furniture", "home", 2), ("FURNITURE", "second", 3)]
-SEG = "CASE lower(c_mktsegment) WHEN 'automobile' THEN 'vehicles' WHEN 'furniture' THEN 'home' ELSE lower(c_mktsegment) END"
-
-
-def segments(s, d):
-    return resolve.canonical(t(s, d, "customer"), s.createDataFrame(ALIASES, "alias string, canonical string, place int"), "c_mktsegment")
-
-
-@query("nm01_observed", f"SELECT {SEG} AS canonical, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS names FROM customer GROUP BY 1")
-def observed(s, d):
-    return resolve.observed(segments(s, d), "c_mktsegment").select("canonical", F.array_join("names", ",").alias("names"))
-
-
-@query("nm02_canonical", f"SELECT c_custkey, {SEG} AS canonical FROM customer")
-def canonical(s, d):
-    return segments(s, d).select("c_custkey", "canonical")
-
-
-@query("nm03_merge", f"SELECT c_nationkey, {SEG} AS canonical, min(c_custkey) AS c_custkey, min_by(c_mktsegment, c_custkey) AS name, max(c_acctbal) AS confidence, count(*) AS merged FROM customer GROUP BY ALL")
-def merge(s, d):
-    e = segments(s, d).select("c_nationkey", "c_custkey", "canonical", F.col("c_mktsegment").alias("name"), F.col("c_acctbal").alias("confidence"), F.array("c_name").alias("evidence"))
-    return resolve.merge(e, "c_nationkey", "c_custkey").select("c_nationkey", "canonical", "c_custkey", "name", "confidence", "merged")
-
-
-@query("nm05_regions", "SELECT n_nationkey, CASE lower(trim(n_name)) WHEN 'nation_1' THEN 'One' ELSE n_name END AS region FROM nation")
-def regions(s, d):
-    known = F.create_map(F.lit("nation_1"), F.lit("One"))
-    return t(s, d, "nation").select("n_nationkey", F.coalesce(F.try_element_at(known, F.lower(F.trim("n_name"))), "n_name").alias("region"))
-
-
-@query("nm07_report", f"SELECT count(*) AS names, count(DISTINCT {SEG}) AS canonical, count(*) FILTER (WHERE {SEG} <> lower(c_mktsegment)) AS resolved FROM customer")
-def report(s, d):
-    return segments(s, d).agg(F.count("*").alias("names"), F.count_distinct("canonical").alias("canonical"), F.count_if(F.col("canonical") != F.lower("c_mktsegment")).alias("resolved"))
-
-
-@query("nm08_registry", f"SELECT {SEG} AS canonical, count(DISTINCT c_nationkey) AS stories, min(c_custkey) AS first_seen FROM customer GROUP BY 1")
-def registry(s, d):
-    return resolve.registry(segments(s, d), "c_nationkey", "c_custkey")
-
-
 @query("nm09_find_or_create", "SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY 1")
 def find_or_create(s, d):
     held = t(s, d, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("user_id"))
@@ -174,17 +60,6 @@ def success(s, d):
     return routing.first_success(df, "l_orderkey", "place", "l_partkey").select("l_orderkey", "l_partkey")
 
 
-def moves(s, d):
-    names = ["DISCOVERED", "QUEUED", *routing.STAGES, "FAILED_EXTRACTING", "MANUAL_REVIEW_REQUIRED", "COMPLETED"]
-    pick = lambda c: F.element_at(F.array(*[F.lit(n) for n in names]), (c % len(names) + 1).cast("int"))
-    return t(s, d, "events").select("event_id", pick(F.col("event_id")).alias("current"), pick(F.col("user_id")).alias("new"), (F.col("event_id") % 5).alias("retries"))
-
-
-@query("rt05_state_machine")
-def machine(s, d):
-    return routing.check_moves(moves(s, d), routing.transitions(s)).select("event_id", "current", "new", "ok")
-
-
 @query("rt10_expand", "SELECT o_orderkey, step FROM orders, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS step) WHERE step <= CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderpriority = '5-LOW' THEN 2 WHEN o_orderpriority = '1-URGENT' THEN 5 ELSE 4 END")
 def expand(s, d):
     p = F.when(F.col("o_orderpriority") == "5-LOW", "LOW").when(F.col("o_orderpriority") == "1-URGENT", "HIGH")
@@ -192,12 +67,6 @@ def expand(s, d):
     return routing.expand_runs(runs, "kind", "priority").select("o_orderkey", "step")
 
 
-@query("rt12_inherit", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'OWN' END, CASE WHEN c_acctbal < 1000 THEN 'LOW' ELSE c_mktsegment END, 'MEDIUM') AS priority FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
-def inherit(s, d):
-    df = t(s, d, "orders").join(t(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    return df.select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 3 == 0, "OWN"), F.when(F.col("c_acctbal") < 1000, "LOW").otherwise(F.col("c_mktsegment")), F.lit("MEDIUM")).alias("priority"))
-
-
 @query("rt13_outbox", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'PUBLISHED' WHEN event_id % 6 + 1 >= 5 THEN 'DEAD_LETTER' ELSE 'PENDING' END AS status, event_id % 6 + CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS attempts FROM events")
 def outbox(s, d):
     status_, tries = routing.next_step(F.col("event_type") == "view", F.col("event_id") % 6)
@@ -209,12 +78,6 @@ def topic(s, d):
     return t(s, d, "events").select("event_id", routing.topic(F.col("event_type"), {"p": "sales", "v": "views"}, "content").alias("topic"))
 
 
-@query("rt17_retry_class", "SELECT event_type, count(*) AS n, CASE event_type WHEN 'error' THEN 'dead_letter' WHEN 'click' THEN 'retry' ELSE 'none' END AS kind FROM events GROUP BY 1")
-def retry_class(s, d):
-    kinds = s.createDataFrame([("error", "dead_letter"), ("click", "retry")], "event_type string, kind string")
-    return t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).join(F.broadcast(kinds), "event_type", "left").select("event_type", "n", F.coalesce("kind", F.lit("none")).alias("kind"))
-
-
 @query("ac01_permission", "SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS ok FROM customer")
 def permission(s, d):
     perms = F.array(F.lit("building:*"), F.lit("machinery:read"))
@@ -254,8 +117,7 @@ def audit(s, d):
 @query("vs01_nearest", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 10")
 def nearest(s, d):
     v = t(s, d, "embeddings")
-    q = v.filter("vec_id = 0").first()["embedding"]
-    return search.nearest(v, q, "vec_id", "embedding", 10).select("vec_id", F.round("score", 6).alias("score"))
+    return search.nearest_to(v, v.filter("vec_id = 0"), "vec_id", "embedding", 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
 BM = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda v: v <> '') AS w FROM documents),
@@ -276,43 +138,45 @@ def bm25(s, d):
     return search.bm25(t(s, d, "documents"), "doc_id", low_words(), QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("vs04_hybrid", BM + ", v AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings) SELECT coalesce(v.doc_id, b.doc_id) AS doc_id, round(0.75 * coalesce(v.score / (SELECT max(score) FROM v), 0) + 0.25 * coalesce(b.score / (SELECT max(score) FROM b), 0), 6) AS score FROM v FULL JOIN b ON v.doc_id = b.doc_id")
-def hybrid(s, d):
-    v = t(s, d, "embeddings")
-    q = F.array(*[F.lit(float(x)) for x in v.filter("vec_id = 0").first()["embedding"]])
-    near = v.select(F.col("vec_id").alias("doc_id"), search.cosine(F.col("embedding"), q).alias("score"))
-    words_ = search.bm25(t(s, d, "documents"), "doc_id", low_words(), QUERY)
-    return search.hybrid(near, words_, "doc_id", 0.75).select("doc_id", F.round("score", 6).alias("score"))
-
-
-@query("vs08_trigrams", """WITH g AS (SELECT p_partkey, p_name, list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substring('  ' || lower(p_name) || ' ', i, 3))) AS g FROM part),
-q AS (SELECT list_distinct(list_transform(range(1, length('part') + 2), lambda i: substring('  part ', i, 3))) AS q)
-SELECT p_partkey, round(len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE, 6) AS score FROM g, q WHERE len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE >= 0.1""")
-def trigram_search(s, d):
-    return search.similar_names(t(s, d, "part"), "p_name", "part", 0.1).select("p_partkey", F.round("score", 6).alias("score"))
+HYBRID = BM + ", v AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings) SELECT coalesce(v.doc_id, b.doc_id) AS doc_id, round({a} * coalesce(v.score / (SELECT max(score) FROM v), 0) + {b} * coalesce(b.score / (SELECT max(score) FROM b), 0), 6) AS score FROM v FULL JOIN b ON v.doc_id = b.doc_id"
 
 
-EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_partkey <= 60"
+def hybrid_search(s, d, alpha):
+    v = t(s, d, "embeddings")
+    near = search.similarities(v, v.filter("vec_id = 0"), "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
+    words_ = search.bm25(t(s, d, "documents"), "doc_id", low_words(), QUERY)
+    return search.hybrid(near, words_, "doc_id", alpha).select("doc_id", F.round("score", 6).alias("score"))
 
 
-def edges(s, d):
-    return t(s, d, "lineitem").filter("l_partkey <= 60").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+@query("vs04_hybrid", HYBRID.format(a="0.75", b="0.25"))
+def hybrid(s, d):
+    return hybrid_search(s, d, None)
 
 
-@query("gr03_neighbours", f"WITH e AS ({EDGES}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT s_suppkey, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst), '') AS near FROM supplier LEFT JOIN u ON src = s_suppkey GROUP BY 1")
-def neighbours(s, d):
-    return graph.neighbours(t(s, d, "supplier"), edges(s, d), "s_suppkey").select("s_suppkey", F.array_join(F.transform("near", lambda v: v.cast("string")), ",").alias("near"))
+@query("vs06_alpha", HYBRID.format(a="0.0", b="1.0"))
+def alpha(s, d):
+    """0 is an alpha like any other: keywords alone."""
+    return hybrid_search(s, d, 0.0)
 
 
-@query("gr04_two_hops", f"WITH e AS ({EDGES}) SELECT DISTINCT x.src AS a, y.src AS b FROM e x JOIN e y USING (dst) WHERE x.src <> y.src")
-def two_hops(s, d):
-    e = edges(s, d)
-    return e.join(e.select(F.col("src").alias("b"), "dst"), "dst").filter("src <> b").select(F.col("src").alias("a"), "b").distinct()
+@query("vs09_relevance", """WITH f AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS text, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice / 1500 END AS semantic, (p_partkey % 10) / 10.0::DOUBLE AS relationship, (p_partkey % 4) / 4.0::DOUBLE AS evidence, CASE WHEN p_partkey % 5 = 0 THEN 1.0::DOUBLE END AS review, (p_partkey % 7) / 7.0::DOUBLE AS popularity,
+power(0.5, ((p_partkey % 400) / 180.0::DOUBLE)) AS freshness FROM part)
+SELECT p_partkey, round((0.25 * text + 0.25 * CASE WHEN semantic > 1 THEN 1 ELSE coalesce(semantic, 0) END + 0.15 * relationship + 0.15 * evidence + 0.1 * coalesce(review, 0) + 0.03 * popularity + 0.07 * freshness) / (0.65 + CASE WHEN semantic IS NULL THEN 0 ELSE 0.25 END + CASE WHEN review IS NULL THEN 0 ELSE 0.1 END), 6) AS relevance FROM f""")
+def relevance(s, d):
+    k = F.col("p_partkey")
+    now = F.lit("2024-06-01").cast("date")
+    rows = t(s, d, "part").select(
+        k, (F.col("p_size") / 50.0).alias("text"), F.when(k % 3 > 0, F.col("p_retailprice") / 1500).alias("semantic"), ((k % 10) / 10.0).alias("relationship"), ((k % 4) / 4.0).alias("evidence"),
+        F.when(k % 5 == 0, 1.0).alias("review"), ((k % 7) / 7.0).alias("popularity"), search.freshness(F.date_sub(now, (k % 400).cast("int")), now).alias("freshness"),
+    )
+    return search.relevance(rows, "p_partkey").select("p_partkey", F.round("relevance", 6).alias("relevance"))
 
 
-@query("gr08_similarity", f"WITH e AS ({EDGES}), p AS (SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y USING (dst) WHERE x.src < y.src GROUP BY ALL) SELECT * FROM p ORDER BY shared DESC, a, b LIMIT 10")
-def similar(s, d):
-    return graph.shared_neighbours(edges(s, d)).orderBy(F.col("shared").desc(), "a", "b").limit(10)
+@query("vs08_trigrams", """WITH g AS (SELECT p_partkey, p_name, list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substring('  ' || lower(p_name) || ' ', i, 3))) AS g FROM part),
+q AS (SELECT list_distinct(list_transform(range(1, length('part') + 2), lambda i: substring('  part ', i, 3))) AS q)
+SELECT p_partkey, round(len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE, 6) AS score FROM g, q WHERE len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE >= 0.1""")
+def trigram_search(s, d):
+    return search.similar_names(t(s, d, "part"), "p_name", "part", 0.1).select("p_partkey", F.round("score", 6).alias("score"))
 
 
 ALL_EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem"
@@ -322,27 +186,24 @@ def all_edges(s, d):
     return t(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
-@query("gr03_all_neighbours", f"WITH e AS ({ALL_EDGES}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT s_suppkey, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst), '') AS near FROM supplier LEFT JOIN u ON src = s_suppkey GROUP BY 1")
-def all_neighbours(s, d):
+@query("gr03_neighbours", f"WITH e AS ({ALL_EDGES}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT s_suppkey, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst), '') AS near FROM supplier LEFT JOIN u ON src = s_suppkey GROUP BY 1")
+def neighbours(s, d):
     return graph.neighbours(t(s, d, "supplier"), all_edges(s, d), "s_suppkey").select("s_suppkey", F.array_join(F.transform("near", lambda v: v.cast("string")), ",").alias("near"))
 
 
-@query("gr04_all_two_hops", f"WITH e AS ({ALL_EDGES}) SELECT DISTINCT x.src AS a, y.src AS b FROM e x JOIN e y USING (dst) WHERE x.src <> y.src")
-def all_two_hops(s, d):
+@query("gr04_two_hops", f"WITH e AS ({ALL_EDGES}), p AS (SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y USING (dst) WHERE x.src <> y.src GROUP BY ALL) SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS r FROM p) WHERE r <= 50")
+def two_hops(s, d):
+    """For each supplier the 50 others with the most parts in common."""
     met = graph.shared_neighbours(all_edges(s, d))
-    return met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
+    both = met.select("shared", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b", "shared")
+    return both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("shared").desc(), "b"))).filter("r <= 50").drop("r")
 
 
-@query("gr08_all_similarity", f"WITH e AS ({ALL_EDGES}), p AS (SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y USING (dst) WHERE x.src < y.src GROUP BY ALL) SELECT * FROM p ORDER BY shared DESC, a, b LIMIT 10")
-def all_similar(s, d):
+@query("gr08_similarity", f"WITH e AS ({ALL_EDGES}), p AS (SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y USING (dst) WHERE x.src < y.src GROUP BY ALL) SELECT * FROM p ORDER BY shared DESC, a, b LIMIT 10")
+def similar(s, d):
     return graph.shared_neighbours(all_edges(s, d)).orderBy(F.col("shared").desc(), "a", "b").limit(10)
 
 
-@query("gr12_all_degrees", f"WITH e AS ({ALL_EDGES}) SELECT src, count(*) AS degree FROM e GROUP BY 1")
-def all_degrees(s, d):
-    return all_edges(s, d).groupBy("src").agg(F.count("*").alias("degree"))
-
-
 @query("gr09_reach", """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey::BIGINT AS src, (n_nationkey + 100)::BIGINT AS dst FROM nation UNION SELECT n_nationkey + 100, (n_regionkey + 1) % 5 FROM nation),
 w AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM w JOIN e ON src = node WHERE hops < 3) SELECT 0::BIGINT AS start, node, min(hops) AS hops FROM w GROUP BY node""")
 def reach(s, d):
@@ -351,9 +212,9 @@ def reach(s, d):
     return graph.reach(e, s.range(1).select(F.col("id").alias("node")), 3)
 
 
-@query("gr12_degrees", f"WITH e AS ({EDGES}) SELECT src, count(*) AS degree FROM e GROUP BY 1")
+@query("gr12_degrees", f"WITH e AS ({ALL_EDGES}) SELECT src, count(*) AS degree FROM e GROUP BY 1")
 def degrees(s, d):
-    return edges(s, d).groupBy("src").agg(F.count("*").alias("degree"))
+    return all_edges(s, d).groupBy("src").agg(F.count("*").alias("degree"))
 
 
 @query("gr14_hierarchy", """WITH RECURSIVE h AS (SELECT n_nationkey AS node, n_nationkey AS root, 0 AS level FROM nation UNION ALL SELECT node, (root // 2)::INT, level + 1 FROM h WHERE root > 0 AND level < 8) SELECT node, min(root) AS root, max(level) AS level FROM h GROUP BY 1""")
@@ -393,6 +254,9 @@ def versions(s, d):
     return t(s, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("long").alias("current"), F.count("*").alias("versions"))
 
 
-@query("ln09_citation", "SELECT p_partkey, p_brand || ' (' || p_size || '). ' || p_name || '.' AS apa FROM part")
+@query("ln09_citation", """SELECT p_partkey, p_brand || ' (' || p_size || '). ' || p_name || '. Archive. https://x.test/' || p_partkey AS apa, p_brand || '. "' || p_name || '." Archive, ' || p_size || ', https://x.test/' || p_partkey || '.' AS mla,
+p_brand || '. "' || p_name || '." Archive. ' || p_size || '. https://x.test/' || p_partkey || '.' AS chicago, p_brand || ', "' || p_name || '," Archive, ' || p_size || '. [Online]. Available: https://x.test/' || p_partkey AS ieee FROM part""")
 def citation(s, d):
-    return t(s, d, "part").select("p_partkey", F.format_string("%s (%d). %s.", "p_brand", "p_size", "p_name").alias("apa"))
+    url = F.concat(F.lit("https://x.test/"), F.col("p_partkey").cast("string"))
+    made = graph.citations(F.col("p_brand"), F.col("p_size").cast("string"), F.col("p_name"), F.lit("Archive"), url)
+    return t(s, d, "part").select("p_partkey", *[v.alias(k) for k, v in made.items()])

@@ -13,19 +13,69 @@ def idempotent(s, d):
     return jobs.dedup(e.unionByName(e)).select("event_id", "user_id")
 
 
-@query("ss05_dead_letters", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'good' ELSE 'dead' END AS route FROM events")
+@query("ss05_dead_letters", "SELECT event_id, event_type IN ('click', 'view') AND value IS NOT NULL AS good, CASE WHEN NOT (event_type IN ('click', 'view') AND value IS NOT NULL) THEN 'failed: event_type IN (''click'', ''view'') AND value IS NOT NULL' END AS reason FROM events")
 def dead(s, d):
-    return t(s, d, "events").select("event_id", F.when(F.col("event_type").isin("click", "view"), "good").otherwise("dead").alias("route"))
+    """The rows that pass, and the dead letters with their reason."""
+    good, bad = jobs.good_or_dead(t(s, d, "events"), "event_type IN ('click', 'view') AND value IS NOT NULL")
+    return good.select("event_id", F.lit(True).alias("good"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select("event_id", F.lit(False).alias("good"), "reason"))
 
 
-@query("ss07_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY 1")
+@query("ss01_consume", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def consume(s, d):
+    """Two deliveries of each event: at least once in, once in effect."""
+    e = t(s, d, "events")
+    return jobs.dedup(e.unionByName(e)).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("ss06_order", "SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS ids FROM events GROUP BY 1")
+def order(s, d):
+    """What a consumer sees of each key, in order."""
+    e = t(s, d, "events").select("user_id", "ts", "event_id")
+    rows = jobs.in_order(e, "user_id", "ts", "event_id")
+    return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("l")).select("user_id", F.array_join(F.transform("l", lambda v: v["event_id"].cast("string")), ",").alias("ids"))
+
+
+WINDOWS = """w AS (SELECT time_bucket(INTERVAL '{slide}', ts) - INTERVAL '{slide}' * i AS start, event_type, value FROM events, range(0, {n}) r(i)),
+g AS (SELECT start, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS failures, sum(value::DECIMAL(18,4))::DOUBLE AS total, quantile_disc(value, 0.95) AS p95 FROM w GROUP BY 1)"""
+
+
+@query("ss07_failure_rate", "WITH " + WINDOWS.format(slide="1 minute", n=5) + " SELECT start, events, failures, failures / events AS rate, total, p95, concat_ws(',', CASE WHEN failures / events > 0.2 THEN 'failure_rate' END, CASE WHEN total / 300 * 0.000075 > 1 THEN 'cost_rate' END, CASE WHEN p95 > 30 THEN 'duration' END) AS alerts FROM g")
+def failure_rate(s, d):
+    """Steps over five minutes, sliding by one."""
+    return jobs.alerts(jobs.rates(t(s, d, "events"))).select("start", "events", "failures", "rate", "total", "p95", F.array_join("alerts", ",").alias("alerts"))
+
+
+@query("ss07_job_failures", "WITH " + WINDOWS.format(slide="5 minutes", n=3) + " SELECT start, failures / events AS rate, failures / events > 0.1 AS alert FROM g")
+def job_failures(s, d):
+    """Jobs over fifteen minutes, sliding by five."""
+    return jobs.alerts(jobs.rates(t(s, d, "events"), span="15 minutes", slide="5 minutes"), jobs=True).select("start", "rate", F.array_contains("alerts", "failure_rate").alias("alert"))
+
+
+@query("ss07_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) FILTER (WHERE event_type = 'error') / count(*) AS rate FROM events GROUP BY 1")
 def tumbling(s, d):
-    return jobs.rates(t(s, d, "events"), span="1 hour", slide="1 hour").select("start", "events", "failures")
+    return jobs.rates(t(s, d, "events"), span="1 hour", slide="1 hour").select("start", "events", "failures", "rate")
 
 
-@query("ss08_sliding", "SELECT b + INTERVAL (i * 15) MINUTE AS start, sum(n)::BIGINT AS events FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE AS b, count(*) AS n FROM events GROUP BY 1), range(0, 4) r(i) GROUP BY 1")
+@query("ss08_sliding", "WITH " + WINDOWS.format(slide="15 minutes", n=4) + " SELECT start, events, failures / events AS rate, failures / events > 0.10 AS alert FROM g")
 def sliding(s, d):
-    return jobs.rates(t(s, d, "events"), span="1 hour", slide="15 minutes").select("start", "events")
+    """The share of bad calls in any hour, by quarters."""
+    out = jobs.rates(t(s, d, "events"), span="1 hour", slide="15 minutes")
+    return out.select("start", "events", "rate", (F.col("rate") > jobs.HOUR_SHARE).alias("alert"))
+
+
+@query("ss08_rolling_week", """WITH d AS (SELECT event_type, ts::DATE AS day, sum(value::DECIMAL(18,4))::DOUBLE / count(*) AS score FROM events GROUP BY ALL), w AS (SELECT *, avg(score) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS week FROM d)
+SELECT event_type, day, round(score, 6) AS score, round(week, 6) AS week, coalesce(score < 0.95 * week, false) AS dropped FROM w""")
+def rolling_week(s, d):
+    """Each day's mean against the mean of the seven days before."""
+    days = t(s, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg((F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("score"))
+    return jobs.rolling_week(days, "event_type", "day", "score").select("event_type", "day", F.round("score", 6).alias("score"), F.round("week", 6).alias("week"), "dropped")
+
+
+@query("ss03_retention", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY")
+def retention(s, d):
+    """Ids that are still remembered: those of the last thirty days, the others are purged."""
+    e = t(s, d, "events").select("event_id", "ts")
+    return e.join(F.broadcast(e.agg(F.max("ts").alias("_last")))).filter("ts >= _last - INTERVAL '30' DAY").select("event_id")
 
 
 @query("ss12_replay", "SELECT event_id FROM events WHERE event_type = 'error' AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 2 = 0)")

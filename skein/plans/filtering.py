@@ -1,5 +1,6 @@
 """FLT and ST, TK, WN families: filters, sets, queues, windows."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.operators import filters as f
@@ -129,14 +130,13 @@ WEEK = "OVER (PARTITION BY event_type ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 6
 
 @query("wn04_trailing_week", f"SELECT event_id, (sum(value::DECIMAL(18,4)) {WEEK})::DOUBLE AS week_sum, count(*) {WEEK} AS week_n FROM events")
 def week(s, d):
-    df = t(s, d, "events").withColumn("sec", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    span = o.trailing_window(["event_type"], F.col("sec"), 604800)
+    df = t(s, d, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    span = o.trailing_window(["event_type"], F.col("micros"), 604_800_000_000)
     return df.select("event_id", F.sum(F.col("value").cast("decimal(18,4)")).over(span).cast("double").alias("week_sum"), F.count("*").over(span).alias("week_n"))
 
 
 @query("wn08_retry_schedule", "SELECT attempt, wait, sum(wait) OVER (ORDER BY attempt)::BIGINT AS elapsed FROM (VALUES (1::BIGINT, 60::BIGINT), (2, 300), (3, 900), (4, 3600), (5, 3600)) v(attempt, wait)")
 def retries(s, d):
-    from pyspark.sql import Window as W
 
     df = s.createDataFrame([(i + 1, w) for i, w in enumerate(o.RETRY_SECONDS)], "attempt long, wait long")
     return df.withColumn("elapsed", F.sum("wait").over(W.orderBy("attempt")))
@@ -181,10 +181,13 @@ def outbox(s, d):
     return t(s, d, "events").filter("event_type = 'view'").orderBy("ts", "event_id").limit(100).select("event_id")
 
 
-@query("tk07_caps", "SELECT l_orderkey, list_slice(list(l_partkey ORDER BY l_linenumber, l_partkey), 1, 2)[1] AS first_part, least(count(*), 2)::BIGINT AS kept FROM lineitem GROUP BY l_orderkey")
+@query("tk07_caps", "SELECT o_custkey, array_to_string(list_slice(list(o_orderkey ORDER BY o_orderdate, o_orderkey), 1, 20), ',') AS warnings, array_to_string(list_slice(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey), 1, 10), ',') AS issues, count(*) AS n FROM orders GROUP BY 1")
 def caps(s, d):
-    lines = t(s, d, "lineitem").groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), 1, 2).alias("l"))
-    return lines.select("l_orderkey", F.get("l", F.lit(0))["l_partkey"].alias("first_part"), F.size("l").cast("long").alias("kept"))
+    """The first 20 by date, the first 10 by price; all are counted."""
+    per = W.partitionBy("o_custkey")
+    ranked = t(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(per.orderBy("o_orderdate", "o_orderkey")).alias("i"), F.row_number().over(per.orderBy(F.col("o_totalprice").desc(), "o_orderkey")).alias("j"))
+    keep = lambda c, most: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= most, F.struct(c, "o_orderkey")))), lambda v: v["o_orderkey"].cast("string")), ",")
+    return ranked.groupBy("o_custkey").agg(keep("i", 20).alias("warnings"), keep("j", 10).alias("issues"), F.count("*").alias("n"))
 
 
 @query("tk08_first_n", "SELECT conv_id, turn FROM conversations WHERE turn < 2")
@@ -204,14 +207,8 @@ def breaches(s, d):
     return t(s, d, "orders").filter("o_orderstatus = 'O' AND o_orderdate < TIMESTAMP_NTZ '1996-01-01 00:00:00'").orderBy("o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
 
 
-@query("st01_union", "SELECT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_partkey < 50 UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey < 5")
+@query("st01_union", "SELECT l_suppkey AS a, l_partkey AS b FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem")
 def union(s, d):
-    df = t(s, d, "lineitem")
-    return df.filter("l_partkey < 50").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).union(df.filter("l_suppkey < 5").select("l_partkey", "l_suppkey")).distinct()
-
-
-@query("st01_all_union", "SELECT l_suppkey AS a, l_partkey AS b FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem")
-def all_union(s, d):
     df = t(s, d, "lineitem")
     return df.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).union(df.select("l_partkey", "l_suppkey")).distinct()
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from skein.functions import scalars as sc
 from skein.functions import text as x
 from skein.operators import access, graph, ordering, routing, search
+from skein.plans.knowledge import sql_even
+from skein.plans.scalars import phrase_dedup
 from skein.registry import query
 from skein.session import table as t
 from skein.streaming import jobs
@@ -28,28 +30,37 @@ def content(s, d):
     return vtt(s, d).select("conv_id", x.content_lines(F.col("text")).alias("body"))
 
 
-@query("tx01_clean_transcript", f"SELECT conv_id, trim(regexp_replace(regexp_replace(string_agg(regexp_replace(text, '\\s+', ' ', 'g'), ' ' ORDER BY turn), '[\\p{{L}}\\p{{N}}_]+\\s*:', '', 'g'), '\\s+', ' ', 'g')) AS body FROM conversations GROUP BY 1")
+CLEAN = "SELECT conv_id AS id, trim(regexp_replace(regexp_replace(string_agg(regexp_replace(text, '\\s+', ' ', 'g'), ' ' ORDER BY turn), '[\\p{L}\\p{N}_]+\\s*:', '', 'g'), '\\s+', ' ', 'g')) AS text FROM conversations GROUP BY 1"
+
+
+@query("tx01_clean_transcript", f"WITH {phrase_dedup(CLEAN)} SELECT id AS conv_id, trim(body) AS body FROM body")
 def clean(s, d):
-    return vtt(s, d).select("conv_id", x.clean_transcript(F.col("text"), dedup=False).alias("body"))
+    return vtt(s, d).select("conv_id", x.clean_transcript(F.col("text")).alias("body"))
+
+
+CUES = "SELECT conv_id, turn, (turn * 60 + 0.5)::DOUBLE AS start, ((turn + 1) * 60 + 0.5)::DOUBLE AS stop, {FLAT} AS content FROM conversations"
 
 
-@query("tx11_vtt_segments", "SELECT conv_id, count(*) - CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 1 END AS cues FROM conversations GROUP BY conv_id")
+def cue_rows(df):
+    return df.select("conv_id", F.col("c.start").alias("start"), F.col("c.end").alias("stop"), F.col("c.content").alias("content"))
+
+
+@query("tx11_vtt_segments", f"SELECT conv_id, start, stop, content FROM ({CUES.format(FLAT=FLAT)}) q WHERE conv_id % 2 = 0 OR turn < (SELECT max(turn) FROM conversations m WHERE m.conv_id = q.conv_id)")
 def segments(s, d):
     # the last cue ends in one line end: without an empty line behind it, it is lost
     lost = vtt(s, d).withColumn("text", F.when(F.col("conv_id") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", "\n$", "")))
-    return lost.select("conv_id", F.size(x.vtt_segments(F.col("text"))).cast("long").alias("cues"))
+    return cue_rows(lost.select("conv_id", F.explode(x.vtt_segments(F.col("text"))).alias("c")))
 
 
-@query("tx12_vtt_blocks", "SELECT conv_id, count(*) AS cues, sum((turn * 60 + 0.5)::DOUBLE) AS starts FROM conversations GROUP BY 1")
+@query("tx12_vtt_blocks", f"SELECT conv_id, start, stop, content FROM ({CUES.format(FLAT=FLAT)})")
 def blocks(s, d):
-    c = vtt(s, d).select("conv_id", F.explode(x.vtt_segments(F.col("text"), keep_last=True)).alias("c"))
-    return c.groupBy("conv_id").agg(F.count("*").alias("cues"), F.sum("c.start").alias("starts"))
+    return cue_rows(vtt(s, d).select("conv_id", F.explode(x.vtt_segments(F.col("text"), keep_last=True)).alias("c")))
 
 
-@query("tx13_srt_segments", "SELECT conv_id, count(*) AS cues FROM conversations GROUP BY 1")
+@query("tx13_srt_segments", f"SELECT conv_id, start, stop, content FROM ({CUES.format(FLAT=FLAT)})")
 def srt(s, d):
     body = F.regexp_replace(F.regexp_replace("text", r"^WEBVTT\nKind: captions\n\n", ""), r"(\d)\.(\d{3})", "$1,$2")
-    return vtt(s, d).select("conv_id", F.size(x.srt_segments(body)).cast("long").alias("cues"))
+    return cue_rows(vtt(s, d).select("conv_id", F.explode(x.srt_segments(body)).alias("c")))
 
 
 @query("tx15_light_clean", f"SELECT conv_id, turn, {FLAT} AS body FROM conversations")
@@ -80,9 +91,10 @@ def success_only(s, d):
     return t(s, d, "events").filter("event_type <> 'error'").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("mth01_rounding", "SELECT l_orderkey, l_linenumber, l_partkey, (l_quantity * 4)::BIGINT AS q FROM lineitem")
+@query("mth01_rounding", "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"{sql_even('l_extendedprice / 7 / 10000', n)} AS r{n}" for n in (2, 3, 4, 6, 8)) + f", {sql_even('l_quantity / 8', 2)} AS tie FROM lineitem")
 def rounding(s, d):
-    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.bround(F.col("l_quantity") * 4, 0).cast("long").alias("q"))
+    x7 = F.col("l_extendedprice") / 7 / 10000
+    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[sc.round_even(x7, n).alias(f"r{n}") for n in (2, 3, 4, 6, 8)], sc.round_even(F.col("l_quantity") / 8, 2).alias("tie"))
 
 
 @query("mth04_weighted", "SELECT l_orderkey, l_linenumber, l_partkey, round(0.4 * l_discount + 0.6 * l_tax, 6) AS v FROM lineitem")
@@ -112,36 +124,12 @@ def build(s, d):
     return t(s, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"))).alias("j"))
 
 
-@query("qa22_prompt_quality", "SELECT p_partkey, round(0.4 * p_size / 50.0 + 0.2 * p_retailprice / 2500 + 0.2 + 0.1 + 0.05 + 0.05, 6)::DOUBLE AS q FROM part")
-def prompt_quality(s, d):
-    return t(s, d, "part").select("p_partkey", F.round(0.4 * F.col("p_size") / 50.0 + 0.2 * F.col("p_retailprice") / 2500 + 0.2 + 0.1 + 0.05 + 0.05, 6).alias("q"))
-
-
-@query("qa23_rollback", "SELECT event_type, count(*) FILTER (WHERE value > 90) * 20 > count(*) AS rollback FROM events GROUP BY 1")
-def rollback(s, d):
-    return t(s, d, "events").groupBy("event_type").agg((F.count_if(F.col("value") > 90) * 20 > F.count("*")).alias("rollback"))
-
-
 @query("qa24_defaults", "SELECT d.doc_id, coalesce(l.quality, 0.5)::DOUBLE AS score, coalesce(l.toxic = 0, false) AS ready FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def defaults(s, d):
     df = t(s, d, "documents").select("doc_id").join(t(s, d, "labels"), "doc_id", "left")
     return df.select("doc_id", F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("score"), F.coalesce(F.col("toxic") == 0, F.lit(False)).alias("ready"))
 
 
-@query("nm04_backfill", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'house,site' ELSE 'site' END AS aliases FROM customer")
-def backfill(s, d):
-    own = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("house"))).otherwise(F.array().cast("array<string>"))
-    known = F.filter(F.array(F.lit("site"), F.lower("c_mktsegment")), lambda v: v != F.lower("c_mktsegment"))
-    return t(s, d, "customer").select("c_custkey", F.array_join(F.array_union(own, known), ",").alias("aliases"))
-
-
-@query("nm06_rewrite", "SELECT l_orderkey, array_to_string(list(DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey + 1 ELSE l_suppkey END ORDER BY CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey + 1 ELSE l_suppkey END), ',') AS ids FROM lineitem GROUP BY 1")
-def rewrite(s, d):
-    ids = t(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids"))
-    to = F.transform("ids", lambda v: F.when(v % 3 == 0, v + 1).otherwise(v))
-    return ids.select("l_orderkey", F.array_join(F.transform(F.sort_array(F.array_distinct(to)), lambda v: v.cast("string")), ",").alias("ids"))
-
-
 @query("rt01_tier", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'review' WHEN doc_id % 3 = 0 THEN 'manual' WHEN length(text) > 1000 THEN 'automatic' ELSE 'cloud' END AS tier FROM documents")
 def tier(s, d):
     auto = F.when(F.length("text") > 1000, F.lit(0.75))
@@ -149,31 +137,6 @@ def tier(s, d):
     return t(s, d, "documents").select("doc_id", kind.alias("tier"))
 
 
-@query("rt06_no_ceiling")
-def no_ceiling(s, d):
-    from skein.plans.domain import moves
-
-    return routing.check_moves(moves(s, d), routing.transitions(s), ceiling=False).select("event_id", "current", "new", "ok")
-
-
-@query("rt08_error_state", "SELECT event_id, CASE event_type WHEN 'click' THEN 'FAILED_CLICK' WHEN 'view' THEN 'FAILED_VIEW' ELSE 'FAILED_REVIEWING' END AS state FROM events")
-def error_state(s, d):
-    states = s.createDataFrame([("click", "FAILED_CLICK"), ("view", "FAILED_VIEW")], "event_type string, state string")
-    return t(s, d, "events").join(F.broadcast(states), "event_type", "left").select("event_id", F.coalesce("state", F.lit("FAILED_REVIEWING")).alias("state"))
-
-
-@query("rt11_step_retry", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag <> 'R' THEN 'COMPLETED' WHEN l_linenumber >= 3 THEN 'FAILED' ELSE 'PENDING' END AS state FROM lineitem")
-def step_retry(s, d):
-    state = F.when(F.col("l_returnflag") != "R", "COMPLETED").when(F.col("l_linenumber") >= 3, "FAILED").otherwise("PENDING")
-    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", state.alias("state"))
-
-
-@query("rt15_dispatch", "SELECT CASE WHEN lang IN ('en', 'de') THEN 'crawl' WHEN lang = 'fr' THEN 'upload' END AS route, count(*) AS n FROM documents WHERE lang IN ('en', 'de', 'fr') GROUP BY 1")
-def dispatch(s, d):
-    route = F.when(F.col("lang").isin("en", "de"), "crawl").when(F.col("lang") == "fr", "upload")
-    return t(s, d, "documents").select(route.alias("route")).filter(F.col("route").isNotNull()).groupBy("route").agg(F.count("*").alias("n"))
-
-
 @query("ac04_values", "SELECT c_custkey, lower(c_mktsegment) = 'building' OR c_nationkey IN (1, 2, 3) AS ok FROM customer")
 def values(s, d):
     return t(s, d, "customer").select("c_custkey", ((F.lower("c_mktsegment") == F.lower(F.lit("Building"))) | F.array_contains(F.array(F.lit(1), F.lit(2), F.lit(3)), F.col("c_nationkey"))).alias("ok"))
@@ -208,15 +171,8 @@ def nodes(s, d):
     return p.unionByName(t(s, d, "supplier").select(F.lit("supplier").alias("label"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))).dropDuplicates(["label", "id"])
 
 
-@query("gr02_edges", "SELECT DISTINCT s_name, p_name, 'SUPPLIES' AS type FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE p_size < 5")
+@query("gr02_edges", "SELECT DISTINCT s_name, p_name, 'SUPPLIES' AS type FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey")
 def gr02(s, d):
-    p = t(s, d, "part").filter("p_size < 5")
-    pairs = t(s, d, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey")).select("l_suppkey", "p_name").distinct()
-    return pairs.join(t(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("s_name", "p_name", F.lit("SUPPLIES").alias("type")).distinct()
-
-
-@query("gr02_all_edges", "SELECT DISTINCT s_name, p_name, 'SUPPLIES' AS type FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey")
-def all_gr02(s, d):
     keys = t(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     pairs = keys.join(t(s, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_suppkey", "p_name").distinct()
     return pairs.join(t(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("s_name", "p_name", F.lit("SUPPLIES").alias("type")).distinct()
@@ -243,15 +199,8 @@ def pairs(s, d):
     return graph.undirected(n).filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-@query("gr13_vector_similarity", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 100 AND b.vec_id < 100")
+@query("gr13_vector_similarity", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def vectors(s, d):
-    a = t(s, d, "embeddings").filter("vec_id < 100").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("u"))
-    b = a.select(F.col("a").alias("b"), "label", F.col("u").alias("v"))
-    return a.join(b, "label").filter("a < b").select("a", "b", F.round(search.cosine(F.col("u"), F.col("v")), 6).alias("score"))
-
-
-@query("gr13_all_vector_similarity", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
-def all_vectors(s, d):
     met = graph.pairs_within(t(s, d, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id")
     return met.select(F.col("_x.vec_id").alias("a"), F.col("_y.vec_id").alias("b"), F.round(search.cosine(F.col("_x.embedding"), F.col("_y.embedding")), 6).alias("score"))
 
@@ -267,6 +216,16 @@ def history(s, d):
     return t(s, d, "events").select("user_id", "event_id", F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
 
 
+@query("ln07_prompt_trace", "SELECT e.event_id, c.c_custkey AS prompt, c.c_mktsegment AS version, n.n_name AS author, count(*) OVER (PARTITION BY c.c_custkey) AS outputs FROM events e JOIN customer c ON c.c_custkey = e.user_id LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE e.event_type = 'click'")
+def prompt_trace(s, d):
+    """Each output with the prompt, version and author behind it, and how many the prompt has."""
+    outputs = t(s, d, "events").filter("event_type = 'click'").select("event_id", F.col("user_id").alias("prompt"))
+    prompts = t(s, d, "customer").select(F.col("c_custkey").alias("prompt"), F.col("c_mktsegment").alias("version"), "c_nationkey")
+    counts = outputs.groupBy("prompt").agg(F.count("*").alias("outputs"))
+    authors = t(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("author"))
+    return outputs.join(prompts, "prompt").join(counts, "prompt").join(F.broadcast(authors), "c_nationkey", "left").select("event_id", "prompt", "version", "author", "outputs")
+
+
 @query("ss04_decode", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def decode(s, d):
     return jobs.decode(t(s, d, "events"), "props", "props").select("event_id", F.variant_get("payload", "$.k", "long").alias("k"))
@@ -280,10 +239,51 @@ def consumer_lag(s, d):
     return jobs.lag(ends, done).select("topic", "lag")
 
 
-@query("ss11_incremental", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00')")
+@query("ss11_incremental", "WITH k AS (SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND event_id % 7 > 0) SELECT event_id, ts > (SELECT max(ts) FROM k) AS after_mark FROM events WHERE event_id NOT IN (SELECT event_id FROM k)")
 def incremental(s, d):
-    e = t(s, d, "events")
-    return e.join(e.filter("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'").select("event_id"), "event_id", "left_anti").select("event_id")
+    """What a crawl has to fetch: unknown ids; the high-water mark alone would miss late ones."""
+    e = t(s, d, "events").select("event_id", "ts")
+    known = e.filter("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00' AND event_id % 7 > 0")
+    marked = jobs.since_high_water(e, known, "event_id", "ts").join(F.broadcast(jobs.high_water(known, "ts")))
+    return marked.select("event_id", F.coalesce(F.col("ts") > F.col("high_water"), F.lit(True)).alias("after_mark"))
+
+
+@query("ss11_high_water", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00')")
+def after_mark(s, d):
+    e = t(s, d, "events").select("event_id", "ts")
+    return jobs.since_high_water(e, e.filter("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'"), "event_id", "ts", mark_only=True).select("event_id")
+
+
+@query("gr10_motifs", """WITH m AS (SELECT o_custkey AS story, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS m FROM orders GROUP BY 1),
+g AS (SELECT m, count(*) AS n FROM m GROUP BY 1) SELECT array_to_string(a.m, ',') AS a, array_to_string(b.m, ',') AS b, round(len(list_intersect(a.m, b.m)) / len(list_distinct(list_concat(a.m, b.m)))::DOUBLE, 6) AS similarity, a.n AS stories_a, b.n AS stories_b FROM g a, g b
+WHERE array_to_string(a.m, ',') <= array_to_string(b.m, ',') AND len(list_intersect(a.m, b.m)) / len(list_distinct(list_concat(a.m, b.m)))::DOUBLE > 0.7 AND (array_to_string(a.m, ',') < array_to_string(b.m, ',') OR a.n > 1)""")
+def motifs(s, d):
+    """Customers as stories, priorities as motifs: classes of equal motif sets, and the pairs of classes that are alike."""
+    sets = t(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("motifs"))
+    return graph.similar_sets(sets, "motifs", 0.7).select(F.array_join("a", ",").alias("a"), F.array_join("b", ",").alias("b"), F.round("similarity", 6).alias("similarity"), "stories_a", "stories_b")
+
+
+@query("gr11_same_as", """WITH e AS (SELECT DISTINCT CASE WHEN l_suppkey % 3 = 1 THEN l_suppkey - 1 ELSE l_suppkey END AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey % 5 <> 4 AND l_partkey % 9 <> 0) SELECT src, count(*) AS degree FROM e GROUP BY 1""")
+def same_as(s, d):
+    """Suppliers with aliases resolved, archived suppliers and parts gone, rebuilt as one graph."""
+    e = t(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    ids = t(s, d, "lineitem").select("l_suppkey").distinct()
+    aliases = ids.filter("l_suppkey % 3 = 1").select(F.col("l_suppkey").alias("alias"), (F.col("l_suppkey") - 1).alias("canonical"))
+    kept = graph.without(e, ids.filter("l_suppkey % 5 = 4").select(F.col("l_suppkey").alias("node")), "src")
+    kept = graph.without(kept, t(s, d, "part").filter("p_partkey % 9 = 0").select(F.col("p_partkey").alias("node")), "dst")
+    return graph.merge_aliases(kept, aliases).groupBy("src").agg(F.count("*").alias("degree"))
+
+
+@query("ln05_finders", "SELECT 'object' AS finder, count(*) AS n FROM lineitem WHERE l_partkey = 7 AND l_returnflag = 'A' UNION ALL SELECT 'parent', count(*) FROM lineitem WHERE l_orderkey = 3 UNION ALL SELECT 'tenant', count(*) FROM lineitem WHERE l_suppkey = 2")
+def finders(s, d):
+    """Lineage rows of an object and its type, of a parent, of a tenant."""
+    rows = t(s, d, "lineitem").select(F.col("l_partkey").alias("object_id"), F.col("l_returnflag").alias("object_type"), F.col("l_orderkey").alias("parent_object_id"), F.col("l_suppkey").alias("tenant_id"))
+    found = {"object": graph.lineage_of(rows, object_id=7, object_type="A"), "parent": graph.lineage_of(rows, parent_object_id=3), "tenant": graph.lineage_of(rows, tenant_id=2)}
+    out = None
+    for name, df in found.items():
+        one = df.agg(F.lit(name).alias("finder"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("ext_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")

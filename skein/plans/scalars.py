@@ -35,7 +35,17 @@ def squeeze(s, d):
     return t(s, d, "documents").select("doc_id", x.squeeze(F.col("text")).alias("body"))
 
 
-@query("tx08_phrase_dedup")
+def phrase_dedup(source: str) -> str:
+    """SQL for a relation (id, text): word i goes if the set of the four before it is that of four that began 1 to 7 places earlier."""
+    back = ", ".join(f"lag(k, {n}) OVER p" for n in range(5, 12))
+    return f"""w AS (SELECT id, text, list_filter(string_split_regex(text, '\\s+'), lambda v: v <> '') AS w FROM ({source})),
+    u AS (SELECT id, unnest(w) AS v, unnest(range(len(w))) AS i FROM w WHERE len(w) > 4),
+    k AS (SELECT id, v, i, list_sort(list_distinct([lower(v), lower(lead(v, 1) OVER p), lower(lead(v, 2) OVER p), lower(lead(v, 3) OVER p)]))::VARCHAR AS k FROM u WINDOW p AS (PARTITION BY id ORDER BY i)),
+    r AS (SELECT id, v, i, coalesce(i >= 5 AND list_contains([{back}], lag(k, 4) OVER p), false) AS again FROM k WINDOW p AS (PARTITION BY id ORDER BY i)),
+    body AS (SELECT id, string_agg(v, ' ' ORDER BY i) FILTER (WHERE NOT again) AS body FROM r GROUP BY id UNION ALL SELECT id, text FROM w WHERE len(w) <= 4)"""
+
+
+@query("tx08_phrase_dedup", f"WITH {phrase_dedup('SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, body FROM body")
 def phrases(s, d):
     return t(s, d, "documents").select("doc_id", x.drop_repeated_phrases(F.col("text")).alias("body"))
 
@@ -47,9 +57,11 @@ def jaccard(s, d):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(x.jaccard(F.col("w"), F.col("w2")), 6).alias("j"))
 
 
-@query("tx10_format", "SELECT doc_id, 'vtt' AS kind FROM documents WHERE trim(text) <> '' UNION ALL SELECT doc_id, '' FROM documents WHERE trim(text) = ''")
+@query("tx10_format", "SELECT doc_id, CASE WHEN trim(text) = '' AND doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'srt' ELSE 'vtt' END AS kind FROM documents")
 def kind(s, d):
-    return t(s, d, "documents").select("doc_id", x.subtitle_format(F.col("text")).alias("kind"))
+    k = F.col("doc_id") % 3
+    text = F.when(k == 1, F.concat(F.lit(" 1\n00:00:01,000 --> 00:00:02,000\n"), "text")).when(k == 2, F.concat(F.lit("WEBVTT\n"), "text")).otherwise(F.col("text"))
+    return t(s, d, "documents").select("doc_id", x.subtitle_format(text).alias("kind"))
 
 
 @query("tx14_seconds", "SELECT event_id, (hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)))::DOUBLE AS sec FROM events")
@@ -57,22 +69,37 @@ def seconds(s, d):
     return t(s, d, "events").select("event_id", x.seconds(F.date_format("ts", "HH:mm:ss")).alias("sec"))
 
 
-@query("tx16_sentences", "SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS n FROM documents")
+SENTENCES = "string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query("tx16_sentences", f"SELECT doc_id, unnest({SENTENCES}) AS sentence, unnest(range(len({SENTENCES})))::INT AS place FROM documents")
 def sentences(s, d):
-    return t(s, d, "documents").select("doc_id", F.size(x.sentences(F.col("text"))).cast("long").alias("n"))
+    return t(s, d, "documents").select("doc_id", F.posexplode(x.sentences(F.col("text"))).alias("place", "sentence"))
 
 
-@query("tx17_sentence_chunks")
+@query("tx17_sentence_chunks", f"""WITH RECURSIVE s AS (SELECT doc_id, list_filter({SENTENCES}, lambda v: trim(v) <> '') AS s FROM documents),
+c AS (SELECT doc_id, s, list_transform(s, lambda v: len(list_filter(string_split_regex(v, '\\s+'), lambda w: w <> ''))::BIGINT) AS n FROM s WHERE len(s) > 0),
+p AS (SELECT doc_id, s, n, list_transform(range(len(n) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)::BIGINT) AS p FROM c),
+f AS (SELECT doc_id, 0 AS i, 0 AS a, 0::BIGINT AS w, NULL::INT AS b, NULL::INT AS e, 0 AS k FROM p
+ UNION ALL SELECT f.doc_id, i + 1, CASE WHEN full_ THEN kept ELSE a END, CASE WHEN full_ THEN p[i + 1] - p[kept + 1] ELSE w END + n[i + 1], CASE WHEN full_ THEN a END, CASE WHEN full_ THEN i END, k + full_::INT
+ FROM (SELECT f.*, p.n, p.p, f.w + p.n[f.i + 1] > 512 AND f.i > f.a AS full_, list_filter(range(f.a, f.i + 1), lambda j: p.p[f.i + 1] - p.p[j + 1] <= 50)[1] AS kept FROM f JOIN p USING (doc_id) WHERE f.i < len(p.n)) f),
+o AS (SELECT doc_id, k - 1 AS chunk, b, e FROM f WHERE b IS NOT NULL UNION ALL SELECT doc_id, k, a, i FROM f JOIN p USING (doc_id) WHERE i = len(n))
+SELECT o.doc_id, chunk, list_sum(n[b + 1:e])::BIGINT AS words, md5(array_to_string(s[b + 1:e], ' ')) AS digest FROM o JOIN p USING (doc_id)""")
 def chunks(s, d):
     df = t(s, d, "documents").select("doc_id", F.posexplode(x.chunk(x.sentences(F.col("text")))).alias("chunk", "body"))
     return df.select("doc_id", "chunk", x.word_count(F.col("body")).alias("words"), F.md5("body").alias("digest"))
 
 
-@query("tx18_segment_chunks")
+@query("tx18_segment_chunks", """WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i, turn, text, len(list_filter(string_split_regex(text, '\\s+'), lambda v: v <> ''))::BIGINT AS n FROM conversations),
+f AS (SELECT conv_id, i, n AS w, 0 AS k FROM c WHERE i = 1 UNION ALL SELECT c.conv_id, c.i, CASE WHEN f.w + c.n > 128 THEN c.n ELSE f.w + c.n END, f.k + (f.w + c.n > 128)::INT FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1)
+SELECT conv_id, k AS chunk, sum(n)::INT AS word_count, (min(turn) * 2)::DOUBLE AS start_seconds, (max(turn) * 2 + 1.5)::DOUBLE AS end_seconds, count(*)::INT AS segment_count, md5(string_agg(text, ' ' ORDER BY i)) AS digest FROM f JOIN c USING (conv_id, i) GROUP BY ALL""")
 def segment_chunks(s, d):
-    """Turns of a conversation packed into chunks of up to 128 words."""
-    lines = t(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
-    return lines.select("conv_id", F.posexplode(x.chunk(F.col("l.text"), 128, 0)).alias("chunk", "body")).select("conv_id", "chunk", x.word_count(F.col("body")).alias("words"))
+    """Turns of a conversation, two seconds apart, packed into chunks of up to 128 words."""
+    cue = F.struct("turn", "text", (F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 1.5).alias("end"), F.col("text").alias("content"))
+    lines = t(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(cue)).alias("l"))
+    cues = F.transform("l", lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end"), v["content"].alias("content")))
+    packed = lines.select("conv_id", F.posexplode(x.chunk_segments(cues, 128)).alias("chunk", "c"))
+    return packed.select("conv_id", "chunk", "c.word_count", "c.start_seconds", "c.end_seconds", "c.segment_count", F.md5("c.text").alias("digest"))
 
 
 @query("tx19_join_segments", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS body FROM conversations GROUP BY 1")
@@ -91,14 +118,16 @@ def tokens(s, d):
     return t(s, d, "documents").select("doc_id", x.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("tx22_truncate", "SELECT doc_id, substring(text, 1, 500) AS head FROM documents")
+@query("tx22_truncate", "SELECT doc_id, substring(text, 1, 5000) AS description, substring(text, 1, 500) AS summary, substring(text, 1, 500) AS error, substring(text, 1, 15000) AS transcript, substring(text, 1, 5000) AS knowledge FROM documents")
 def truncate(s, d):
-    return t(s, d, "documents").select("doc_id", F.substring("text", 1, 500).alias("head"))
+    return t(s, d, "documents").select("doc_id", *[x.truncate(F.col("text"), use).alias(use) for use in x.LIMITS])
 
 
-@query("tx23_seo", "SELECT page_id, substring(url, 1, 60) AS title, substring(coalesce(nullif(html, ''), url), 1, 160) AS description FROM pages")
+@query("tx23_seo", """SELECT page_id, substring(url, 1, 60) AS meta_title, substring(CASE WHEN html = '' OR html IS NULL OR page_id % 4 = 0 THEN url ELSE html END, 1, 160) AS meta_description,
+regexp_replace(replace(replace(lower(url), ' ', '-'), '/', '-'), '[^\\p{L}\\p{N}-]', '', 'g') AS slug, array_to_string(list_slice(string_split(url, '/'), 1, 5), '|') AS keywords FROM pages""")
 def seo(s, d):
-    return t(s, d, "pages").select("page_id", F.substring("url", 1, 60).alias("title"), F.substring(F.coalesce(F.nullif("html", F.lit("")), "url"), 1, 160).alias("description"))
+    made = x.seo(F.col("url"), F.when(F.col("page_id") % 4 > 0, F.col("html")), F.split("url", "/"))
+    return t(s, d, "pages").select("page_id", *[made[k].alias(k) for k in ("meta_title", "meta_description", "slug")], F.array_join(made["focus_keywords"], "|").alias("keywords"))
 
 
 @query("tx24_slug", "SELECT p_partkey, regexp_replace(replace(replace(lower(p_name), ' ', '-'), '/', '-'), '[^\\p{L}\\p{N}-]', '', 'g') AS slug FROM part")
@@ -124,25 +153,34 @@ def handle(s, d):
     return t(s, d, "customer").select("c_custkey", F.when(k == 0, F.concat(base, "c_name")).when(k == 1, F.concat(base, F.lit("@"), "c_name")).otherwise(F.concat(base, F.lit("channel/"), "c_name")).alias("url"))
 
 
-@query("tx28_rescue_json", "SELECT event_id, props AS body FROM events")
+@query("tx28_rescue_json", "SELECT event_id, CASE WHEN event_id % 3 <> 2 THEN props END AS body FROM events")
 def rescue(s, d):
-    return t(s, d, "events").select("event_id", x.rescue_json(F.concat(F.lit("Sure: "), "props", F.lit(" done"))).alias("body"))
+    k = F.col("event_id") % 3  # fenced, plain within talk, broken
+    text = F.when(k == 0, F.concat(F.lit("Sure, here:\n```json\n"), "props", F.lit("\n```\nDone."))).when(k == 1, F.concat(F.lit("> "), "props")).otherwise(F.concat(F.lit("{ "), "props"))
+    return t(s, d, "events").select("event_id", x.rescue_json(text).alias("body"))
+
 
+SQL_FUNCTION_WORDS = "len(regexp_extract_all(regexp_replace(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}_]+', '  ', 'g'), ' (the|is|are|was|were|has|have|been|will|would|could|should|may|might) '))"
+SQL_ENDS = "greatest(len(regexp_extract_all(text, '[.!?]+')), 1)"
 
-@query("tx29_citations", "SELECT doc_id, len(regexp_extract_all(text || ' [a] [b]', '\\[.*?\\]')) AS n FROM documents")
+
+@query("tx29_citations", f"SELECT doc_id, len(regexp_extract_all(text, '\\[[^\\n]*?\\]')) AS citations, {SQL_FUNCTION_WORDS} AS function_words, {SQL_ENDS} AS sentence_ends FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' [a] [b' || chr(10) || 'c] [d]' ELSE '' END AS text FROM documents)")
 def citations(s, d):
-    return t(s, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.concat("text", F.lit(" [a] [b]")), F.lit(r"\[.*?\]"), F.lit(0))).cast("long").alias("n"))
+    df = t(s, d, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" [a] [b\nc] [d]")).otherwise("")).alias("text"))
+    text = F.col("text")
+    return df.select("doc_id", x.citations(text).cast("long").alias("citations"), x.function_words(text).cast("long").alias("function_words"), x.sentence_ends(text).cast("long").alias("sentence_ends"))
 
 
-@query("tx30_music", "SELECT conv_id, turn, contains(lower(text), 'the') OR contains(lower(text), '(music)') AS flag FROM conversations")
+@query("tx30_music", "SELECT conv_id, turn, conv_id % 3 = 0 OR turn % 4 = 1 AS flag FROM conversations")
 def music(s, d):
-    low = F.lower("text")
-    return t(s, d, "conversations").select("conv_id", "turn", (F.contains(low, F.lit("the")) | F.contains(low, F.lit("(music)"))).alias("flag"))
+    label = F.when(F.col("conv_id") % 3 == 0, " [Music] ").when(F.col("turn") % 4 == 1, "(MUSIC)").otherwise(" music ")
+    return t(s, d, "conversations").select("conv_id", "turn", x.music_label(F.concat(label, "text")).alias("flag"))
 
 
-@query("tx31_template", "SELECT conv_id, turn, 'Role: ' || role || chr(10) || text AS prompt FROM conversations")
+@query("tx31_template", "SELECT conv_id, turn, 'Role: ' || role || chr(10) || 'Turn ' || turn || ' of <' || coalesce(CASE WHEN conv_id % 2 = 0 THEN conv_id END::VARCHAR, '') || '>: ' || text AS prompt FROM conversations")
 def template(s, d):
-    return t(s, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Role: "), "role", F.lit("\n"), "text").alias("prompt"))
+    values = {"role": F.col("role"), "turn": F.col("turn"), "conv": F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")), "text": F.col("text")}
+    return t(s, d, "conversations").select("conv_id", "turn", x.render("Role: {{ role }}\nTurn {{turn}} of <{{ conv }}>: {{ text }}", values).alias("prompt"))
 
 
 @query("tx32_assembly", "SELECT p_partkey, 'Title: ' || p_name || CASE WHEN p_size > 10 THEN chr(10) || chr(10) || 'Summary: ' || p_type ELSE '' END AS body FROM part")
@@ -200,10 +238,19 @@ def clamp(s, d):
     return t(s, d, "events").select("event_id", c.clamp(F.col("value") / 50 - 0.5).alias("v"))
 
 
-@query("mth03_cost", "SELECT event_id, round((user_id * 0.15 + event_id * 0.6) / 1000000, 8) AS cost FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 0.0 FROM events WHERE event_type <> 'view'")
+@query("mth03_cost", """WITH e AS (SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gemini-1.5-flash' WHEN 2 THEN 'gpt-4o-mini' ELSE 'other' END AS model FROM events),
+m(model, a, b) AS (VALUES ('gpt-4o', 2.5::DOUBLE, 10.0::DOUBLE), ('gemini-1.5-flash', 0.075, 0.3), ('gpt-4o-mini', 0.15, 0.6)),
+k(model, c, d) AS (VALUES ('gpt-4o', 0.0025::DOUBLE, 0.01::DOUBLE), ('gpt-4o-mini', 0.00015, 0.0006)),
+v AS (SELECT event_id, coalesce(user_id / 1000000 * a + event_id / 1000000 * b, 0) AS by_million, coalesce(user_id / 1000 * c + event_id / 1000 * d, 0) AS by_thousand,
+event_id / 2.0::DOUBLE / 15 * 0.006 AS by_seconds, event_id / 120.0::DOUBLE * 0.015 AS by_minute, event_id / 120.0::DOUBLE * 0.0059 AS by_minute_low, user_id * 0.006::DOUBLE AS file FROM e LEFT JOIN m USING (model) LEFT JOIN k USING (model))
+SELECT event_id, """ + ", ".join(f"floor({c} * 1e7 + 0.5123)::BIGINT AS {c}" for c in ("by_million", "by_thousand", "by_seconds", "by_minute", "by_minute_low", "file")) + " FROM v")
 def cost(s, d):
-    model = F.when(F.col("event_type") == "view", "small").otherwise("unknown")
-    return t(s, d, "events").select("event_id", c.token_cost(model, F.col("user_id"), F.col("event_id")).alias("cost"))
+    """In ten-millionths."""
+    k = F.col("event_id") % 4
+    model = F.when(k == 0, "gpt-4o").when(k == 1, "gemini-1.5-flash").when(k == 2, "gpt-4o-mini").otherwise("other")
+    n_in, n_out = F.col("user_id"), F.col("event_id")
+    made = {"by_million": c.token_cost(model, n_in, n_out), "by_thousand": c.token_cost_by_thousand(model, n_in, n_out), **c.speech_cost(n_out), "file": c.file_cost(n_in)}
+    return t(s, d, "events").select("event_id", *[F.floor(v * 1e7 + 0.5123).alias(n) for n, v in made.items()])
 
 
 @query("mth05_backoff", "SELECT l_linenumber, least(60 * power(3, l_linenumber), 3600)::BIGINT AS wait FROM (SELECT DISTINCT l_linenumber FROM lineitem)")
