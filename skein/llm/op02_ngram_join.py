@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import BROADCAST_ROWS, cut, partitions, ship, small_join, table
+from skein.llm.common import BROADCAST_ROWS, clustered, cut, partitions, ship, small_join, table
 from skein.llm.components import connected_components
 from skein.llm.words import chunks, mix64, shingle_hashes, word_hashes
 
@@ -46,14 +46,14 @@ PERCENT = 80
 #: Incidences that a column block holds about.
 BLOCK_ITEMS = 2_000_000
 #: Incidences that a task gathers before it sends blocks.
-FLUSH_ITEMS = 6_000_000
+FLUSH_ITEMS = 3_000_000
 #: Lists up to this length give all pairs; longer ones give pairs with this many pivots a round.
 SHORT, PIVOTS = 12, 2
 ROUNDS = 4
 #: Rows of a part of a long list, and of a block of the last round.
 PART, BLOCK_ROWS = 4096, 512
 #: Bytes of columns that the pairs of a row block name about; pairs of one row that are dealt alike.
-PRODUCT_BYTES, HUB_PAIRS = 32 << 20, 4096
+PRODUCT_BYTES, HUB_PAIRS = 8 << 20, 512
 
 
 def _needs(n: np.ndarray | int, percent: int):
@@ -284,11 +284,18 @@ def _pairs_table(a, b, k, n) -> pa.Table:
     return pa.table({"ka": pa.array(k[a]), "kb": pa.array(k[b]), "na": pa.array(n[a]), "nb": pa.array(n[b])})
 
 
+LISTED = "list long, k long, n long, place long, own double, at long"
+
+
 def _propose(percent: int):
-    """Column lists -> pairs wanted: all of short lists, those with pivots of long ones and of parts."""
+    """Column lists -> pairs wanted (ka, kb, na, nb): all of short lists, those with pivots of long ones and of parts.
+
+    The rows of lists that gave no more than their pivots' pairs follow with
+    null pairs: (list, k, n, place, own, at), at: the place in the list's part.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        _, _, k, n, _, place, start, size = _lists(group)
+        col, part, k, n, own, place, start, size = _lists(group)
         i = np.arange(len(k))
         a, b = [], []
         for d in range(1, SHORT):  # all pairs of short lists, one distance at a time
@@ -301,18 +308,14 @@ def _propose(percent: int):
             b.append(x)
         a, b = np.concatenate(a), np.concatenate(b)
         ok = (k[a] != k[b]) & _possible(n[a], n[b], place[a], place[b], percent)
-        return _pairs_table(a[ok], b[ok], k, n)
+        pairs = _pairs_table(a[ok], b[ok], k, n)
+        x = np.flatnonzero((size > SHORT) | (part >= 0))
+        listed = pa.table({"list": col[x].view(np.int64), "k": k[x], "n": n[x], "place": place[x], "own": own[x], "at": x - start[x]})
+        return pa.concat_tables([pairs, listed], promote_options="default")
 
     return run
 
 
-def _long_lists(group: pa.Table) -> pa.Table:
-    """The lists that gave no more than their pivots' pairs, row by row: (list, k, n, place, own, at), at: the place in its part."""
-    col, part, k, n, own, place, start, size = _lists(group)
-    x = np.flatnonzero((size > SHORT) | (part >= 0))
-    return pa.table({"list": col[x].view(np.int64), "k": k[x], "n": n[x], "place": place[x], "own": own[x], "at": x - start[x]})
-
-
 def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... ``size[0]`` of them, then those from first[1] on, ..."""
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -397,13 +400,15 @@ def links_of_sets(docs: DataFrame, classes: DataFrame, text: str, width: int = W
 
     named = classes.select("k", "n").mapInArrow(to_block, "k long, n long, q int")
     rows = kept.groupBy("q").cogroup(named.groupBy("q")).applyInArrow(_order_rows(percent), "k long, n long, alone long, cols binary, ranks binary")
-    rows = cut(rows, "rows")
-    lead = cut(rows.mapInArrow(_prefixes(blocks), "c int, col binary, part binary, k binary, n binary, alone binary, place binary"), "lead")
+    # in buckets by k: every product finds its rows without moving the others
+    rows = clustered(rows.repartition(partitions(spark), "k"), "k", "rows")
+    lead = rows.mapInArrow(_prefixes(blocks), "c int, col binary, part binary, k binary, n binary, alone binary, place binary")
 
-    pairs = cut(lead.groupBy("c").applyInArrow(_propose(percent), PAIRS).distinct(), "pairs")
+    proposed = cut(lead.groupBy("c").applyInArrow(_propose(percent), f"{PAIRS}, {LISTED}"), "proposed")
+    pairs = cut(proposed.filter("ka is not null").select("ka", "kb", "na", "nb").distinct(), "pairs")
     links = cut(product(rows, pairs, percent), "links")
     comps = connected_components(links, "ka", "kb")
-    lists = cut(lead.groupBy("c").applyInArrow(_long_lists, "list long, k long, n long, place long, own double, at long"), "lists")
+    lists = proposed.filter("ka is null").select("list", "k", "n", "place", "own", "at")
     for at in range(1, ROUNDS + 1):
         held = lists.join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
         # lists of which all rows are in one component have nothing to add

@@ -103,6 +103,20 @@ def test_repeated_windows_of_a_very_long_text(spark):
     assert op08_quality_rules.measures(df).first()["n_repeat_words"] == len(seen)
 
 
+@pytest.mark.parametrize("spare", [0, 40, 52, 60])
+def test_repeated_windows_whose_short_hashes_clash(spark, spare):
+    draw = np.random.default_rng(spare)
+    texts = [" ".join(f"w{x}" for x in draw.integers(0, k, 400)) for k in (2, 5, 8, 20, 1000)] + ["a b c", "a b c d", "", "a a a a a"]
+    want = []
+    for t in texts:
+        w = t.split()
+        count = Counter(zip(w, w[1:], w[2:]))
+        want.append(len({j for i in range(len(w) - 2) if count[w[i], w[i + 1], w[i + 2]] > 1 for j in (i, i + 1, i + 2)}))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in op08_quality_rules.measures(df, spare_bits=spare).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_expectation_maximisation(spark):
     """The model and the posterior are those of a plain version of the same steps."""
     draw = np.random.default_rng(8)
