@@ -41,28 +41,40 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
+#: Of a sorted array _seen, the places of the entries that {same} finds equal to the one before or after.
+_REPEATED = (
+    "transform(filter(sequence(0, greatest(size({seen}) - 1, 0)), j -> size({seen}) > 0 AND ("
+    "(j > 0 AND {same_before}) OR (j < size({seen}) - 1 AND {same_after}))), j -> {place})"
+)
+
+
+def measures(docs: DataFrame, text: str = "text", spare_bits: int = 0) -> DataFrame:
     """Add the counts that the rules look at; all whole texts, null counts as empty.
 
     A word is a run of anything but ASCII white space; n_repeat_words counts the
     words inside three-word windows that occur at least twice in the text.
-    Windows are compared by full 64-bit hashes at any length; sorting (hash,
-    place) finds the repeats without a row for each window.
+    Windows are compared by full 64-bit hashes, without a row for each window:
+    longs of a hash's low bits and the place are sorted, which is exact unless
+    two different hashes share those bits. That is counted, and such a text (the
+    more likely the longer; ``spare_bits`` provokes it) sorts whole hashes.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_body", body)
     df = df.withColumn("_words", F.array_remove(F.split(F.col("_body"), SPACE_RE), ""))
     df = df.withColumn("_n", F.size("_words"))
-    hashed = F.expr(
-        "CASE WHEN _n < 4 THEN array() ELSE transform(sequence(0, _n - 3), i -> "
-        "struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) AS h, i AS at)) END"
-    )
-    df = df.withColumn("_seen", F.sort_array(hashed.cast("array<struct<h:bigint,at:int>>")))
-    repeats = F.expr(
-        "sort_array(transform(filter(sequence(0, greatest(size(_seen) - 1, 0)), j -> size(_seen) > 0 AND ("
-        "(j > 0 AND _seen[j].h = _seen[j - 1].h) OR (j < size(_seen) - 1 AND _seen[j].h = _seen[j + 1].h))), "
-        "j -> _seen[j].at))"
-    )
+    # the number of low bits that hold a place
+    df = df.withColumn("_bits", F.least(F.lit(62), F.length(F.bin(F.col("_n").cast("long"))) + spare_bits))
+    hashed = F.expr("CASE WHEN _n < 4 THEN array() ELSE transform(sequence(0, _n - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END")
+    df = df.withColumn("_hashes", hashed.cast("array<bigint>"))
+    df = df.withColumn("_clash", F.expr("size(array_distinct(_hashes)) <> size(array_distinct(transform(_hashes, h -> shiftleft(h, _bits))))"))
+    df = df.withColumn("_seen", F.expr("CASE WHEN _clash THEN array() ELSE sort_array(transform(_hashes, (h, i) -> shiftleft(h, _bits) + i)) END").cast("array<bigint>"))
+    packed = _REPEATED.format(
+        seen="_seen", place="CAST(_seen[j] & (shiftleft(1L, _bits) - 1) AS INT)", same_before="shiftright(_seen[j], _bits) = shiftright(_seen[j - 1], _bits)",
+        same_after="shiftright(_seen[j], _bits) = shiftright(_seen[j + 1], _bits)",
+    )
+    whole = _REPEATED.format(seen="s", place="s[j].at", same_before="s[j].h = s[j - 1].h", same_after="s[j].h = s[j + 1].h")
+    whole = f"transform(array(sort_array(transform(_hashes, (h, i) -> struct(h AS h, i AS at)))), s -> {whole})[0]"
+    repeats = F.expr(f"sort_array(CASE WHEN _clash THEN {whole} ELSE {packed} END)")
     df = df.withColumn("_at", repeats)
     covered = F.expr(
         "CASE WHEN size(_at) = 0 THEN 0L ELSE 3L + aggregate(sequence(1, size(_at)), 0L, "
@@ -83,7 +95,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_exclaim": _without(F.col("_body"), "!").cast("long"),
             "n_digits": _without(F.col("_body"), "0123456789").cast("long"),
         }
-    ).drop("_body", "_words", "_n", "_seen", "_at", "_lines")
+    ).drop("_body", "_words", "_n", "_bits", "_hashes", "_clash", "_seen", "_at", "_lines")
 
 
 def votes(df: DataFrame, rules=RULES) -> DataFrame:
