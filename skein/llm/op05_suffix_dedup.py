@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import clustered, cut, partitions, ship, small_join, table
+from skein.llm.common import BROADCAST_ROWS, clustered, cut, partitions, ship, small_join, table
 from skein.llm.words import mix64
 
 LENGTH = 400
@@ -38,7 +38,7 @@ GRAM = 128
 #: Segments under one minimizer beyond which their starts are split by distance, and parts at most.
 SPLIT_AT, SPLITS = 4096, 16
 #: Different segments of one minimizer and part beyond which they are not sorted together: each start's string is counted by its digest.
-CROWD = 16_384
+CROWD = 4096
 #: Suffixes that a task sorts at once about.
 BATCH = 500_000
 
@@ -326,13 +326,24 @@ def _gather(length: int):
     return run
 
 
+def _with_counts(found: DataFrame, again: DataFrame) -> DataFrame:
+    """Segments whose minimizer is in ``again``, with its count; those of minimizers of very many are not moved, as no key may gather them."""
+    crowds = again.filter(F.col("held") > SPLIT_AT)
+    if crowds.count() > BROADCAST_ROWS:  # a crowd has SPLIT_AT segments: then no few of them hold a large share
+        return found.join(again, "h")
+    marked = found.join(F.broadcast(crowds), "h", "left")
+    calm = marked.filter("held is null").drop("held").join(again.filter(F.col("held") <= SPLIT_AT), "h")
+    return marked.filter("held is not null").unionByName(calm)
+
+
 def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(uid, text), distinct and clustered by uid -> (uid, spans): covered bytes [a, e) of texts of which strings start again."""
     spark = texts.sparkSession
     found = cut(texts.mapInArrow(_find(length, gram), "h long, uid binary, first long, last long, place long"), "found")
     # a minimizer that occurs twice or more; its segments by text
-    again = found.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1")
-    repeated = found.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "first", "last", "place", F.least("held", F.lit(SPLITS * SPLIT_AT)).alias("held"))).alias("found"))
+    again = cut(found.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1"), "again")
+    marked = _with_counts(found, again)
+    repeated = marked.groupBy("uid").agg(F.collect_list(F.struct("h", "first", "last", "place", F.least("held", F.lit(SPLITS * SPLIT_AT)).alias("held"))).alias("found"))
     segs = texts.join(repeated, "uid").select("uid", "text", "found").mapInArrow(_cut_out(length), "uid binary, h long, salt int, seg binary, first long, last long")
     segs = cut(segs.withColumn("dg", F.unhex(F.md5("seg"))), "segments")
     # many segments, then many different ones
