@@ -33,7 +33,7 @@ BLOCKS = 200_000
 SHARDS = 16
 SEED = 9
 #: Rows that one sorted run of a permuted stream holds about.
-RUN_ROWS = 4_000
+RUN_ROWS = 1_000
 
 
 def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weights: int = WEIGHTS) -> DataFrame:
@@ -123,7 +123,7 @@ def splitting_tree(blocks: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
 
 
 def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", shards: int = SHARDS,
-        block_words: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+        block_words: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """-> (rows of the mix, sources with their targets).
 
     Mix rows: ``_row`` (all columns of ``docs``), epoch, take (words of this
@@ -134,7 +134,9 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     The same rows and seed give the same mix.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source).alias("source"), F.col(key).alias("_key"), F.col(size).cast("long").alias("_size"))
+    # rows without a key are told apart by the number that the caller stored, if any: they lie in different runs
+    number = F.when(F.col(key).isNull(), F.col(row)) if row else F.lit(0)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).alias("source"), F.xxhash64(F.col(key), number).alias("_key"), F.col(size).cast("long").alias("_size"))
     sizes = keyed.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("docs"))
     plan = cut(targets(sizes, max_epochs), "targets")
     facts = plan.agg(F.count("*").alias("sources"), F.max("docs").alias("docs"), F.sum("source_size").alias("words")).first()
@@ -215,7 +217,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # a number for each row, stored: repeated doc_ids stay documents of their own
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("uid")), "sizes")
-    rows, plan = mix(sized)
+    rows, plan = mix(sized, row="uid")
     taken = rows.groupBy(F.col("_row.uid").alias("uid")).agg(F.sum("take").alias("_taken"))
     facts = plan.select(F.col("source").alias("_s"), "source_size", "target")
     out = small_join(sized.join(taken, "uid", "left"), facts, F.col("source").eqNullSafe(F.col("_s")))
