@@ -45,9 +45,23 @@ def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return rows.withColumns({"totalItems": F.lit(total), "totalPages": F.lit(pages), "hasNext": F.lit(number < pages), "hasPrev": F.lit(number > 1)})
 
 
-def trailing_window(keys: list[str], at: Column, span: int):
-    """The rows of the last ``span`` units of ``at`` (a whole number, such as microseconds), the current one included."""
-    return W.partitionBy(*keys).orderBy(at).rangeBetween(-span, 0)
+def trailing(df: DataFrame, keys: list[str], id: str, at: str, span: int, value: Column, chunk: int) -> DataFrame:
+    """(keys, ``id``, total, n): sum of ``value`` (a decimal) and number of the rows of equal keys from ``at`` - ``span`` to ``at``, both included.
+
+    A difference of running sums at the two ends, so the work doesn't grow with
+    the span. Running sums are taken within chunks of ``at`` (a whole number,
+    such as microseconds) and over the chunks: no task orders all rows of a key.
+    """
+    ends = df.select(*keys, id, F.col(at).alias("_t"), F.lit(1).alias("_end"), value.alias("_v"), F.lit(1).alias("_n"))
+    starts = df.select(*keys, id, (F.col(at) - span).alias("_t"), F.lit(0).alias("_end"), F.lit(0).cast(ends.schema["_v"].dataType).alias("_v"), F.lit(0).alias("_n"))
+    both = ends.unionByName(starts).withColumn("_c", F.floor(F.col("_t") / chunk))
+    near = W.partitionBy(*keys, "_c").orderBy("_t", "_end").rangeBetween(W.unboundedPreceding, W.currentRow)
+    far = W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    sums = both.groupBy(*keys, "_c").agg(F.sum("_v").alias("_sv"), F.sum("_n").alias("_sn"))
+    sums = sums.select(*keys, "_c", F.coalesce(F.sum("_sv").over(far), F.lit(0)).alias("_fv"), F.coalesce(F.sum("_sn").over(far), F.lit(0)).alias("_fn"))
+    upto = both.withColumns({"_uv": F.sum("_v").over(near), "_un": F.sum("_n").over(near)}).join(sums, [*keys, "_c"])
+    signed = lambda c: F.when(F.col("_end") == 1, c).otherwise(-c)
+    return upto.groupBy(*keys, id).agg(F.sum(signed(F.col("_uv") + F.col("_fv"))).alias("total"), F.sum(signed(F.col("_un") + F.col("_fn"))).alias("n"))
 
 
 def merge_hits(parts: list[DataFrame], distance: str, limit: int, *tie: Column) -> DataFrame:

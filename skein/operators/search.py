@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,14 +35,15 @@ def nearest_to(vectors: DataFrame, query: DataFrame, key: str, vector: str, k: i
 def _signatures(vector: Column, planes: int, bits: int, dim: int, seed: int) -> Column:
     """For each of several tables of random planes, the table's number and on which sides the vector lies."""
 
+    normals = np.random.default_rng(seed).standard_normal((planes, bits, dim))
+
     def side(table: int, bit: int) -> Column:
-        signs = F.array(*[F.lit(1.0 if hash((seed, table, bit, i)) & 1 else -1.0) for i in range(dim)])
-        return F.when(dot(vector, signs) >= 0, 1 << bit).otherwise(0)
+        return F.when(dot(vector, F.array(*[F.lit(float(x)) for x in normals[table, bit]])) >= 0, 1 << bit).otherwise(0)
 
     return F.array(*[F.struct(F.lit(p).alias("table"), sum((side(p, b) for b in range(1, bits)), side(p, 0)).alias("code")) for p in range(planes)])
 
 
-def approximate_nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, dim: int, planes: int = 36, bits: int = 5, seed: int = 17) -> DataFrame:
+def approximate_nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, dim: int, planes: int = 32, bits: int = 5, seed: int = 17) -> DataFrame:
     """(query, key, score): the k best of the vectors that share a bucket of random planes with a query, scored exactly.
 
     queries: (query, ``vector``). More planes find more, more bits look at less.

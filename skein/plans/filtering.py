@@ -125,14 +125,14 @@ def history(s, d):
     return o.latest(t(s, d, "conversations"), ["conv_id"], F.col("turn").desc(), rank="place", keep=1 << 30).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
 
 
-WEEK = "OVER (PARTITION BY event_type ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)"
+WEEK = "OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)"
 
 
 @query("wn04_trailing_week", f"SELECT event_id, (sum(value::DECIMAL(18,4)) {WEEK})::DOUBLE AS week_sum, count(*) {WEEK} AS week_n FROM events")
 def week(s, d):
     df = t(s, d, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
-    span = o.trailing_window(["event_type"], F.col("micros"), 604_800_000_000)
-    return df.select("event_id", F.sum(F.col("value").cast("decimal(18,4)")).over(span).cast("double").alias("week_sum"), F.count("*").over(span).alias("week_n"))
+    out = o.trailing(df, ["event_type"], "event_id", "micros", 604_800_000_000, F.col("value").cast("decimal(18,4)"), 86_400_000_000)
+    return out.select("event_id", F.col("total").cast("double").alias("week_sum"), F.col("n").alias("week_n"))
 
 
 @query("wn08_retry_schedule", "SELECT attempt, wait, sum(wait) OVER (ORDER BY attempt)::BIGINT AS elapsed FROM (VALUES (1::BIGINT, 60::BIGINT), (2, 300), (3, 900), (4, 3600), (5, 3600)) v(attempt, wait)")
