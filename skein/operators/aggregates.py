@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.scalars import round_even
+
 
 def money(column: str) -> Column:
     return F.col(column).cast("decimal(18,4)")
@@ -46,11 +48,18 @@ def percentiles(value: str, *shares: float, rows: int | None = None) -> list[Col
 EXACT_ROWS = 10_000_000
 
 
-def extraction_metrics(df: DataFrame, key: str, confidence: str, low: float = 0.6) -> DataFrame:
-    """Mean, least, number and share of low confidences (missing ones are 0.5) for each key."""
-    rows = df.select(key, F.coalesce(F.col(confidence), F.lit(0.5)).alias("_c"))
-    out = rows.groupBy(key).agg(mean("_c").alias("mean"), F.min("_c").alias("least"), F.count_if(F.col("_c") < low).alias("low"), F.count("*").alias("_n"))
-    return out.select(key, "mean", "least", "low", (F.col("low") / F.col("_n")).alias("risk"))
+def extraction_metrics(keys: DataFrame, items: DataFrame, key: str, confidence: str, low: float = 0.6) -> DataFrame:
+    """Mean, least, number and share of low confidences (missing ones are 0.5) for each row of ``keys``, to three digits.
+
+    A key without items has zeros, and 1 as the least.
+    """
+    rows = items.select(key, F.coalesce(F.col(confidence), F.lit(0.5)).alias("_c"))
+    out = rows.groupBy(key).agg(mean("_c").alias("_mean"), F.min("_c").alias("_least"), F.count_if(F.col("_c") < low).alias("_low"), F.count("*").alias("_n"))
+    zero = F.lit(0.0)
+    return keys.select(key).join(out, key, "left").select(
+        key, round_even(F.coalesce("_mean", zero), 3).alias("mean"), round_even(F.coalesce("_least", F.lit(1.0)), 3).alias("least"), F.coalesce("_low", F.lit(0)).cast("long").alias("low"),
+        round_even(F.coalesce(F.col("_low") / F.col("_n"), zero), 3).alias("risk"),
+    )
 
 
 def budget_action(spent: Column, limit: Column) -> Column:

@@ -103,18 +103,6 @@ def collect(s, d):
     return t(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_set("l_suppkey")), lambda x: x.cast("string")), ",").alias("supps"))
 
 
-@query("ag17_extraction_metrics", "WITH c AS (SELECT l_orderkey, coalesce(CASE WHEN l_linenumber % 5 > 0 THEN l_discount * 10 END, 0.5) AS v FROM lineitem) SELECT l_orderkey, sum(v::DECIMAL(18,4))::DOUBLE / count(*) AS mean, min(v) AS least, count(*) FILTER (WHERE v < 0.6) AS low, count(*) FILTER (WHERE v < 0.6) / count(*) AS risk FROM c GROUP BY 1")
-def extraction(s, d):
-    df = t(s, d, "lineitem").withColumn("c", F.when(F.col("l_linenumber") % 5 > 0, F.col("l_discount") * 10))
-    return a.extraction_metrics(df, "l_orderkey", "c")
-
-
-@query("ag18_transcript_stats", "SELECT conv_id, count(*) AS segments, sum(n)::BIGINT AS words, sum(n)::DOUBLE / count(*) AS mean FROM (SELECT conv_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n FROM conversations) GROUP BY 1")
-def transcripts(s, d):
-    sized = t(s, d, "conversations").select("conv_id", F.size(words(F.col("text"))).alias("n"))
-    return sized.groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum("n").alias("words"), a.mean("n").alias("mean"))
-
-
 @query("ag19_type_token", "WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents) SELECT doc_id, round(len(list_distinct(w)) / len(w)::DOUBLE, 6) AS ttr FROM w WHERE len(w) > 0")
 def type_token(s, d):
     df = t(s, d, "documents").select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)

@@ -173,10 +173,10 @@ def relevance(s, d):
 
 
 @query("vs08_trigrams", """WITH g AS (SELECT p_partkey, p_name, list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substring('  ' || lower(p_name) || ' ', i, 3))) AS g FROM part),
-q AS (SELECT list_distinct(list_transform(range(1, length('part') + 2), lambda i: substring('  part ', i, 3))) AS q)
-SELECT p_partkey, round(len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE, 6) AS score FROM g, q WHERE len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE >= 0.1""")
+q AS (SELECT list_distinct(list_transform(range(1, length('small gizmo') + 2), lambda i: substring('  small gizmo ', i, 3))) AS q)
+SELECT p_partkey, round(len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE, 6) AS score FROM g, q WHERE len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE >= 0.3""")
 def trigram_search(s, d):
-    return search.similar_names(t(s, d, "part"), "p_name", "part", 0.1).select("p_partkey", F.round("score", 6).alias("score"))
+    return search.similar_names(t(s, d, "part"), "p_name", "small gizmo", 0.3).select("p_partkey", F.round("score", 6).alias("score"))
 
 
 ALL_EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem"

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from skein.operators import quality, resolve
+from skein.functions.text import words
+from skein.operators import aggregates, quality, resolve
 from skein.registry import query
 from skein.session import table as t
 
@@ -299,3 +300,49 @@ def dictionary(s, d):
     first = aliases.groupBy("alias").agg(F.min_by("canonical", "place").alias("found"))
     rows = entities(s, d).join(F.broadcast(first), F.lower(F.trim("name")) == F.col("alias"))
     return rows.groupBy(F.col("found").alias("canonical")).agg(F.count("*").alias("n"))
+
+
+EXTRACTED = """c AS (SELECT l_orderkey, coalesce(CASE WHEN l_linenumber % 5 > 0 THEN l_discount * 10 END, 0.5) AS v FROM lineitem WHERE l_partkey % 3 = 0),
+m AS (SELECT l_orderkey, sum(v::DECIMAL(18,4))::DOUBLE / count(*) AS mean, min(v) AS least, count(*) FILTER (WHERE v < 0.6) AS low, count(*) FILTER (WHERE v < 0.6) / count(*) AS risk FROM c GROUP BY 1)"""
+
+
+@query("ag17_extraction_metrics", f"WITH {EXTRACTED} SELECT o_orderkey, {sql_even('coalesce(mean, 0)', 3)} AS mean, {sql_even('coalesce(least, 1)', 3)} AS least, coalesce(low, 0) AS low, {sql_even('coalesce(risk, 0)', 3)} AS risk FROM orders LEFT JOIN m ON l_orderkey = o_orderkey")
+def extraction(s, d):
+    """Orders as runs, a third of their lines as extracted items; some runs have none."""
+    items = t(s, d, "lineitem").filter("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_linenumber") % 5 > 0, F.col("l_discount") * 10).alias("c"))
+    return aggregates.extraction_metrics(t(s, d, "orders"), items, "o_orderkey", "c")
+
+
+@query("ag18_transcript_stats", "SELECT conv_id, count(*) AS segments, sum(n)::BIGINT AS words, sum(n)::DOUBLE / count(*) AS mean, sum(c::DECIMAL(18,4))::DOUBLE / count(*) AS confidence FROM (SELECT conv_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n, CASE WHEN turn % 3 > 0 THEN (turn * 7 % 100) / 100.0 ELSE 0.95 END AS c FROM conversations) GROUP BY 1")
+def transcripts(s, d):
+    """Segments, words and confidence of transcripts; an unknown confidence is 0.95."""
+    known = F.when(F.col("turn") % 3 > 0, (F.col("turn") * 7 % 100) / 100.0)
+    sized = t(s, d, "conversations").select("conv_id", F.size(words(F.col("text"))).alias("n"), F.coalesce(known, F.lit(0.95)).alias("c"))
+    return sized.groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum("n").alias("words"), aggregates.mean("n").alias("mean"), aggregates.mean("c").alias("confidence"))
+
+
+@query("ag29_entity_frequency", "SELECT lower(role) AS name, count(*) AS mentions, count(DISTINCT conv_id) AS documents FROM conversations WHERE turn % 9 < 8 GROUP BY 1")
+def entity_frequency(s, d):
+    named = knowledge(s, d).select("knowledgeId", F.explode("entities").alias("e")).select("knowledgeId", F.lower("e.name").alias("name")).filter("name is not null")
+    return named.groupBy("name").agg(F.count("*").alias("mentions"), F.count_distinct("knowledgeId").alias("documents"))
+
+
+@query("ag29_contradiction_density", "WITH r AS (SELECT DISTINCT conv_id, coalesce(CASE WHEN turn % 2 = 0 THEN 'Bali' WHEN turn % 3 = 0 THEN '' END, 'unknown') AS region FROM conversations) SELECT region, count(*) AS documents, count(*) FILTER (WHERE conv_id % 4 = 0) AS contradictions, count(*) FILTER (WHERE conv_id % 4 = 0) / count(*) AS density FROM r GROUP BY 1")
+def contradiction_density(s, d):
+    """Contradictions of the documents that touch a region."""
+    docs = knowledge(s, d).select(F.coalesce(F.size("contradictions"), F.lit(0)).alias("n"), F.explode(F.array_distinct(F.transform("entities", lambda e: F.coalesce(e["region"], F.lit("unknown"))))).alias("region"))
+    out = docs.groupBy("region").agg(F.count("*").alias("documents"), F.sum("n").alias("contradictions"))
+    return out.withColumn("density", F.col("contradictions") / F.col("documents"))
+
+
+@query("ag29_weak_claims", "SELECT conv_id || '-' || turn AS claim, ((turn * 37 + conv_id * 11) % 101)::INT AS confidence FROM conversations WHERE turn % 7 < 6 ORDER BY 2, 1 LIMIT 20")
+def weak_claims(s, d):
+    """The twenty claims of the least confidence."""
+    claims = knowledge(s, d).select(F.explode("claims").alias("c")).select(F.col("c.claimId").alias("claim"), "c.confidence").filter("confidence is not null")
+    return claims.orderBy("confidence", "claim").limit(20)
+
+
+@query("ag29_gaps", WITH_COUNTS + "SELECT gaps > 2 AS many, count(*) AS documents, sum(gaps)::BIGINT AS gaps FROM q GROUP BY 1")
+def gap_totals(s, d):
+    gaps = quality.validate(knowledge(s, d)).select(F.size(F.filter("kinds", lambda k: k["type"] == "research_gap")).alias("gaps"))
+    return gaps.groupBy((F.col("gaps") > 2).alias("many")).agg(F.count("*").alias("documents"), F.sum("gaps").alias("gaps"))
