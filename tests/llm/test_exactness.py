@@ -236,3 +236,37 @@ def test_sum_before(spark):
     assert got == {g: sum(n for h, _, n in rows if h < g) for g, _, _ in rows}
     got = {r["g"]: r["x"] for r in common.sum_before(df, "n", "g", "x", by="s", chunk=7).collect()}
     assert got == {g: sum(n for h, t, n in rows if h < g and t == s) for g, s, _ in rows}
+
+
+def test_blocks_passed_over_lose_nothing(monkeypatch):
+    """The index in parts and small blocks against all scores; some blocks are passed over."""
+    from skein.llm import op07_topk_search as op
+
+    monkeypatch.setattr(op, "WIDTH", 4)
+    draw = np.random.default_rng(12)
+    pool = np.sort(mix64(np.arange(3000, dtype=np.uint64)))
+    kinds = [pool[a : a + 900] for a in (0, 900, 1800)]  # three languages
+    terms, counts = [], []
+    for i in range(240):
+        own = np.unique(draw.choice(kinds[i % 3], 60))
+        terms.append(own)
+        counts.append(draw.integers(1, 9, len(own)).astype(np.int32))
+    terms[7], counts[7] = terms[0], counts[0]  # a tie
+    docs, lengths = np.arange(240) * 10, np.array([c.sum() for c in counts])
+    mean = lengths.mean()
+    queries = list(range(0, 240, 11))
+    flat = np.concatenate([terms[q] for q in queries])
+    edges = np.concatenate([[0], np.cumsum([len(terms[q]) for q in queries])])
+    weights = draw.random(len(flat)) + 0.1
+    best = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)
+    added = []
+    for a in range(0, 240, 60):
+        part = op.PartIndex(docs[a : a + 60], lengths[a : a + 60], terms[a : a + 60], counts[a : a + 60], mean)
+        part.search(edges, flat, weights, 5, best)
+        added.append(len(part.dense))
+    for i, q in enumerate(queries):
+        own = dict(zip(terms[q].tolist(), weights[edges[i] : edges[i + 1]]))
+        scores = [sum(own[t] * w for t, w in zip(terms[d].tolist(), op._weights(counts[d].astype(float), np.full(len(counts[d]), float(lengths[d])), mean)) if t in own) for d in range(240)]
+        order = sorted((d for d in range(240) if scores[d] > 0), key=lambda d: (-round(scores[d], 9), docs[d]))[:5]
+        assert best[i][1].tolist() == [docs[d] for d in order]
+        assert np.allclose(best[i][0], [scores[d] for d in order])
