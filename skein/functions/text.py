@@ -78,20 +78,27 @@ def drop_repeated_phrases(text: Column) -> Column:
     Linear in the words: the text is split once, each run of four has its key once.
     """
 
-    def keys(w: Column) -> Column:
-        last = F.size(w) - 4
-        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda j: F.array_join(F.array_sort(F.array_distinct(F.transform(F.slice(w, j + 1, F.lit(4)), F.lower))), "\x01"))
+    def keys(low: Column) -> Column:
+        last = F.greatest(F.size(low) - 4, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda j: F.array_join(F.array_sort(F.array_distinct(F.array(*[F.get(low, j + n) for n in range(4)]))), "\x01"))
 
     def kept(both: Column) -> Column:
-        w, key = both["w"], both["key"]
+        key = both["key"]
 
         def keep(word: Column, i: Column) -> Column:
-            back = F.when(i >= 5, F.slice(key, F.greatest(F.lit(1), i - 10), F.least(F.lit(7), i - 4))).otherwise(F.array().cast("array<string>"))
-            return ~F.coalesce(F.array_contains(back, F.get(key, i - 4)), F.lit(False))
+            now = F.get(key, i - 4)
+            again = F.get(key, i - 5) == now
+            for back in range(6, 12):
+                again = again | (F.get(key, i - back) == now)
+            return ~F.coalesce(again, F.lit(False))
 
-        return F.array_join(F.filter(w, keep), " ")
+        return F.array_join(F.filter(both["w"], keep), " ")
 
-    return let(words(text), lambda w: F.when(F.size(w) < 5, text).otherwise(let(F.struct(w.alias("w"), keys(w).alias("key")), kept)))
+    def clean(w: Column) -> Column:
+        key = let(F.transform(w, F.lower), keys)
+        return F.when(F.size(w) < 5, text).otherwise(let(F.struct(w.alias("w"), key.alias("key")), kept))
+
+    return let(words(text), clean)
 
 
 def light_clean(text: Column) -> Column:

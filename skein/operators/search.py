@@ -68,9 +68,9 @@ def postings(docs: DataFrame, key: str, words: Column, stop: tuple[str, ...] = (
 
 def bm25(docs: DataFrame, key: str, words: Column, query: list[str]) -> DataFrame:
     """(key, score) of documents that have a query term. Only postings of query terms are counted."""
-    sized = docs.select(key, F.size(words).alias("length"), F.filter(words, lambda w: w.isin(*query)).alias("hits"))
+    sized = docs.select(key, words.alias("_w")).select(key, F.size("_w").alias("length"), F.filter("_w", lambda w: w.isin(*query)).alias("hits"))
     facts = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    tf = sized.select(key, "length", F.explode("hits").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    tf = sized.filter(F.size("hits") > 0).select(key, "length", F.explode("hits").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(facts["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(facts["mean"] or 1))))
