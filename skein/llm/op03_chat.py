@@ -1,9 +1,9 @@
 """Chat formatting: cumulative snapshots collapse to their longest conversation.
 
 A logger that stores a conversation after every turn leaves prefixes of it. Each
-turn gets the hash of all turns up to it (two sums of 40-bit turn hashes that
-hold the turn's place, so a prefix hash is a running sum and long conversations
-are summed in blocks). A conversation whose last prefix hash is an earlier prefix
+turn gets the hash of all turns up to it (two exclusive-ors of 64-bit turn hashes
+that hold the turn's place, so a prefix hash is a running aggregate that can't
+overflow, and long conversations are aggregated in blocks). A conversation whose last prefix hash is an earlier prefix
 hash of another one is a snapshot; an anti-join on (turns, hash) leaves the
 maximal ones, of equal ones that with the least id. Only these are rendered.
 """
@@ -41,16 +41,16 @@ def prefixes(turns: DataFrame) -> DataFrame:
     )
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b"))
     df = df.join(sizes, same).withColumn("place", F.col("_base") + F.col("_r")).drop("_c", "_b", "_base", "_r")
-    for k in (1, 2):  # 40 bits each: a sum over eight million turns can't overflow
-        df = df.withColumn(f"t{k}", F.shiftrightunsigned(F.xxhash64(F.lit(k), "place", "k1", "k2"), 24))
-    sums = df.groupBy("conv_id", "block").agg(F.sum("t1").alias("s1"), F.sum("t2").alias("s2"))
+    for k in (1, 2):
+        df = df.withColumn(f"t{k}", F.xxhash64(F.lit(k), "place", "k1", "k2"))
+    sums = df.groupBy("conv_id", "block").agg(F.bit_xor("t1").alias("s1"), F.bit_xor("t2").alias("s2"))
     sums = sums.select(
         F.col("conv_id").alias("_c"), F.col("block").alias("_b"),
-        *[F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).alias(f"_s{k}") for k in (1, 2)],
+        *[F.coalesce(F.bit_xor(f"s{k}").over(before), F.lit(0)).alias(f"_s{k}") for k in (1, 2)],
     )
     upto = W.partitionBy("conv_id", "block").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumns({f"h{k}": F.sum(f"t{k}").over(upto) for k in (1, 2)}).join(sums, same)
-    return df.select("conv_id", "block", "place", "turns", *[(F.col(f"h{k}") + F.col(f"_s{k}")).alias(f"h{k}") for k in (1, 2)])
+    df = df.withColumns({f"h{k}": F.bit_xor(f"t{k}").over(upto) for k in (1, 2)}).join(sums, same)
+    return df.select("conv_id", "block", "place", "turns", *[F.col(f"h{k}").bitwiseXOR(F.col(f"_s{k}")).alias(f"h{k}") for k in (1, 2)])
 
 
 #: Order of turns; the hashes part turns that are equal but for the text.
