@@ -1,6 +1,6 @@
 """The training-data queries by name, and their SQL where SQL can say them."""
 
-from skein.llm import op03_chat, op10_warc, op13_fill_in_middle
+from skein.llm import op03_chat, op10_warc, op11_hard_negatives, op13_fill_in_middle
 from skein.llm.op01_importance import op1_importance_resampling
 from skein.llm.op02_ngram_join import op2_ngram_join
 from skein.llm.op03_chat import op3_chat_formatting
@@ -11,6 +11,7 @@ from skein.llm.op07_topk_search import op7_topk_search
 from skein.llm.op08_quality_rules import op8_quality_rules
 from skein.llm.op09_mixing import op9_mixing
 from skein.llm.op10_warc import op10_warc as op10
+from skein.llm.op11_hard_negatives import op11_hard_negatives as op11
 from skein.llm.op13_fill_in_middle import op13_fill_in_middle as op13
 
 QUERIES = {
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_warc": op10,
+    "op11_hard_negatives": op11,
     "op13_fill_in_middle": op13,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": op03_chat.ORACLE,
     "op10_warc": op10_warc.ORACLE,
+    "op11_hard_negatives": op11_hard_negatives.ORACLE,
     "op13_fill_in_middle": op13_fill_in_middle.ORACLE,
 }
