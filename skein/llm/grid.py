@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import partitions
+
 #: Vector components of a held block, and of what is compared with it at once.
 HELD_CELLS = 1 << 22
 
@@ -44,7 +46,7 @@ def meet(held: DataFrame, passing: DataFrame, keys: list[str], run: Callable[[pa
     bound how many are held.
     """
     both = held.withColumn("_passing", F.lit(False)).unionByName(passing.withColumn("_passing", F.lit(True)))
-    near = both.repartition(*keys).sortWithinPartitions(*keys, "_passing", order)
+    near = both.repartition(partitions(held.sparkSession), *keys).sortWithinPartitions(*keys, "_passing", order)
     return near.mapInArrow(_blocks(keys, run), schema)
 
 

@@ -12,6 +12,7 @@ from skein.llm.op08_quality_rules import op8_quality_rules
 from skein.llm.op09_mixing import op9_mixing
 from skein.llm.op10_warc import op10_warc as op10
 from skein.llm.op11_hard_negatives import op11_hard_negatives as op11
+from skein.llm.op12_vector_dedup import op12_vector_dedup
 from skein.llm.op13_fill_in_middle import op13_fill_in_middle as op13
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_warc": op10,
     "op11_hard_negatives": op11,
+    "op12_vector_dedup": op12_vector_dedup,
     "op13_fill_in_middle": op13,
 }
 ORACLES: dict[str, str] = {
