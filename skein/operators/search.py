@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -118,3 +120,40 @@ def similar_names(df: DataFrame, name: str, query: str, least: float) -> DataFra
     a, b = trigrams(F.col(name)), trigrams(F.lit(query))
     score = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     return df.withColumn("score", score).filter(F.col("score") >= least)
+
+
+def gram_index(names: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, gram, place, size): the trigrams of each name, the rarest of all first. Null names have none; a key is one name."""
+    grams = names.filter(F.col(name).isNotNull()).select(key, F.explode(trigrams(F.col(name))).alias("gram"))
+    known = grams.groupBy("gram").agg(F.count("*").alias("_df"))
+    order = W.partitionBy(key).orderBy("_df", "gram")
+    sized = grams.join(known, "gram").withColumn("place", F.row_number().over(order))
+    return sized.withColumn("size", F.count("*").over(W.partitionBy(key))).drop("_df")
+
+
+def similar_pairs(names: DataFrame, key: str, name: str, least: float, parts: int = 64) -> DataFrame:
+    """(a, b, score), a < b: all pairs of names whose trigram sets have a Jaccard similarity of ``least`` or more.
+
+    Two such names share a gram among the first ``size - ceil(least * size) + 1``
+    of each, rarest first, and their sizes differ by no more than the factor
+    ``least``; only postings under these bounds meet. How much two names can still
+    share after the grams at which they met bounds a pair once more. Postings of
+    a frequent gram are dealt to blocks, so they meet in many tasks. What is left
+    is scored by the sets themselves. Keys are those of distinct names: give a
+    class of equal names one key.
+    """
+    from skein.operators.graph import pairs_within
+
+    grams = gram_index(names, key, name)
+    first = grams.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select(F.col(key).alias("_id"), "gram", "place", "size")
+    met = pairs_within(first, "gram", "_id", 4096 // max(1, math.isqrt(parts)))
+    x, y = F.col("_x"), F.col("_y")
+    able = F.least(x["size"], y["size"]) >= least * F.greatest(x["size"], y["size"])
+    # grams before the common one are not shared, if this is the first common one; the bound holds for that meeting
+    left = F.least(x["size"] - x["place"], y["size"] - y["place"]) + 1
+    reach = left * (1 + least) >= least * (x["size"] + y["size"])
+    pairs = met.groupBy(x["_id"].alias("a"), y["_id"].alias("b")).agg(F.max(able & reach).alias("_able")).filter("_able").select("a", "b")
+    sets = names.filter(F.col(name).isNotNull()).select(F.col(key).alias("_k"), trigrams(F.col(name)).alias("_g"))
+    scored = pairs.join(sets.withColumnsRenamed({"_k": "a", "_g": "_ga"}), "a").join(sets.withColumnsRenamed({"_k": "b", "_g": "_gb"}), "b")
+    both = F.size(F.array_intersect("_ga", "_gb"))
+    return scored.withColumn("score", both / (F.size("_ga") + F.size("_gb") - both)).filter(F.col("score") >= least).select("a", "b", "score")

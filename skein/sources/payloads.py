@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 from skein.functions.scalars import record_hash
 from skein.functions.text import token_estimate, words
 from skein.operators.joins import small_join
+from skein.storage import scratch as scratch
 
 #: Columns of a video with the payload's field, type and default of each.
 VIDEO = {
@@ -95,16 +93,6 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFra
     return both.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).filter("_r = 1").drop("_r")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder for files that a query writes and reads back: in spark.checkpoint.dir; a local master may do without."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="skein-")
-    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of the files under a folder, in any store that Spark writes to."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
