@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from skein.plans.states import RUN, requests_of
 from skein.registry import query
 from skein.session import table as t
-from skein.streaming import jobs
+from skein.sources import topics
+from skein.storage import scratch
+from skein.streaming import jobs, keyed, sinks
 
 
 @query("ss02_idempotent", "SELECT DISTINCT event_id, user_id FROM (SELECT * FROM events UNION ALL SELECT * FROM events)")
@@ -87,3 +90,85 @@ def replay(s, d):
 @query("ss_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, k")
 def sessions(s, d):
     return jobs.sessions(t(s, d, "events")).select("user_id", "start", "events")
+
+
+@query("ss10_keyed_stream", RUN + "SELECT event_id, state, retries, ok FROM f JOIN s ON s.i = f.i WHERE event_id IS NOT NULL")
+def keyed_stream(s, d):
+    """The state machine of all events as a stream: batches that hold every fourth event of a time, so that each is late by the next one's rows."""
+    rows = requests_of(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    edges = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    folder = scratch(s, "requests")
+    span = F.unix_micros(F.lit(edges["b"])) - F.unix_micros(F.lit(edges["a"])) + 1
+    block = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(edges["a"]))) * 4 / span)
+    for b in range(4):
+        # what is odd of a quarter comes with the next one
+        rows.filter((block + F.pmod("event_id", F.lit(2)) == b) | ((block == 3) & (F.lit(b) == 3))).write.parquet(f"{folder}/in/b{b}")
+    last = rows.limit(1).select(F.lit(-1).cast(rows.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast("long").alias("event_id"), F.lit(edges["b"] + (edges["b"] - edges["a"])).alias("ts"), F.lit("QUEUED").alias("new"))
+    last.write.parquet(f"{folder}/in/b4")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1_000_000).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    late = f"{(edges['b'] - edges['a']).total_seconds() / 2 + 60:.0f} seconds"
+    out = keyed.run_stream(stream, "user_id", late)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{folder}/out").filter("kind = 'move' AND user_id >= 0").select("event_id", "state", "retries", "ok")
+
+
+@query("ss10_stuck", RUN + """, g AS (SELECT f.user_id, epoch_us(ts) AS us, f.event_id, f.i FROM f JOIN events USING (event_id) WHERE ok),
+l AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS gone, min(CASE WHEN i > 1 THEN us END) OVER (PARTITION BY user_id) AS started FROM g),
+w AS (SELECT *, greatest(us, started + 3600000000) AS due FROM l JOIN s USING (i) WHERE state LIKE '%ING')
+SELECT user_id, due // 1000 AS ms, state FROM w WHERE (gone IS NULL OR (gone + 999) // 1000 > due // 1000 + 1) AND (due // 1000 + 1) * 1000 <= (SELECT max(epoch_us(ts)) FROM events)""")
+def stuck(s, d):
+    """Videos at work for over sixty minutes, from their moves."""
+    from skein.operators import routing
+
+    rows = requests_of(s, d)
+    upto = rows.agg(F.max("ts")).first()[0]
+    found = keyed.stuck(routing.run_moves(rows, "user_id", "ts", "event_id"), "user_id", F.lit(upto).cast("timestamp"))
+    return found.select("user_id", F.floor(F.unix_micros("ts") / 1000).alias("ms"), "state")
+
+
+PARTED = "CAST('0x' || substr(md5(user_id::VARCHAR), 1, 8) AS BIGINT) % 3"
+
+
+def events_log(s, d):
+    """The events as a topic of three partitions, in order of time within each: its path."""
+    topics.register(s)
+    folder = scratch(s, "topics")
+    e = t(s, d, "events").select(F.col("user_id").cast("string").alias("video_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("_e"))
+    rows = jobs.records(e, beside=("time", "_e"))
+    part = topics.partition_column(F.col("key"), F.col("value"))
+    dealt = rows.withColumn("_p", part).repartition(topics.PARTITIONS, "_p").sortWithinPartitions("_p", "time", "_e")
+    dealt.select("time", "key", "value").write.format("topic_log").options(path=folder, topic="events").mode("append").save()
+    return folder
+
+
+@query("src03_topic_log", f"SELECT ({PARTED})::INT AS partition, row_number() OVER (PARTITION BY {PARTED} ORDER BY ts, event_id) - 1 AS \"offset\", user_id::VARCHAR AS key, event_id, event_type FROM events")
+def topic_log(s, d):
+    """All events through a topic: written under their key, read back with partition and offset."""
+    rows = s.read.format("topic_log").options(path=events_log(s, d), topics="events").load()
+    value = F.from_json("value", "event_id long, event_type string")
+    return rows.select("partition", "offset", "key", value["event_id"].alias("event_id"), value["event_type"].alias("event_type"))
+
+
+@query("ss09_group_lag", f"""WITH p AS (SELECT ({PARTED})::INT AS partition, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {PARTED} ORDER BY ts, event_id) - 1 AS o FROM events),
+n AS (SELECT partition, count(*) AS n, count(*) * partition // 3 AS done FROM p GROUP BY 1), l AS (SELECT partition, n - done AS lag, (SELECT (max(us) - min(us)) / 1e6 FROM p WHERE p.partition = n.partition AND o >= done) AS behind FROM n)
+SELECT partition, lag, coalesce(behind, 0) AS behind_seconds, CASE WHEN lag > 5000 THEN 'critical' WHEN lag > 1000 OR behind > 60 THEN 'warning' ELSE 'ok' END AS alert FROM l""")
+def group_lag(s, d):
+    """How far a group is behind that has read nothing of the first partition, a third of the second, two of the third."""
+    path = events_log(s, d)
+    log = topics.Log(path)
+    ends = log.ends(["events"])
+    log.commit_group("reader", {name: end * int(name.rsplit("/", 1)[1]) // 3 for name, end in ends.items()})
+    return jobs.lag(topics.group_lag(s, path, ["events"], "reader"), None).select("partition", "lag", "behind_seconds", "alert")
+
+
+@query("ss05_once", "SELECT event_id, NOT coalesce(event_type IN ('click', 'view'), false) AS dead, 1::BIGINT AS times FROM events")
+def once(s, d):
+    """Good rows and dead letters of a batch that is delivered three times, twice of them whole."""
+    e = t(s, d, "events").select("event_id", "event_type")
+    sink = sinks.OnceSink(s, scratch(s, "once"))
+    route = sinks.route_once(sink, "event_type IN ('click', 'view')")
+    for _ in range(3):
+        route(e, 0)
+    kept = "event_id long, event_type string"
+    both = sink.read("good", kept).select("event_id", F.lit(False).alias("dead")).unionByName(sink.read("dead", kept).select("event_id", F.lit(True).alias("dead")))
+    return both.groupBy("event_id", "dead").agg(F.count("*").alias("times"))

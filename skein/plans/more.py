@@ -231,12 +231,12 @@ def decode(s, d):
     return jobs.decode(t(s, d, "events"), "props", "props").select("event_id", F.variant_get("payload", "$.k", "long").alias("k"))
 
 
-@query("ss09_lag", "SELECT event_type AS topic, max(event_id) - max(event_id) FILTER (WHERE event_id % 3 = 0) AS lag FROM events GROUP BY 1")
+@query("ss09_lag", "SELECT event_type AS topic, lag, CASE WHEN lag > 5000 THEN 'critical' WHEN lag > 1000 THEN 'warning' ELSE 'ok' END AS alert FROM (SELECT event_type, max(event_id) - max(event_id) FILTER (WHERE event_id % 3 = 0) AS lag FROM events GROUP BY 1)")
 def consumer_lag(s, d):
     e = t(s, d, "events").select(F.col("event_type").alias("topic"), F.lit(0).alias("partition"), "event_id")
     ends = e.groupBy("topic", "partition").agg(F.max("event_id").alias("end"))
     done = e.filter("event_id % 3 = 0").groupBy("topic", "partition").agg(F.max("event_id").alias("committed"))
-    return jobs.lag(ends, done).select("topic", "lag")
+    return jobs.lag(ends, done).select("topic", "lag", "alert")
 
 
 @query("ss11_incremental", "WITH k AS (SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND event_id % 7 > 0) SELECT event_id, ts > (SELECT max(ts) FROM k) AS after_mark FROM events WHERE event_id NOT IN (SELECT event_id FROM k)")

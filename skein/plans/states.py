@@ -125,14 +125,22 @@ def decisions(s, d):
     return routing.latest_status(rows, "user_id", "event_id")
 
 
-@query("ss10_state_machine", f"""WITH RECURSIVE {STATES}, {MOVES}, e AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 1 + event_id // 2 % 15 ELSE event_id // 2 % 23 END AS j, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+RUN = f"""WITH RECURSIVE {STATES}, {MOVES}, e AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 1 + event_id // 2 % 15 ELSE event_id // 2 % 23 END AS j, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id, 0::BIGINT AS n, 0 AS i, 0 AS retries, NULL::BIGINT AS event_id, false AS ok FROM (SELECT DISTINCT user_id FROM events)
  UNION ALL SELECT user_id, n, CASE WHEN ok THEN j ELSE i END, retries + CASE WHEN ok AND j BETWEEN 16 AND 21 THEN 1 ELSE 0 END, event_id, ok
  FROM (SELECT f.user_id, e.n, f.i, f.retries, e.j, e.event_id, m.a IS NOT NULL AND NOT (e.j BETWEEN 16 AND 21 AND f.retries >= 3) AS ok FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1 LEFT JOIN m ON m.a = f.i AND m.b = e.j))
-SELECT event_id, state, retries, ok FROM f JOIN s ON s.i = f.i WHERE event_id IS NOT NULL""")
-def stateful(s, d):
-    """Each user's events as requests to move one video on, in order of time: the state, retries and verdict after each."""
+"""
+
+
+def requests_of(s, d):
+    """Each user's events as requests to move one video on."""
     i = F.col("event_id")
     pick = lambda n: F.element_at(F.array(*[F.lit(x) for x in routing.STATES]), (n + 1).cast("int"))
     new = F.when(i % 2 == 0, pick(1 + F.floor(i / 2) % 15)).otherwise(pick(F.floor(i / 2) % 23))
-    return routing.run_moves(t(s, d, "events").select("user_id", "event_id", "ts", new.alias("new")), "user_id", "ts", "event_id").select("event_id", "state", "retries", "ok")
+    return t(s, d, "events").select("user_id", "event_id", "ts", new.alias("new"))
+
+
+@query("ss10_state_machine", RUN + "SELECT event_id, state, retries, ok FROM f JOIN s ON s.i = f.i WHERE event_id IS NOT NULL")
+def stateful(s, d):
+    """The requests in order of time: the state, retries and verdict after each."""
+    return routing.run_moves(requests_of(s, d), "user_id", "ts", "event_id").select("event_id", "state", "retries", "ok")

@@ -33,10 +33,10 @@ def broker_source(spark: SparkSession, servers: str, topics: list[str], schema:
 KEYS = ("video_id", "pipeline_id")
 
 
-def records(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Rows as (key, value) records: JSON under the video's id, else the run's; rows with neither have no key."""
+def records(df: DataFrame, keys: tuple[str, ...] = KEYS, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Rows as (key, value) records: JSON under the video's id, else the run's; rows with neither have no key. Columns ``beside`` stay columns."""
     held = [F.col(k).cast("string") for k in keys if k in df.columns]
-    return df.select((F.coalesce(*held) if held else F.lit(None).cast("string")).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+    return df.select((F.coalesce(*held) if held else F.lit(None).cast("string")).alias("key"), F.to_json(F.struct(*[c for c in df.columns if c not in beside])).alias("value"), *beside)
 
 
 def broker_sink(df: DataFrame, servers: str, topic: str, checkpoint: str, keys: tuple[str, ...] = KEYS):
@@ -174,7 +174,17 @@ def replay(dead: DataFrame, processed: DataFrame, key: str = "event_id") -> Data
     return dead.join(processed.select(key), key, "left_anti")
 
 
-def lag(ends: DataFrame, committed: DataFrame, warn: int = 1000, critical: int = 5000) -> DataFrame:
-    """Messages behind for each topic and partition, with their alert."""
-    both = ends.join(committed, ["topic", "partition"], "left").withColumn("lag", F.col("end") - F.coalesce("committed", F.lit(0)))
-    return both.withColumn("alert", F.when(F.col("lag") > critical, "critical").when(F.col("lag") > warn, "warning").otherwise("ok"))
+#: Messages behind that raise an alert, and a graver one; seconds behind that raise one.
+LAG, MOST_LAG, LAG_SECONDS = 1000, 5000, 60
+
+
+def lag(ends: DataFrame, committed: DataFrame | None, warn: int = LAG, critical: int = MOST_LAG, seconds: float = LAG_SECONDS) -> DataFrame:
+    """Messages behind for each topic and partition, with their alert.
+
+    ends: (topic, partition, end), with ``committed`` where no other frame has
+    it, and ``behind_seconds`` where that is known.
+    """
+    both = ends.join(committed, ["topic", "partition"], "left") if committed is not None else ends
+    both = both.withColumn("lag", F.col("end") - F.coalesce("committed", F.lit(0)))
+    slow = F.coalesce(F.col("behind_seconds") > seconds, F.lit(False)) if "behind_seconds" in both.columns else F.lit(False)
+    return both.withColumn("alert", F.when(F.col("lag") > critical, "critical").when((F.col("lag") > warn) | slow, "warning").otherwise("ok"))
