@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from skein.registry import query
 from skein.session import table as t
 from skein.sources import payloads as p
+from skein.sources import store
 from skein.streaming import jobs
 
 
@@ -169,3 +170,36 @@ def export(s, d):
     good = p.export(t(s, d, "nation"), p.scratch(s, "export"))
     bad = p.export(t(s, d, "nation").withColumn("x", F.raise_error(F.lit("no"))), p.scratch(s, "export"))
     return s.createDataFrame([(r["status"], r["records"], r["size"] > 0) for r in (good, bad)], "status string, records long, sized boolean")
+
+
+CHANGED = """WITH c AS (SELECT event_id, event_type, strftime(ts, '%Y-%m') AS month, CASE WHEN event_id % 10 = 0 THEN value + 100 ELSE value END::DECIMAL(18,4) AS value FROM events WHERE event_id % 17 <> 0)
+"""
+
+
+def changed_events(s, d):
+    """A stored table of all events: loaded, a tenth of them upserted with later rows and older ones, some deleted. -> (table, what to do after each step)"""
+    rows = t(s, d, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM").alias("month"), F.col("value").cast("decimal(18,4)").alias("value"), F.lit(1).cast("long").alias("at"))
+    table = store.Table(s, p.scratch(s, "events"), rows.schema, ["event_id"])
+    later = rows.filter("event_id % 10 = 0").withColumns({"value": (F.col("value") + 100).cast("decimal(18,4)"), "at": F.lit(2).cast("long")})
+    older = rows.filter("event_id % 4 = 0").withColumns({"value": (F.col("value") - 100).cast("decimal(18,4)"), "at": F.lit(0).cast("long")})
+    yield table, lambda: table.upsert(rows, "at")
+    yield table, lambda: table.upsert(later.unionByName(older), "at")
+    yield table, lambda: table.delete(rows.filter("event_id % 17 = 0").select("event_id"))
+
+
+@query("src02_stored_upsert", CHANGED + "SELECT event_id, event_type, value::DOUBLE AS value FROM c")
+def stored_upsert(s, d):
+    """The table after an upsert and a delete of its buckets."""
+    for table, step in changed_events(s, d):
+        step()
+    return table.read().select("event_id", "event_type", F.col("value").cast("double").alias("value"))
+
+
+@query("ag15_kept_summary", CHANGED + "SELECT event_type, month, count(*) AS n, coalesce(sum(value), 0)::DOUBLE AS total, coalesce(sum(CASE WHEN value > 100 THEN value END), 0)::DOUBLE AS large FROM c GROUP BY ALL")
+def kept_summary(s, d):
+    """A summary by type and month that is kept up by the table's changes, deletes among them."""
+    summary = store.Summary(s, p.scratch(s, "summary"), "event_type string, month string", {"total": "value", "large": "CASE WHEN value > 100 THEN value END"})
+    for table, step in changed_events(s, d):
+        step()
+        summary.refresh(table)
+    return summary.read().select("event_type", "month", "n", F.col("total").cast("double").alias("total"), F.col("large").cast("double").alias("large"))
