@@ -25,6 +25,16 @@ def first_match(requests: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     return requests.join(effect, key, "left").withColumn("allowed", F.coalesce(F.col("_effect") == "ALLOW", F.lit(False))).drop("_effect")
 
 
+def value_matches(actual: Column, many: Column, expected: Column) -> Column:
+    """Whether one condition holds. A collection (``many``) holds the first expected value as written; a single value is in a list of several as written, or equals the one expected in any case; nulls match nothing.
+
+    actual and expected: arrays of text.
+    """
+    one, first = F.try_element_at(actual, F.lit(1)), F.try_element_at(expected, F.lit(1))
+    held = F.when(many, F.array_contains(actual, first)).when(F.size(expected) > 1, F.array_contains(expected, one)).otherwise(F.lower(one) == F.lower(first))
+    return F.coalesce(held, F.lit(False))
+
+
 def visible(df: DataFrame, tenant: str, own: str | None, admin: bool = False, draft: str | None = None, workspace: str | None = None, workspaces=()) -> DataFrame:
     """Rows of the own tenant and global ones (no tenant); drafts in own workspaces only. The filter reaches the scan."""
     if admin:

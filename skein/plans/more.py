@@ -137,11 +137,6 @@ def tier(s, d):
     return t(s, d, "documents").select("doc_id", kind.alias("tier"))
 
 
-@query("ac04_values", "SELECT c_custkey, lower(c_mktsegment) = 'building' OR c_nationkey IN (1, 2, 3) AS ok FROM customer")
-def values(s, d):
-    return t(s, d, "customer").select("c_custkey", ((F.lower("c_mktsegment") == F.lower(F.lit("Building"))) | F.array_contains(F.array(F.lit(1), F.lit(2), F.lit(3)), F.col("c_nationkey"))).alias("ok"))
-
-
 @query("ac06_graph_tenant", "SELECT n_nationkey FROM nation WHERE n_regionkey = 2 OR n_regionkey = 0")
 def graph_tenant(s, d):
     nodes = t(s, d, "nation").withColumn("tenant", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")))
