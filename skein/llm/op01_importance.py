@@ -2,26 +2,29 @@
 
 Two generative models over hashed n-grams (words and word pairs, in a fixed
 number of buckets): one of target text, one of all raw text. A document's log
-importance weight is the mean log ratio of its n-grams times the length a short
-text has, so that the models, not length, decide. Gumbel top-k samples without
-replacement: weights plus seeded Gumbel noise, the k largest kept.
+importance weight is the mean log ratio of its n-grams, so that the models, not
+length, decide, in units that make the weights' spread a few times that of the
+noise. Gumbel top-k samples without replacement: weights plus seeded Gumbel
+noise, the k largest kept.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, ship, small_join, table, unit
+from skein.llm.common import cut, fields, packed, quoted, ship, small_join, table, unit
 from skein.llm.words import chunks, mix64, word_hashes
 
 BUCKETS = 1 << 16
 #: Labelled rows that the target model is fitted on at most, those of least hash.
 FIT_ROWS = 20_000
-#: N-grams to which a text's mean log ratio is scaled: those of about a hundred words, a short text.
-SCALE = 200.0
+#: Spread of the weights against that of the noise, whose standard deviation is pi / sqrt(6): far more, and the sample is the top-k; far less, and it is chance.
+SPREAD = 2.0
 SEED = 1
 
 
@@ -66,19 +69,18 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", scale: float = SCALE) -> DataFrame:
-    """All columns of ``docs`` but the text in ``_row``, with n_grams, log_ratio and log_weight (texts without words: -1e9).
+def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` but the text in ``_row``, with n_grams, log_ratio and mean (null without words).
 
     log_ratio is the log of P(text | target) / P(text | raw), a sum over its
     n-grams, so it grows with length and a long text would always win or lose
-    against the noise, whatever it says. log_weight is the ratio that ``scale``
-    n-grams of the text's own mean would have: the models decide, and the noise
-    weighs alike for short and long texts.
+    against the noise, whatever it says. mean is that of its n-grams: the models
+    decide, and the noise weighs alike for short and long texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # BUCKETS doubles
     buckets = len(ratios)
-    others = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("_row"), F.col(text).alias("text"))
-    kind = others.schema["_row"].dataType.simpleString()
+    others = docs.select(packed(docs, text).alias("_row"), F.col(quoted(text)).alias("text"))
+    kind = fields(others.schema["_row"].dataType, "n_grams long, log_ratio double, mean double")
 
     def run(batches):
         table_ = shared.value
@@ -86,10 +88,16 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", scale: float
             for first, raw, offsets in chunks(batch.column(1)):
                 grams, counts = _grams(raw, offsets, buckets)
                 sums = np.bincount(np.repeat(np.arange(len(counts)), counts), table_[grams], minlength=len(counts)).astype(np.float64)
-                weight = np.where(counts > 0, scale * sums / np.maximum(counts, 1), -1e9)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(sums), pa.array(weight)], names=["_row", "n_grams", "log_ratio", "log_weight"])
+                mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(sums), mean], names=["_row", "n_grams", "log_ratio", "mean"])
+
+    return others.mapInArrow(run, kind)
+
 
-    return others.mapInArrow(run, f"_row {kind}, n_grams long, log_ratio double, log_weight double")
+def scale_of(weighed: DataFrame, spread: float = SPREAD) -> float:
+    """By what the means are multiplied, so that their standard deviation over all texts is ``spread`` times that of the noise; 1 where they don't differ."""
+    deviation = weighed.agg(F.stddev_pop("mean")).first()[0]
+    return spread * math.pi / math.sqrt(6) / deviation if deviation else 1.0
 
 
 def top_k(rows: DataFrame, value: str, k: int, tie: str) -> DataFrame:
@@ -127,12 +135,13 @@ def top_k(rows: DataFrame, value: str, k: int, tie: str) -> DataFrame:
     return rows.withColumn("kept", (F.col(value) > F.lit(last[0])) | tied)
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: float | None = None, fit_rows: int = FIT_ROWS, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: float | None = None, fit_rows: int = FIT_ROWS, seed: int = SEED, scale: float | None = None) -> DataFrame:
     """``_row`` (all columns but the text), n_grams, log_ratio, log_weight, gumbel, kept.
 
     Target text: documents labelled good and not toxic, at most ``fit_rows`` of
     them by least hash. Raw text: all documents. ``keep`` is the share to keep;
-    left out, it is the share of good ones among the labelled. Null, empty and
+    left out, it is the share of good ones among the labelled. The weights' scale
+    comes from all of them, unless it is given. Null, empty and
     wordless texts weigh least. Repeated rows share their noise and are kept or
     not alike, but for the last place. Without labels nothing is known: the
     ratio is flat and noise decides. An empty table gives an empty result.
@@ -142,11 +151,14 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     share = labels.agg(F.avg(F.coalesce(good, F.lit(False)).cast("int"))).first()[0]
     fit = labels.filter(good).select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(fit_rows).withColumn("_target", F.lit(True))
     fit = cut(fit, "target")
-    marked = small_join(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")), fit, F.col("_key") == F.col("_id"), "left", rows=fit_rows)
+    marked = small_join(docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("text")), fit, F.col("_key") == F.col("_id"), "left", rows=fit_rows)
     ratios = log_ratios(gram_counts(marked, "text", "_target"))
-    weighed = weigh(docs, ratios, text)
-    noise = -F.log(-F.log(unit(F.col(f"_row.{key}"), seed=seed)))
-    weighed = cut(weighed.withColumn("gumbel", F.col("log_weight") + noise).withColumn("_tie", F.col(f"_row.{key}")), "weighed")
+    name = F.col("_row")[key]
+    weighed = cut(weigh(docs, ratios, text), "weighed")
+    scale = scale_of(weighed) if scale is None else scale
+    noise = -F.log(-F.log(unit(name, seed=seed)))
+    weighed = weighed.withColumn("log_weight", F.coalesce(F.col("mean") * scale, F.lit(-1e9))).drop("mean")
+    weighed = weighed.withColumn("gumbel", F.col("log_weight") + noise).withColumn("_tie", name)
     n = weighed.count()
     k = round(n * (share if keep is None and share is not None else 1.0 if keep is None else keep))
     return top_k(weighed, "gumbel", k, "_tie").drop("_tie")
@@ -155,4 +167,4 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = resample(docs, table(spark, sf_dir, "labels"))
-    return out.select(F.col("_row.doc_id").alias("doc_id"), "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("gumbel", 6).alias("gumbel"), "kept")
+    return out.select(F.col("_row.doc_id").alias("doc_id"), "n_grams", F.round("log_ratio", 6).alias("log_ratio"), F.round("log_weight", 6).alias("log_weight"), F.round("gumbel", 6).alias("gumbel"), "kept")
