@@ -16,8 +16,8 @@ from skein.llm.common import cut, small_join, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, ITERATIONS = 0.85, 20
-#: A host is blocked from this share of all distrust on, over its trust.
-THRESHOLD = 1e-9
+#: A host is blocked from this share of a host's mean distrust (1 / hosts) on, over its trust.
+THRESHOLD = 1e-3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK_RE = r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>/?#]*)"""
 
@@ -92,7 +92,7 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url",
     against = page_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), seeds.filter("blocked > 0").select("host", (F.col("blocked") / (sums["b"] or 1)).alias("seed")))
     scores = trust.select("host", F.col("rank").alias("trust")).join(against.select("host", F.col("rank").alias("distrust")), "host", "full")
     scores = cut(hosts.join(scores, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "scores")
-    method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    method = F.when((F.col("distrust") * n_hosts >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     out = small_join(ruled, scores, "host", rows=n_hosts)
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", method).alias("verdict"), "trust", "distrust")
 
