@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space that ends a word.
 SPACE = " \t\n\x0b\x0c\r"
@@ -42,6 +43,21 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(out))
 
 
+def packed(df: DataFrame, *without: str) -> Column:
+    """A row's columns as one struct, whatever their names; a struct of none gets a field."""
+    names = [c for c in df.columns if c not in without]
+    return F.struct(*[df[quoted(c)].alias(c) for c in names]) if names else F.struct(F.lit(True).alias("alone"))
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def fields(first: T.DataType, ddl: str) -> T.StructType:
+    """A schema of ``_row``, of a type whose fields may have any name, and what the DDL says."""
+    return T.StructType([T.StructField("_row", first), *T.StructType.fromDDL(ddl).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

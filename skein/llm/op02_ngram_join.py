@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import BROADCAST_ROWS, clustered, cut, partitions, ship, small_join, table
+from skein.llm.common import BROADCAST_ROWS, clustered, cut, fields, packed, partitions, quoted, ship, small_join, table
 from skein.llm.components import connected_components
 from skein.llm.words import chunks, mix64, shingle_hashes, word_hashes
 
@@ -90,15 +90,15 @@ def _set_keys(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def set_keys(docs: DataFrame, text: str, width: int) -> DataFrame:
     """(_row, k, k2, n): names and size of each text's set; null and wordless texts have n = 0."""
-    others = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("_row"), F.col(text).alias("text"))
-    kind = others.schema["_row"].dataType
+    others = docs.select(packed(docs, text).alias("_row"), F.col(quoted(text)).alias("text"))
+    kind = fields(others.schema["_row"].dataType, "k long, k2 long, n long")
 
     def run(batches):
         for part, items, counts in _sets(batches, width):
             k, k2 = _set_keys(items, counts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k), pa.array(k2), pa.array(counts.astype(np.int64))], names=["_row", "k", "k2", "n"])
 
-    return others.mapInArrow(run, f"_row {kind.simpleString()}, k long, k2 long, n long")
+    return others.mapInArrow(run, kind)
 
 
 def _blocked(docs: DataFrame, text: str, width: int, blocks: int) -> DataFrame:
@@ -477,7 +477,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     the largest one. Very long texts are whole. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    named = cut(set_keys(docs, text, width).withColumn("_key", F.col(f"_row.{key}")), "sets")
+    named = cut(set_keys(docs, text, width).withColumn("_key", F.col("_row")[key]), "sets")
     full = named.filter("n > 0")
     classes = cut(full.groupBy("k", "k2", "n").agg(F.min("_key").alias("least"), F.count("*").alias("n_copies")), "classes")
     _, comps = links_of_sets(docs, classes, text, width, percent)
@@ -497,15 +497,16 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     key counts as the largest; documents of one component that have none are
     told apart by their text.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("_text"))
-    joined = join(packed.select("_key", "_hash", "_text"), "_text", "_key").select(F.col("_row._key").alias("_key"), F.col("_row._hash").alias("_hash"), "component_id")
+    body = F.col(quoted(text))
+    rows = docs.select(packed(docs).alias("_doc"), F.col(quoted(key)).alias("_key"), F.xxhash64(body).alias("_hash"), body.alias("_text"))
+    joined = join(rows.select("_key", "_hash", "_text"), "_text", "_key").select(F.col("_row._key").alias("_key"), F.col("_row._hash").alias("_hash"), "component_id")
     joined = cut(joined, "joined")
     groups = joined.groupBy("component_id", F.when(F.col("_key").isNull(), F.col("_hash")).alias("_null"))
     first = groups.agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_hash")).alias("f"))
     first = cut(first.select(F.col("f._key").alias("_k"), F.col("f._hash").alias("_h")).distinct(), "first")
-    kept = packed.join(first, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_hash").eqNullSafe(F.col("_h")), "left_semi")
+    kept = rows.join(first, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_hash").eqNullSafe(F.col("_h")), "left_semi")
     repeats = joined.groupBy("_key", "_hash").count().filter("count > 1").isEmpty()
-    return (kept if repeats else kept.dropDuplicates(["_key", "_hash"])).select("_doc.*")
+    return (kept if repeats else kept.dropDuplicates(["_key", "_hash"])).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import BROADCAST_ROWS, clustered, cut, partitions, ship, small_join, table
+from skein.llm.common import BROADCAST_ROWS, clustered, cut, fields, packed, partitions, quoted, ship, small_join, table
 from skein.llm.words import mix64
 
 LENGTH = 400
@@ -395,9 +395,8 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     else meets them is narrow. Copies are resolved by their digest's count alone.
     """
     ship(docs.sparkSession)
-    rest = [F.col(c) for c in docs.columns if c != text] or [F.lit(True).alias("alone")]  # a struct needs a field
-    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    named = docs.select(F.struct(*rest).alias("_row"), body.alias("text"), F.unhex(F.md5(body)).alias("uid"))
+    body = F.coalesce(F.col(quoted(text)).cast("binary"), F.lit(b""))
+    named = docs.select(packed(docs, text).alias("_row"), body.alias("text"), F.unhex(F.md5(body)).alias("uid"))
     named = named.withColumn("n_bytes", F.octet_length("text").cast("long"))
     long = named.filter(F.col("n_bytes") >= length)
     texts = clustered(long.select("uid", "text").dropDuplicates(["uid"]), "uid", "texts")
@@ -406,12 +405,12 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     copies = long.groupBy("uid").agg(F.count("*").alias("n")).filter("n > 1").select("uid", F.lit(True).alias("copied"))
     rows = cut(long.select("_row", "uid", "n_bytes").join(copies, "uid", "left"), "rows")
     names = ["_row", "n_bytes", "n_removed", "n_spans", "kept"]
-    kind = named.schema["_row"].dataType.simpleString()
+    kind = fields(named.schema["_row"].dataType, "n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
     short = named.filter(F.col("n_bytes") < length).select("_row", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))
     gone = rows.filter("copied").select("_row", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     single = texts.join(rows.filter("copied is null").select("uid", "_row"), "uid").join(cut(spans, "spans"), "uid", "left").select("_row", "text", "spans")
-    single = single.mapInArrow(_strip(names, characters), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    single = single.mapInArrow(_strip(names, characters), kind)
     return single.unionByName(gone).unionByName(short)
 
 
@@ -422,7 +421,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     as many rows, with what is left of their text. All columns keep their names.
     """
     done = dedup(docs, text, length, gram, characters=True)
-    return done.select(*[(F.col("kept").cast("string") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return done.select(*[(F.col("kept").cast("string") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE, SPACE_RE, cut, table
+from skein.llm.common import SPACE, SPACE_RE, cut, packed, quoted, table
 
 SYMBOLS = "#*$%&|<>"
 #: (rule, good when, bad when): between the two the rule abstains.
@@ -68,13 +68,13 @@ def measures(docs: DataFrame, text: str = "text", spare_bits: int = 0) -> DataFr
     df = df.withColumn("_hashes", hashed.cast("array<bigint>"))
     df = df.withColumn("_clash", F.expr("size(array_distinct(_hashes)) <> size(array_distinct(transform(_hashes, h -> shiftleft(h, _bits))))"))
     df = df.withColumn("_seen", F.expr("CASE WHEN _clash THEN array() ELSE sort_array(transform(_hashes, (h, i) -> shiftleft(h, _bits) + i)) END").cast("array<bigint>"))
-    packed = _REPEATED.format(
+    dense = _REPEATED.format(
         seen="_seen", place="CAST(_seen[j] & (shiftleft(1L, _bits) - 1) AS INT)", same_before="shiftright(_seen[j], _bits) = shiftright(_seen[j - 1], _bits)",
         same_after="shiftright(_seen[j], _bits) = shiftright(_seen[j + 1], _bits)",
     )
     whole = _REPEATED.format(seen="s", place="s[j].at", same_before="s[j].h = s[j - 1].h", same_after="s[j].h = s[j + 1].h")
     whole = f"transform(array(sort_array(transform(_hashes, (h, i) -> struct(h AS h, i AS at)))), s -> {whole})[0]"
-    repeats = F.expr(f"sort_array(CASE WHEN _clash THEN {whole} ELSE {packed} END)")
+    repeats = F.expr(f"sort_array(CASE WHEN _clash THEN {whole} ELSE {dense} END)")
     df = df.withColumn("_at", repeats)
     covered = F.expr(
         "CASE WHEN size(_at) = 0 THEN 0L ELSE 3L + aggregate(sequence(1, size(_at)), 0L, "
@@ -162,10 +162,10 @@ def keep(docs: DataFrame, text: str = "text", rules=RULES, threshold: float = TH
     Nulls and empty texts count no word and fail the base rules. Repeated rows
     are judged alike, one result each. An empty table gives an empty result.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"))
+    named = docs.select(packed(docs).alias("_row"), F.col(quoted(text)).alias("text"))
     # stored with its measures: read once for the estimation, once for the verdict
-    measured = cut(measures(packed).drop("text"), "measured")
-    return judge(measured, rules, threshold).filter("kept").select("_row.*")
+    measured = cut(measures(named).drop("text"), "measured")
+    return judge(measured, rules, threshold).filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

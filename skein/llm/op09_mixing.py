@@ -23,14 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions, small_join, table, unit, word_count
+from skein.llm.common import cut, packed, partitions, quoted, small_join, table, unit, word_count
 
 MAX_EPOCHS = 3
 WEIGHTS = 3
 #: Words of a block, and how many blocks a mix has about at most: beyond, blocks grow.
 BLOCK_WORDS = 20_000
 BLOCKS = 200_000
-SHARDS = 16
+#: Words of a shard about, and of a slice of one that a task shuffles; the least number of shards.
+SHARD_WORDS, SLICE_WORDS, SHARDS = 64_000_000, 1_000_000, 16
 SEED = 9
 #: Rows that one sorted run of a permuted stream holds about.
 RUN_ROWS = 1_000
@@ -122,7 +123,11 @@ def splitting_tree(blocks: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     return dealt.filter("n > 0").select("source", "shard", "first", (F.col("first") + F.col("n")).alias("last"))
 
 
-def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", shards: int = SHARDS,
+def shards_of(words: int) -> int:
+    return max(SHARDS, math.ceil(words / SHARD_WORDS))
+
+
+def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", shards: int | None = None,
         block_words: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """-> (rows of the mix, sources with their targets).
 
@@ -136,12 +141,13 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     spark = docs.sparkSession
     # rows without a key are told apart by the number that the caller stored, if any: they lie in different runs
     number = F.when(F.col(key).isNull(), F.col(row)) if row else F.lit(0)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).alias("source"), F.xxhash64(F.col(key), number).alias("_key"), F.col(size).cast("long").alias("_size"))
+    keyed = docs.select(packed(docs).alias("_row"), F.col(source).alias("source"), F.xxhash64(F.col(key), number).alias("_key"), F.col(size).cast("long").alias("_size"))
     sizes = keyed.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("docs"))
     plan = cut(targets(sizes, max_epochs), "targets")
     facts = plan.agg(F.count("*").alias("sources"), F.max("docs").alias("docs"), F.sum("source_size").alias("words")).first()
     block_words = block_words or max(BLOCK_WORDS, math.ceil((facts["words"] or 0) / BLOCKS))
     runs = max(1, math.ceil((facts["docs"] or 0) / RUN_ROWS))
+    shards = shards or shards_of(facts["words"] or 0)
     plan = plan.withColumns(
         {
             "_full": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"),
@@ -201,10 +207,12 @@ def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
 
     A copy of which the mix takes a part keeps that many words from its start.
     """
-    sized = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(how.pop("source", "source")).alias("source"), F.col(how.pop("key", "doc_id")).alias("doc_id"), word_count(F.col(text)).alias("size"))
-    rows, _ = mix(sized, **how)
-    spark = docs.sparkSession
-    rows = rows.repartition(partitions(spark), "shard", F.pmod("place", F.lit(64))).sortWithinPartitions("shard", "place")
+    sized = docs.select(packed(docs).alias("_doc"), F.col(quoted(how.pop("source", "source"))).alias("source"), F.col(quoted(how.pop("key", "doc_id"))).alias("doc_id"), word_count(F.col(quoted(text))).alias("size"))
+    rows, plan = mix(sized, **how)
+    words = plan.agg(F.sum("source_size")).first()[0] or 0
+    shards = how.get("shards") or shards_of(words)
+    slices = max(1, math.ceil(words / shards / SLICE_WORDS))  # tasks grow with the words, as do shards
+    rows = rows.repartition(max(partitions(docs.sparkSession), shards * slices), "shard", F.pmod("place", F.lit(max(64, slices)))).sortWithinPartitions("shard", "place")
     body = F.col("_row._doc").getField(text)
     pieces = F.split(body, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the space after it
     lead = F.when(F.regexp_like(body, F.lit(r"^[\x20\x09-\x0D]")), 1).otherwise(0)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, ship, small_join, table
+from skein.llm.common import cut, packed, quoted, ship, small_join, table
 from skein.llm.components import connected_components
 from skein.llm.grid import held_block_rows, matrix, meet
 
@@ -229,10 +229,9 @@ def dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     ship(spark)
     new = ("n_links", "component_id", "kept")
     component = lambda x: x.cast("double")
-    v = vectors[f"`{vector}`"]
+    v = vectors[quoted(vector)]
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(component(x)) & (F.abs(component(x)) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    names = [f"`{c.replace('`', '``')}`" for c in vectors.columns]
-    rows = vectors.select(F.struct(*[vectors[c] for c in names]).alias("_rest"), F.coalesce(sound & vectors[f"`{label}`"].isNotNull(), F.lit(False)).alias("_able"))
+    rows = vectors.select(packed(vectors).alias("_rest"), F.coalesce(sound & vectors[quoted(label)].isNotNull(), F.lit(False)).alias("_able"))
     rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     able = rows.filter("_able").select(F.col("_row").alias("row"), F.col("_rest")[label].cast("string").alias("label"), F.col("_rest")[vector].alias("v"))
     facts = able.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.automata import Automaton, code_points, literals, running, scans
-from skein.llm.common import cut, ship, table
+from skein.llm.common import cut, packed, quoted, ship, table
 
 #: Markers before prefix, suffix and middle; of 100 texts, how many are moved, and of 100 moved ones how many with the suffix first.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -106,7 +106,7 @@ def _select(unit: Automaton, chunk: int):
 def cuts_of(docs: DataFrame, text: str, first: Column, second: Column, unit: Automaton, marks: Automaton, chunk: int = CHUNK) -> DataFrame:
     """(_rest: the row, _cut: n, found, from, to, prefix_chars, middle_chars) of every row; from and to are bytes."""
     ship(docs.sparkSession)
-    rows = docs.select(F.struct(*[docs[c] for c in _quoted(docs)]).alias("_rest"), F.coalesce(docs[f"`{text}`"].cast("binary"), F.lit(b"")).alias("_text"), first.alias("_h1"), second.alias("_h2"))
+    rows = docs.select(packed(docs).alias("_rest"), F.coalesce(docs[quoted(text)].cast("binary"), F.lit(b"")).alias("_text"), first.alias("_h1"), second.alias("_h2"))
     size = F.octet_length("_text")
     whole = F.arrow_udf(_whole(unit, marks), _CUTS)
     short = rows.filter(size <= chunk).select("_rest", whole("_text", "_h1", "_h2").alias("_cut"))
@@ -128,10 +128,6 @@ def cuts_of(docs: DataFrame, text: str, first: Column, second: Column, unit: Aut
     return short.unionByName(long.select("_rest", F.struct("n", "found", end["from"], end["to"], "prefix_chars", "middle_chars").alias("_cut")))
 
 
-def _quoted(df: DataFrame) -> list[str]:
-    return [f"`{c.replace('`', '``')}`" for c in df.columns]
-
-
 def numbers(key: Column, seed: int) -> list[Column]:
     """Four unsigned 32-bit numbers that depend on seed and key alone."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
@@ -163,7 +159,7 @@ def transform(docs: DataFrame, text: str = "text", key: str = "doc_id", seed: in
     are cut the same way. An empty table gives an empty result.
     """
     marks = literals((PREFIX, SUFFIX, MIDDLE))
-    h1, h2, h3, h4 = numbers(docs[f"`{key}`"], seed)
+    h1, h2, h3, h4 = numbers(docs[quoted(key)], seed)
     found = cuts_of(docs, text, h1, h2, unit or code_points(), marks, chunk)
     rest = F.col("_rest")
     whole = F.coalesce(rest[text].cast("string"), F.lit(""))

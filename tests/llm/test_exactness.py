@@ -170,11 +170,11 @@ def test_importance_weights(spark):
         return math.log((target[g] + 1) / (sum(target.values()) + n)) - math.log((raw[g] + 1) / (sum(raw.values()) + n))
 
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for r in op01_importance.resample(df, labels, keep=0.5).select("_row.doc_id", "n_grams", "log_ratio", "log_weight", "gumbel").collect():
+    for r in op01_importance.resample(df, labels, keep=0.5, scale=200.0).select("_row.doc_id", "n_grams", "log_ratio", "log_weight", "gumbel").collect():
         own = grams(texts[r["doc_id"]])
         assert r["n_grams"] == len(own)
         assert r["log_ratio"] == pytest.approx(sum(map(ratio, own)))
-        assert r["log_weight"] == pytest.approx(op01_importance.SCALE * sum(map(ratio, own)) / len(own) if own else -1e9)
+        assert r["log_weight"] == pytest.approx(200.0 * sum(map(ratio, own)) / len(own) if own else -1e9)
         assert r["gumbel"] != r["log_weight"]
 
 
