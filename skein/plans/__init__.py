@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating", "scalars", "domain", "knowledge", "states", "events", "sources", "more", "indexes")
+FAMILIES: tuple[str, ...] = ("filtering", "joining", "aggregating", "scalars", "domain", "knowledge", "states", "events", "sources", "more", "indexes", "extracting")
 
 
 def load() -> None:
