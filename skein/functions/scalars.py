@@ -52,9 +52,16 @@ def round_even(c: Column, digits: int) -> Column:
     return F.signum(c.cast("double")) * (near / size)
 
 
-def backoff(attempt: Column, base: int = 60, factor: int = 3, cap: int = 3600) -> Column:
-    """Seconds to wait before the next try; jitter is left out, results are stable."""
-    return F.least(F.lit(base) * F.pow(F.lit(float(factor)), attempt), F.lit(float(cap))).cast("long")
+def backoff(attempt: Column, base: int = 60, factor: int = 3, cap: int = 3600, jitter: Column | None = None) -> Column:
+    """Seconds to wait before the next try; with ``jitter``, a number from 0 to 1, moved by up to a fifth either way."""
+    wait = F.least(F.lit(base) * F.pow(F.lit(float(factor)), attempt), F.lit(float(cap)))
+    return wait.cast("long") if jitter is None else wait * (0.8 + 0.4 * jitter)
+
+
+def seeded_unit(seed: int, *keys: Column) -> Column:
+    """A number from 0 to 1 that depends on seed and keys alone: the first 32 bits of an MD5."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def step_wait(attempt: Column, steps=(60, 300, 900, 3600, 3600)) -> Column:

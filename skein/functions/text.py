@@ -301,3 +301,27 @@ def seo(title: Column, excerpt: Column, keywords: Column) -> dict[str, Column]:
         "slug": slug(title),
         "focus_keywords": F.slice(F.coalesce(keywords, F.array().cast("array<string>")), 1, 5),
     }
+
+
+def channel_url(handle: Column) -> Column:
+    """The page of a channel's videos: of a full URL, a handle with or without @, or a channel's id (UC and 22 more characters).
+
+    A full URL of a handle gets its videos' page unless it names one already; other URLs stay as they are.
+    """
+    h = F.regexp_replace(handle, r"^\s+|\s+$", "")
+    site = F.lit("https://www.youtube.com/")
+    bare = ~F.contains(h, F.lit("/videos")) & ~F.contains(h, F.lit("/shorts")) & F.contains(h, F.lit("/@"))
+    full = F.when(bare, F.concat(F.regexp_replace(h, "/+$", ""), F.lit("/videos"))).otherwise(h)
+    return (
+        F.when(F.startswith(h, F.lit("http://")) | F.startswith(h, F.lit("https://")), full)
+        .when(F.startswith(h, F.lit("@")), F.concat(site, h, F.lit("/videos")))
+        .when(F.startswith(h, F.lit("UC")) & (F.length(h) == 24), F.concat(site, F.lit("channel/"), h, F.lit("/videos")))
+        .otherwise(F.concat(site, F.lit("@"), h, F.lit("/videos")))
+    )
+
+
+def embedding_text(title: Column, summary: Column, narrative: Column, context: Column) -> Column:
+    """A story's text to embed: title, summary and narrative under their names, and the cultural context (JSON) where there is one, with blank lines between. Nulls are empty."""
+    part = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit("")))
+    held = F.when(context.isNotNull() & ~context.isin("", "{}", "[]", "null"), F.concat(F.lit("Cultural Context: "), context))
+    return F.concat_ws("\n\n", part("Title", title), part("Summary", summary), part("Narrative", narrative), held)

@@ -72,6 +72,19 @@ def merge_hits(parts: list[DataFrame], distance: str, limit: int, *tie: Column)
     return hits.orderBy(F.coalesce(F.col(distance), F.lit(1.0)), *tie).limit(limit)
 
 
+def roll_back(history: DataFrame, targets: DataFrame, key: str, version: str) -> DataFrame:
+    """History with a new version for each target (key, to): the payload of version ``to``, numbered after the last, with ``restored_from``.
+
+    Nothing that is there changes. Targets that don't exist make no version; a
+    key that is named several times is rolled back to the largest of its targets.
+    """
+    last = history.groupBy(key).agg(F.max(version).alias("_last"))
+    to = targets.groupBy(F.col(key)).agg(F.max("to").alias("_to"))
+    made = history.join(to, key).filter(F.col(version) == F.col("_to")).join(last, key)
+    made = made.withColumn("restored_from", F.col(version)).withColumn(version, (F.col("_last") + 1).cast(history.schema[version].dataType)).drop("_to", "_last")
+    return history.withColumn("restored_from", F.lit(None).cast(history.schema[version].dataType)).unionByName(made)
+
+
 def insert_absent(target: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Rows that ON CONFLICT DO NOTHING would add: no key of the target, one row a key."""
     return latest(new.join(target.select(*keys), keys, "left_anti"), keys, *order).drop("rn")

@@ -291,6 +291,51 @@ def article_score(text: Column, names: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(F.round(F.greatest(score, F.lit(0.0)), 2))
 
 
+def article_issues(text: Column, names: Column) -> Column:
+    """What ``article_score`` takes off for, as a list."""
+    named = F.exists(names, lambda n: F.contains(F.lower(text), F.lower(n)))
+    return F.array_compact(F.array(
+        F.when(F.length(F.coalesce(text, F.lit(""))) < 500, "Content too short"),
+        F.when((F.size(names) > 0) & ~F.coalesce(named, F.lit(False)), "No canonical entities mentioned in article"),
+        F.when(F.coalesce(text, F.lit("")) == "", "Empty article content"),
+    ))
+
+
+#: Automatic captions below this quality go to manual review.
+CAPTION_REVIEW = 0.5
+
+
+def caption_review(quality: Column) -> Column:
+    """Whether captions must be looked at; null where they have no quality."""
+    return quality < CAPTION_REVIEW
+
+
+#: Labels of confidence by who gives it, from the lowest band on; a band ends at 20, 40, 60 and 80, included.
+CONFIDENCE_LABELS = {
+    "extraction": ("Speculative", "Low", "Moderate", "High", "Very High"),
+    "validation": ("Rejected", "Poor", "Fair", "Good", "Excellent"),
+    "editorial": ("Rejected", "Needs Major Revision", "Needs Minor Revision", "Approved with Notes", "Approved"),
+}
+
+
+def confidence_label(confidence: Column, kind: str) -> Column:
+    low, *higher = CONFIDENCE_LABELS[kind]
+    out = F.when(confidence <= 20, low)
+    for bound, label in zip((40, 60, 80), higher, strict=False):
+        out = out.when(confidence <= bound, label)
+    return out.when(confidence.isNotNull(), higher[-1])
+
+
+def composite_confidence(extraction: Column, validation: Column, editorial: Column) -> Column:
+    """The three weighed .30, .40 and .30; without an editor's, .40 and .60."""
+    return F.when(editorial.isNull(), 0.4 * extraction + 0.6 * validation).otherwise(0.3 * extraction + 0.4 * validation + 0.3 * editorial)
+
+
+def submissible(evidence: Column, entities: Column, reviewer: Column, creator: Column) -> Column:
+    """Whether a story may be submitted: it has evidence and an entity, and its reviewer is known and not its creator."""
+    return F.coalesce((evidence >= 1) & (entities >= 1) & (reviewer != creator), F.lit(False))
+
+
 def caption_quality(music: Column, segments: Column, words: Column, distinct: Column) -> Column:
     """Quality of automatic captions; null without words."""
     q = 0.75 - F.when(music, 0.15).otherwise(0.0) - F.when(words / segments < 3, 0.1).otherwise(0.0) - F.when(distinct / words < 0.5, 0.2).otherwise(0.0)
@@ -298,5 +343,8 @@ def caption_quality(music: Column, segments: Column, words: Column, distinct: Co
 
 
 def regressions(cases: DataFrame, drop: float = 0.05) -> DataFrame:
-    """Golden cases (case_id, old, new, floor): whether the new version passes, and fell by more than ``drop``."""
-    return cases.withColumns({"passed": F.col("new") >= F.col("floor"), "regressed": F.round(F.col("old") - F.col("new"), 9) > drop})
+    """Golden cases (case_id, old, new, floor, and hallucination with its ceiling where they have them): whether the new version passes, and fell by more than ``drop``."""
+    passed = F.col("new") >= F.col("floor")
+    if "hallucination" in cases.columns:
+        passed = passed & (F.col("hallucination") <= F.col("ceiling"))
+    return cases.withColumns({"passed": passed, "regressed": F.round(F.col("old") - F.col("new"), 9) > drop})

@@ -256,6 +256,22 @@ def topic(kind: Column, routes: dict[str, str], other: str) -> Column:
     return out
 
 
+#: Topics by the prefix of an event's type; all others go to the first.
+EVENT_TOPICS: dict[str, tuple[str, ...]] = {
+    "content.evt": ("Story", "Source", "Transcript", "Article"),
+    "knowledge.evt": ("Knowledge",),
+    "workflow.evt": ("Review", "Publication"),
+    "research.evt": ("Collection", "Annotation", "Export"),
+    "identity.evt": ("User", "Role", "Tenant"),
+}
+
+
+def event_topic(kind: Column) -> Column:
+    """The topic of a domain event; types of no known prefix, null ones too, are content."""
+    routes = {prefix: name for name, prefixes in EVENT_TOPICS.items() for prefix in prefixes}
+    return topic(kind, routes, "content.evt")
+
+
 def model_chain(length: Column) -> Column:
     return F.when(length < 100_000, F.array(F.lit("small"), F.lit("large"))).when(length < 800_000, F.array(F.lit("large"), F.lit("long"))).otherwise(F.array(F.lit("long")))
 
@@ -277,7 +293,8 @@ def expand_runs(runs: DataFrame, kind: str, priority: str) -> DataFrame:
     return runs.withColumn("_last", last).select("*", F.inline(each)).filter("step <= _last").drop("_last")
 
 
-def tier(important: Column, manual: Column, automatic: Column) -> tuple[Column, Column]:
-    """(tier, score) of a transcript: review for important channels, manual, automatic, cloud."""
-    kind = F.when(important, "review").when(manual, "manual").when(automatic.isNotNull(), "automatic").otherwise("cloud")
-    return kind, F.when(important, F.lit(1.0)).when(manual, 0.95).when(automatic.isNotNull(), automatic).otherwise(0.9)
+def tier(important: Column, manual: Column, automatic: Column, cloud: Column | None = None) -> tuple[Column, Column]:
+    """(tier, score) of a transcript: review for important channels, manual, automatic, cloud; error, without a score, where there is none (``cloud`` false)."""
+    cloud = F.lit(True) if cloud is None else F.coalesce(cloud, F.lit(False))
+    kind = F.when(important, "review").when(manual, "manual").when(automatic.isNotNull(), "automatic").when(cloud, "cloud").otherwise("error")
+    return kind, F.when(important, F.lit(1.0)).when(manual, 0.95).when(automatic.isNotNull(), automatic).when(cloud, 0.9)

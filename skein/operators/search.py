@@ -157,3 +157,27 @@ def similar_pairs(names: DataFrame, key: str, name: str, least: float, parts: in
     scored = pairs.join(sets.withColumnsRenamed({"_k": "a", "_g": "_ga"}), "a").join(sets.withColumnsRenamed({"_k": "b", "_g": "_gb"}), "b")
     both = F.size(F.array_intersect("_ga", "_gb"))
     return scored.withColumn("score", both / (F.size("_ga") + F.size("_gb") - both)).filter(F.col("score") >= least).select("a", "b", "score")
+
+
+#: Weights of a hit in title, summary and content.
+BOOSTS = (2.0, 1.5, 1.0)
+
+
+def boosted(fields: list[Column], words: list[str], boosts: tuple[float, ...] = BOOSTS) -> Column:
+    """The weighed sum of the fields' own scores: how often the words occur in a field, by its number of words; empty and null fields score nothing."""
+    score = F.lit(0.0)
+    for field, boost in zip(fields, boosts, strict=True):
+        held = F.filter(F.split(F.lower(F.coalesce(field, F.lit(""))), r"\s+"), lambda w: w != "")
+        hits = F.size(F.filter(held, lambda w: w.isin(*[x.lower() for x in words])))
+        score = score + boost * F.coalesce(F.try_divide(hits.cast("double"), F.size(held)), F.lit(0.0))
+    return score
+
+
+def reembedding(embeddings: DataFrame, kind: str, model: str, current: str, old: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings (kind, model, current) that an old model made and that are current -> the work list, and (kind, pending, complete) for every kind.
+
+    The migration of a kind is complete once none is left.
+    """
+    open_ = F.coalesce((F.col(model) == old) & F.col(current), F.lit(False))
+    done = embeddings.groupBy(kind).agg(F.count_if(open_).alias("pending")).withColumn("complete", F.col("pending") == 0)
+    return embeddings.filter(open_), done

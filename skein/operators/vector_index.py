@@ -167,3 +167,42 @@ def exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
     scored = vectors.join(asked).select("query", F.col(key).alias("key"), cosine(F.col(vector), F.col("_q")).alias("score")).filter("score IS NOT NULL")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "key"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "key", "score")
+
+
+def _pairs(k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Two blocks of a group -> each row's k most similar of the other block."""
+        out = []
+        if left.num_rows and right.num_rows:
+            a, b = _matrix(left.column("vector")), _matrix(right.column("_vector"))
+            ka, kb = left.column("key").to_numpy(), right.column("_key").to_numpy()
+            score = np.where(ka[:, None] == kb, -np.inf, a @ b.T)
+            for i in range(len(ka)):
+                best = np.lexsort((kb, -score[i]))[:k]
+                best = best[score[i][best] > -np.inf]
+                out.append((np.full(len(best), ka[i]), kb[best], score[i][best]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"key": cols[0], "other": cols[1], "score": cols[2]})
+
+    return run
+
+
+def most_similar(vectors: DataFrame, key: str, group: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    """(key, rank, other, score): each row's k most similar rows of its group, equal scores by key.
+
+    A group's rows are dealt to blocks; two blocks meet in a task, which keeps k
+    rows for each of its own, so no pair leaves a task that is not among these.
+    Rows without key, group or direction are similar to nothing.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(group).alias("group"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = rows.filter("key IS NOT NULL AND `group` IS NOT NULL AND vector IS NOT NULL AND exists(vector, x -> x <> 0) AND NOT exists(vector, x -> x IS NULL OR isnan(x))")
+    many = rows.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(many, "group").withColumn("own", F.pmod(F.xxhash64(F.lit(13), "key"), "blocks").cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select("group", F.col("own").alias("i"), each.alias("j"), "key", "vector")
+    right = dealt.select(F.col("group").alias("_g"), each.alias("_i"), F.col("own").alias("_j"), F.col("key").alias("_key"), F.col("vector").alias("_vector"))
+    found = left.groupBy("group", "i", "j").cogroup(right.groupBy("_g", "_i", "_j")).applyInArrow(_pairs(k), "key long, other long, score double")
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("score").desc(), "other"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("key", "rank", "other", "score")

@@ -39,7 +39,7 @@ def tenant_day(s, d):
     ev = t(s, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(
         F.count("*").alias("n"), F.sum(a.money("value")).alias("v"), *[F.sum(F.when(F.col("event_type") == x, a.money("value"))).alias(f"v_{x}") for x in TYPES]
     )
-    df = ev.join(t(s, d, "customer").select("c_custkey", "c_nationkey"), F.col("user_id") == F.col("c_custkey")).join(F.broadcast(t(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    df = ev.join(t(s, d, "customer").select("c_custkey", "c_nationkey"), F.col("user_id") == F.col("c_custkey")).join(t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return df.groupBy("n_name", "day").agg(
         F.sum("n").alias("calls"), F.sum("v").cast("double").alias("cost"), F.count("*").alias("users"), *[F.sum(f"v_{x}").cast("double").alias(f"cost_{x}") for x in TYPES]
     )

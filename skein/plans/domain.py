@@ -4,43 +4,54 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import scalars as sc
-from skein.functions.text import words
-from skein.operators import access, graph, quality, resolve, routing, search
+from skein.functions.text import music_label, words
+from skein.operators import access, graph, ordering, quality, resolve, routing, search
 from skein.registry import query
 from skein.session import table as t
 
-@query("qa17_captions", """WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda v: v <> '') AS w FROM conversations),
-c AS (SELECT conv_id, count(*) AS seg, sum(len(w)) AS n, count(DISTINCT v) AS u, bool_or(contains(lower(array_to_string(w, ' ')), 'ther')) AS music FROM w, unnest(w) x(v) GROUP BY conv_id),
-s AS (SELECT conv_id, count(*) AS seg FROM conversations GROUP BY 1), m AS (SELECT conv_id, count(*) AS n, count(DISTINCT v) AS u FROM w, unnest(w) x(v) GROUP BY 1)
-SELECT conv_id, round(least(1, greatest(0, 0.75 - CASE WHEN music THEN 0.15 ELSE 0 END - CASE WHEN m.n / s.seg < 3 THEN 0.1 ELSE 0 END - CASE WHEN m.u / m.n < 0.5 THEN 0.2 ELSE 0 END)), 4)::DOUBLE AS quality FROM c JOIN s USING (conv_id) JOIN m USING (conv_id)""")
+@query("qa17_captions", """WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text || CASE WHEN conv_id % 3 = 0 AND turn = 0 THEN ' [Music]' WHEN conv_id % 3 = 1 AND turn = 0 THEN ' (MUSIC)' ELSE ' music' END, '\\s+'), lambda v: v <> '') AS w FROM conversations),
+m AS (SELECT conv_id, count(*) AS n, count(DISTINCT v) AS u FROM w, unnest(w) x(v) GROUP BY conv_id), s AS (SELECT conv_id, count(*) AS seg, bool_or(len(list_filter(w, lambda v: lower(v) IN ('[music]', '(music)'))) > 0) AS music FROM w GROUP BY 1),
+q AS (SELECT conv_id, round(least(1, greatest(0, 0.75 - CASE WHEN music THEN 0.15 ELSE 0 END - CASE WHEN m.n / s.seg < 3 THEN 0.1 ELSE 0 END - CASE WHEN m.u / m.n < 0.5 THEN 0.2 ELSE 0 END)), 4)::DOUBLE AS quality FROM s JOIN m USING (conv_id))
+SELECT conv_id, quality, quality < 0.5 AS review FROM q""")
 def captions(s, d):
-    rows = t(s, d, "conversations").select("conv_id", words(F.col("text")).alias("w"), F.contains(F.lower("text"), F.lit("ther")).alias("m"))
+    """Conversations as captions: some with a music label in one of its forms, all with the bare word."""
+    mark = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 0), " [Music]").when((F.col("conv_id") % 3 == 1) & (F.col("turn") == 0), " (MUSIC)").otherwise(" music")
+    body = F.concat("text", mark)
+    rows = t(s, d, "conversations").select("conv_id", words(body).alias("w"), music_label(body).alias("m"))
     df = rows.groupBy("conv_id").agg(F.count("*").alias("seg"), F.flatten(F.collect_list("w")).alias("w"), F.some("m").alias("music"))
-    return df.select("conv_id", quality.caption_quality(F.col("music"), F.col("seg"), F.size("w"), F.size(F.array_distinct("w"))).alias("quality")).filter("quality is not null")
+    df = df.select("conv_id", quality.caption_quality(F.col("music"), F.col("seg"), F.size("w"), F.size(F.array_distinct("w"))).alias("quality")).filter("quality is not null")
+    return df.withColumn("review", quality.caption_review(F.col("quality")))
 
 
 @query("qa19_composite", "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_returnflag = 'R' THEN 0.4 * l_discount + 0.6 * l_tax ELSE 0.3 * l_discount + 0.4 * l_tax + 0.3 * 0.5 END, 6) AS score FROM lineitem")
 def composite(s, d):
-    a, b = F.col("l_discount"), F.col("l_tax")
     review = F.when(F.col("l_returnflag") != "R", 0.5)
-    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.when(review.isNull(), 0.4 * a + 0.6 * b).otherwise(0.3 * a + 0.4 * b + 0.3 * review), 6).alias("score"))
+    score = quality.composite_confidence(F.col("l_discount"), F.col("l_tax"), review)
+    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(score, 6).alias("score"))
 
 
-@query("qa20_bands", "SELECT event_id, CASE WHEN value >= 90 THEN 'very high' WHEN value >= 70 THEN 'high' WHEN value >= 50 THEN 'medium' WHEN value >= 30 THEN 'low' ELSE 'very low' END AS band FROM events")
+@query("qa20_bands", "SELECT event_id, b, (['Speculative', 'Low', 'Moderate', 'High', 'Very High'])[b] AS extraction, (['Rejected', 'Poor', 'Fair', 'Good', 'Excellent'])[b] AS validation, (['Rejected', 'Needs Major Revision', 'Needs Minor Revision', 'Approved with Notes', 'Approved'])[b] AS editorial FROM (SELECT event_id, greatest(1, least(5, ceil(floor(value) / 20)))::INT AS b FROM events WHERE value IS NOT NULL)")
 def bands(s, d):
-    return t(s, d, "events").select("event_id", sc.band(F.col("value"), [(30, "low"), (50, "medium"), (70, "high"), (90, "very high")], "very low").alias("band"))
+    v = F.floor("value")
+    rows = t(s, d, "events").filter("value IS NOT NULL")
+    number = F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(v / 20))).cast("int")
+    return rows.select("event_id", number.alias("b"), *[quality.confidence_label(v, kind).alias(kind) for kind in quality.CONFIDENCE_LABELS])
 
 
-@query("qa21_golden", "SELECT p_partkey, p_size / 50.0 >= 0.4 AS passed, round(p_retailprice / 2000 - p_size / 50.0, 9) > 0.05 AS regressed FROM part")
+@query("qa21_golden", "SELECT p_partkey, p_size / 50.0 >= 0.4 AND p_partkey % 10 / 10.0 <= 0.6 AS passed, round(p_retailprice / 2000 - p_size / 50.0, 9) > 0.05 AS regressed FROM part")
 def golden(s, d):
-    cases = t(s, d, "part").select("p_partkey", (F.col("p_retailprice") / 2000).alias("old"), (F.col("p_size") / 50.0).cast("double").alias("new"), F.lit(0.4).alias("floor"))
+    new, bad = (F.col("p_size") / 50.0).cast("double"), (F.col("p_partkey") % 10 / 10.0).cast("double")
+    cases = t(s, d, "part").select("p_partkey", (F.col("p_retailprice") / 2000).alias("old"), new.alias("new"), F.lit(0.4).alias("floor"), bad.alias("hallucination"), F.lit(0.6).alias("ceiling"))
     return quality.regressions(cases).select("p_partkey", "passed", "regressed")
 
 
-@query("qa26_submission", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
+@query("qa26_submission", "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND c_acctbal > 0 AND c_nationkey IS DISTINCT FROM o_orderkey % 25 AND o_orderkey % 11 > 0")
 def submission(s, d):
-    rich = t(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return t(s, d, "orders").join(t(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").join(rich, "o_custkey", "left_semi").select("o_orderkey")
+    """Orders as stories: lines are evidence, a customer with means an entity; some have no reviewer, some their creator."""
+    lines = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("evidence"))
+    people = t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("creator"), (F.col("c_acctbal") > 0).cast("int").alias("entities"))
+    rows = t(s, d, "orders").join(lines, "o_orderkey", "left").join(people, "o_custkey", "left").withColumn("reviewer", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderkey") % 25))
+    return rows.filter(quality.submissible(F.col("evidence"), F.col("entities"), F.col("reviewer"), F.col("creator"))).select("o_orderkey")
 
 
 @query("nm09_find_or_create", "SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY 1")
@@ -73,9 +84,14 @@ def outbox(s, d):
     return t(s, d, "events").select("event_id", status_.alias("status"), tries.alias("attempts"))
 
 
-@query("rt14_topic", "SELECT event_id, CASE WHEN starts_with(event_type, 'p') THEN 'sales' WHEN starts_with(event_type, 'v') THEN 'views' ELSE 'content' END AS topic FROM events")
+KINDS = ("StoryCreated", "SourceAdded", "TranscriptReady", "KnowledgeExtracted", "ArticleGenerated", "ReviewOpened", "PublicationDone", "CollectionShared", "AnnotationAdded", "ExportReady", "UserInvited", "RoleGranted", "TenantClosed", "storyLow", "Odd", "")
+
+
+@query("rt14_topic", "SELECT event_id, CASE WHEN regexp_matches(k, '^Knowledge') THEN 'knowledge.evt' WHEN regexp_matches(k, '^(Review|Publication)') THEN 'workflow.evt' WHEN regexp_matches(k, '^(Collection|Annotation|Export)') THEN 'research.evt' WHEN regexp_matches(k, '^(User|Role|Tenant)') THEN 'identity.evt' ELSE 'content.evt' END AS topic FROM (SELECT event_id, (" + str(list(KINDS)) + ")[event_id % 16 + 1] AS k FROM events)")
 def topic(s, d):
-    return t(s, d, "events").select("event_id", routing.topic(F.col("event_type"), {"p": "sales", "v": "views"}, "content").alias("topic"))
+    """Every event as a domain event of one of the types, known or not."""
+    kind = F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("event_id") % len(KINDS)).cast("int"))
+    return t(s, d, "events").select("event_id", routing.event_topic(kind).alias("topic"))
 
 
 @query("ac01_permission", "SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS ok FROM customer")
@@ -249,9 +265,14 @@ def producer(s, d):
     return t(s, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"), "left").join(t(s, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left").select("o_orderkey", "c_name", "n_name")
 
 
-@query("ln08_versions", "SELECT l_orderkey, max(l_linenumber)::BIGINT AS current, count(*) AS versions FROM lineitem GROUP BY 1")
+@query("ln08_versions", """WITH h AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS version, l_partkey FROM lineitem), n AS (SELECT l_orderkey, max(version) AS last FROM h GROUP BY 1)
+SELECT l_orderkey, version, l_partkey, NULL::BIGINT AS restored_from FROM h UNION ALL SELECT l_orderkey, last + 1, l_partkey, version FROM h JOIN n USING (l_orderkey) WHERE l_orderkey % 2 = 1 AND version = 1 + l_orderkey % 3""")
 def versions(s, d):
-    return t(s, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("long").alias("current"), F.count("*").alias("versions"))
+    """Lines as an order's versions; odd orders are rolled back to one of the first three, if they have it: a new version."""
+    line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    history = t(s, d, "lineitem").select("l_orderkey", F.row_number().over(line).cast("long").alias("version"), "l_partkey")
+    targets = t(s, d, "orders").filter("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("l_orderkey"), (1 + F.col("o_orderkey") % 3).alias("to"))
+    return ordering.roll_back(history, targets, "l_orderkey", "version")
 
 
 @query("ln09_citation", """SELECT p_partkey, p_brand || ' (' || p_size || '). ' || p_name || '. Archive. https://x.test/' || p_partkey AS apa, p_brand || '. "' || p_name || '." Archive, ' || p_size || ', https://x.test/' || p_partkey || '.' AS mla,

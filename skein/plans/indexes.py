@@ -121,3 +121,11 @@ def values(s, d):
     return t(s, d, "customer").select(
         "c_custkey", match(one, False, F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).alias("listed"), match(one, False, F.array(F.lit("Household"))).alias("same"), match(roles, True, wanted).alias("held"),
     )
+
+
+@query("gr13_most_similar", """WITH p AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT vec_id, rank, other, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other)::INT AS rank FROM p) WHERE rank <= 5""")
+def most_similar(s, d):
+    """The five stories most alike to each of its kind."""
+    found = vector_index.most_similar(t(s, d, "embeddings"), "vec_id", "label", "embedding", 5, block=512)
+    return found.select(F.col("key").alias("vec_id"), "rank", "other", F.round("score", 6).alias("score"))

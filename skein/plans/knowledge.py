@@ -184,9 +184,10 @@ def article_metrics(s, d):
     return t(s, d, "documents").select("doc_id", *[v.alias(k) for k, v in m.items()])
 
 
-@query("qa15_article_score", "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE round(1.0 - CASE WHEN length(text) < 500 THEN 0.3 ELSE 0 END - CASE WHEN contains(lower(text), 'the') THEN 0 ELSE 0.2 END, 2) END::DOUBLE AS score FROM documents")
+@query("qa15_article_score", "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE round(1.0 - CASE WHEN length(text) < 500 THEN 0.3 ELSE 0 END - CASE WHEN contains(lower(text), 'the') THEN 0 ELSE 0.2 END, 2) END::DOUBLE AS score, concat_ws(';', CASE WHEN length(text) < 500 THEN 'Content too short' END, CASE WHEN NOT contains(lower(text), 'the') THEN 'No canonical entities mentioned in article' END, CASE WHEN text = '' THEN 'Empty article content' END) AS issues FROM documents")
 def article_score(s, d):
-    return t(s, d, "documents").select("doc_id", quality.article_score(F.col("text"), F.array(F.lit("The"))).alias("score"))
+    names = F.array(F.lit("The"))
+    return t(s, d, "documents").select("doc_id", quality.article_score(F.col("text"), names).alias("score"), F.array_join(quality.article_issues(F.col("text"), names), ";").alias("issues"))
 
 
 @query("qa16_status", f"WITH {ARTICLE} SELECT doc_id, CASE WHEN {sql_even(QUALITY, 2)} > 0.5 THEN 'pending_review' ELSE 'needs_revision' END AS status FROM m")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalars as sc
 from skein.functions import text as x
-from skein.operators import access, graph, ordering, routing, search
+from skein.operators import access, graph, ordering, projection, routing, search
 from skein.plans.knowledge import sql_even
 from skein.plans.scalars import phrase_dedup
 from skein.registry import query
@@ -68,17 +68,23 @@ def light(s, d):
     return t(s, d, "conversations").select("conv_id", "turn", x.light_clean(F.concat(F.lit("<b>>> X: </b>"), "text")).alias("body"))
 
 
-@query("st03_jaccard", "SELECT a.c_custkey AS a, b.c_custkey AS b, CASE WHEN a.c_mktsegment = b.c_mktsegment THEN 1.0 ELSE 0.0 END::DOUBLE AS j FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND b.c_custkey = a.c_custkey + 1")
+@query("st03_jaccard", """WITH w AS (SELECT conv_id, turn, list_filter(list_distinct(string_split_regex(lower(string_agg(text, ' ' ORDER BY text)), '\\s+')), lambda v: v <> '') AS w FROM conversations GROUP BY conv_id, turn)
+SELECT a.conv_id, a.turn, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6)::DOUBLE AS j FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def st03(s, d):
-    a = t(s, d, "customer").select(F.col("c_custkey").alias("a"), "c_nationkey", F.array("c_mktsegment").alias("w"))
-    b = a.select((F.col("a") - 1).alias("a"), "c_nationkey", F.col("w").alias("v"), F.col("a").alias("b"))
-    return a.join(b, ["a", "c_nationkey"]).select("a", "b", x.jaccard(F.col("w"), F.col("v")).alias("j"))
+    """The word sets of every turn and the next."""
+    w = t(s, d, "conversations").groupBy("conv_id", "turn").agg(F.array_distinct(x.lower_words(F.array_join(F.array_sort(F.collect_list("text")), " "))).alias("w"))
+    after = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return w.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(x.jaccard(F.col("w"), F.col("v")), 6).alias("j"))
 
 
-@query("st06_ordered_union", "SELECT n_nationkey, array_to_string(list_concat([n_regionkey, 9], CASE WHEN n_nationkey % 10 IN (n_regionkey, 9) THEN [] ELSE [n_nationkey % 10] END), ',') AS u FROM nation")
+@query("st06_ordered_union", """WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(string_agg(text, ' ' ORDER BY text)), '\\s+'), lambda v: v <> '') AS w FROM conversations GROUP BY conv_id, turn),
+p AS (SELECT a.conv_id, a.turn, list_concat(a.w, b.w) AS l FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), e AS (SELECT conv_id, turn, generate_subscripts(l, 1) AS i, unnest(l) AS v FROM p), f AS (SELECT conv_id, turn, v, min(i) AS i FROM e GROUP BY ALL)
+SELECT conv_id, turn, string_agg(v, ' ' ORDER BY i) AS u FROM f GROUP BY ALL""")
 def st06(s, d):
-    u = F.array_union(F.array("n_regionkey", F.lit(9)), F.array(F.col("n_nationkey") % 10))
-    return t(s, d, "nation").select("n_nationkey", F.array_join(F.transform(u, lambda v: v.cast("string")), ",").alias("u"))
+    """The words of every turn in their order, those of the next that are new after them."""
+    w = t(s, d, "conversations").groupBy("conv_id", "turn").agg(x.lower_words(F.array_join(F.array_sort(F.collect_list("text")), " ")).alias("w"))
+    after = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return w.join(after, ["conv_id", "turn"]).filter(F.size("w") + F.size("v") > 0).select("conv_id", "turn", F.array_join(F.array_union("w", "v"), " ").alias("u"))
 
 
 @query("wn05_first_wins", "SELECT c_nationkey, c_mktsegment, min(c_custkey) AS c_custkey FROM customer GROUP BY ALL")
@@ -130,11 +136,11 @@ def defaults(s, d):
     return df.select("doc_id", F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("score"), F.coalesce(F.col("toxic") == 0, F.lit(False)).alias("ready"))
 
 
-@query("rt01_tier", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'review' WHEN doc_id % 3 = 0 THEN 'manual' WHEN length(text) > 1000 THEN 'automatic' ELSE 'cloud' END AS tier FROM documents")
+@query("rt01_tier", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'review' WHEN doc_id % 3 = 0 THEN 'manual' WHEN length(text) > 1000 THEN 'automatic' WHEN doc_id % 2 = 0 THEN 'cloud' ELSE 'error' END AS tier, CASE WHEN doc_id % 7 = 0 THEN 1.0 WHEN doc_id % 3 = 0 THEN 0.95 WHEN length(text) > 1000 THEN 0.75 WHEN doc_id % 2 = 0 THEN 0.9 END::DOUBLE AS score FROM documents")
 def tier(s, d):
-    auto = F.when(F.length("text") > 1000, F.lit(0.75))
-    kind, _ = routing.tier(F.col("doc_id") % 7 == 0, F.col("doc_id") % 3 == 0, auto)
-    return t(s, d, "documents").select("doc_id", kind.alias("tier"))
+    i = F.col("doc_id")
+    kind, score = routing.tier(i % 7 == 0, i % 3 == 0, F.when(F.length("text") > 1000, F.lit(0.75)), i % 2 == 0)
+    return t(s, d, "documents").select("doc_id", kind.alias("tier"), score.alias("score"))
 
 
 @query("ac06_graph_tenant", "SELECT n_nationkey FROM nation WHERE n_regionkey = 2 OR n_regionkey = 0")
@@ -143,10 +149,13 @@ def graph_tenant(s, d):
     return access.visible(nodes, "tenant", 2).select("n_nationkey")
 
 
-@query("vs05_boosts", "SELECT p_partkey, (2.0 * contains(lower(p_name), 'a')::INT + 1.5 * contains(lower(p_type), 'a')::INT + contains(lower(p_brand), 'a')::INT)::DOUBLE AS score FROM part")
+@query("vs05_boosts", """WITH f AS (SELECT doc_id, list_filter(string_split_regex(lower(source), '\\s+'), lambda v: v <> '') AS a, list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '\\s+'), lambda v: v <> '') AS b, list_filter(string_split_regex(lower(text), '\\s+'), lambda v: v <> '') AS c FROM documents),
+s AS (SELECT doc_id, lambda_score.* FROM f, LATERAL (SELECT coalesce(len(list_filter(a, lambda v: v IN ('the', 'der', 'src1'))) / nullif(len(a), 0), 0) AS x, coalesce(len(list_filter(b, lambda v: v IN ('the', 'der', 'src1'))) / nullif(len(b), 0), 0) AS y, coalesce(len(list_filter(c, lambda v: v IN ('the', 'der', 'src1'))) / nullif(len(c), 0), 0) AS z) lambda_score)
+SELECT doc_id, round(2.0 * x + 1.5 * y + z, 6)::DOUBLE AS score FROM s""")
 def boosts(s, d):
-    hit = lambda c: F.contains(F.lower(c), F.lit("a")).cast("double")
-    return t(s, d, "part").select("p_partkey", (2.0 * hit("p_name") + 1.5 * hit("p_type") + hit("p_brand")).alias("score"))
+    """Documents by hits in source (as title), first line (as summary) and text."""
+    first = F.get(F.split("text", "\n"), F.lit(0))
+    return t(s, d, "documents").select("doc_id", F.round(search.boosted([F.col("source"), first, F.col("text")], ["The", "der", "src1"]), 6).alias("score"))
 
 
 @query("vs07_merge", "SELECT vec_id FROM embeddings ORDER BY CASE WHEN label < 5 THEN abs(embedding[1])::DOUBLE ELSE 1.0 END, vec_id LIMIT 20")
@@ -155,31 +164,73 @@ def vs07(s, d):
     return ordering.merge_hits([v.filter("label < 5"), v.filter("label >= 5")], "distance", 20, F.col("vec_id")).select("vec_id")
 
 
-@query("vs11_work_list", "SELECT label, count(*) AS open FROM embeddings WHERE vec_id % 3 > 0 GROUP BY 1")
+@query("vs11_work_list", "SELECT label, count(*) FILTER (WHERE vec_id % 3 > 0 AND label <> 4 AND vec_id % 5 > 0) AS pending, count(*) FILTER (WHERE vec_id % 3 > 0 AND label <> 4 AND vec_id % 5 > 0) = 0 AS complete FROM embeddings GROUP BY 1")
 def work_list(s, d):
-    return t(s, d, "embeddings").filter("vec_id % 3 > 0").groupBy("label").agg(F.count("*").alias("open"))
-
-
-@query("gr01_nodes", "SELECT 'part' AS label, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
+    """What an old model's replacement has left to do for each kind of content, and which kinds are done."""
+    rows = t(s, d, "embeddings").select("vec_id", "label", F.when((F.col("vec_id") % 3 > 0) & (F.col("label") != 4), "old").otherwise("new").alias("model"), (F.col("vec_id") % 5 > 0).alias("current"))
+    return search.reembedding(rows, "label", "model", "current", "old")[1]
+
+
+@query("vs11_pending", "SELECT vec_id FROM embeddings WHERE vec_id % 3 > 0 AND label <> 4 AND vec_id % 5 > 0")
+def pending(s, d):
+    rows = t(s, d, "embeddings").select("vec_id", "label", F.when((F.col("vec_id") % 3 > 0) & (F.col("label") != 4), "old").otherwise("new").alias("model"), (F.col("vec_id") % 5 > 0).alias("current"))
+    return search.reembedding(rows, "label", "model", "current", "old")[0].select("vec_id")
+
+
+def order_stories(s, d):
+    """Orders as canonical stories of the version of their number: lines' suppliers are entities, parts claims; the customer's nation a location, the priority a belief, the status a ritual; the suppliers of two returned lines are related by name."""
+    kind = lambda c, prefix: F.concat(F.lit(prefix), c.cast("string"))
+    lines = t(s, d, "lineitem")
+    entity = F.struct(kind(F.col("l_suppkey"), "e").alias("id"), kind(F.floor(F.col("l_suppkey") / 3), "Name").alias("name"), F.col("l_returnflag").alias("role"), F.col("l_quantity").cast("int").alias("confidence"))
+    claim = F.struct(kind(F.col("l_partkey"), "k").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_linestatus").alias("claim_type"), F.col("l_returnflag").alias("veracity"))
+    held = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(entity).alias("entities"), F.collect_list(claim).alias("claims"), F.min(F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_suppkey") / 3))).alias("a"), F.max(F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_suppkey") / 3))).alias("b"))
+    people = t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    rows = t(s, d, "orders").join(held, "o_orderkey").join(people, "o_custkey")
+    sure = (F.col("o_orderkey") % 90).cast("int")
+    one = lambda c, prefix: F.array(F.struct(kind(c, prefix).alias("id"), c.cast("string").alias("name"), sure.alias("confidence")))
+    tie = F.struct(kind(F.col("a"), "Name").alias("source"), kind(F.col("b"), "Name").alias("target"), F.lit("NEAR").alias("type"), sure.alias("confidence"))
+    ties = F.when(F.col("a") < F.col("b"), F.array(tie)).otherwise(F.array().cast("array<struct<source:string,target:string,type:string,confidence:int>>"))
+    return rows.select(
+        kind(F.col("o_orderkey"), "o").alias("story_id"), F.col("o_orderkey").cast("long").alias("version"), kind(F.col("o_orderkey"), "Order ").alias("title"), "entities", "claims",
+        one(F.col("c_nationkey"), "l").alias("locations"), one(F.col("o_orderpriority"), "b").alias("beliefs"), one(F.col("o_orderstatus"), "r").alias("rituals"), ties.alias("relationships"),
+    )
+
+
+HELD = """WITH x AS (SELECT o_orderkey AS v, c_nationkey, o_orderpriority, o_orderstatus, o_orderkey % 90 AS sure FROM orders JOIN customer ON c_custkey = o_custkey WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)),
+l AS (SELECT lineitem.* FROM lineitem JOIN x ON v = l_orderkey)
+"""
+
+
+@query("gr01_nodes", HELD + """SELECT 'Story' AS label, 'o' || v AS id, 'Order ' || v AS name FROM x UNION ALL SELECT DISTINCT 'Entity', 'e' || l_suppkey, 'Name' || l_suppkey // 3 FROM l UNION ALL SELECT DISTINCT 'Location', 'l' || c_nationkey, c_nationkey::VARCHAR FROM x
+UNION ALL SELECT DISTINCT 'Belief', 'b' || o_orderpriority, o_orderpriority FROM x UNION ALL SELECT DISTINCT 'Ritual', 'r' || o_orderstatus, o_orderstatus FROM x UNION ALL SELECT 'Claim', 'k' || l_partkey, arg_max(l_returnflag || l_linestatus, lpad(l_orderkey::VARCHAR, 12, '0') || l_returnflag || l_linestatus) FROM l GROUP BY l_partkey""")
 def nodes(s, d):
-    p = t(s, d, "part").select(F.lit("part").alias("label"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return p.unionByName(t(s, d, "supplier").select(F.lit("supplier").alias("label"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))).dropDuplicates(["label", "id"])
+    """Nodes of all six labels; a claim that comes again says what the last story says of it."""
+    return projection.nodes(order_stories(s, d))
 
 
-@query("gr02_edges", "SELECT DISTINCT s_name, p_name, 'SUPPLIES' AS type FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey")
+@query("gr02_edges", HELD + """, n AS (SELECT DISTINCT 'e' || l_suppkey AS id, 'Name' || l_suppkey // 3 AS name FROM l),
+r AS (SELECT l_orderkey, min(l_suppkey // 3) AS a, max(l_suppkey // 3) AS b FROM l WHERE l_returnflag = 'R' GROUP BY 1), t AS (SELECT 'Name' || a AS source, 'Name' || b AS target, arg_max(v % 90, v) AS sure FROM r JOIN x ON v = l_orderkey WHERE a < b GROUP BY ALL)
+SELECT 'APPEARS_IN' AS type, 'e' || l_suppkey AS src, 'o' || l_orderkey AS dst, max('{"role":"' || l_returnflag || '","confidence":' || l_quantity::INT || '}') AS properties FROM l GROUP BY l_suppkey, l_orderkey
+UNION ALL SELECT 'CONTAINS_CLAIM', 'o' || l_orderkey, 'k' || l_partkey, max('{"claim_type":"' || l_linestatus || '","veracity":"' || l_returnflag || '"}') FROM l GROUP BY l_orderkey, l_partkey
+UNION ALL SELECT 'SET_IN', 'o' || v, 'l' || c_nationkey, '{"confidence":' || sure || '}' FROM x UNION ALL SELECT 'EXPRESSES', 'o' || v, 'b' || o_orderpriority, '{"confidence":' || sure || '}' FROM x UNION ALL SELECT 'DESCRIBES', 'o' || v, 'r' || o_orderstatus, '{"confidence":' || sure || '}' FROM x
+UNION ALL SELECT 'RELATES_TO', p.id, q.id, '{"relationship_type":"NEAR","confidence":' || sure || '}' FROM t JOIN n p ON p.name = source JOIN n q ON q.name = target""")
 def gr02(s, d):
-    keys = t(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    pairs = keys.join(t(s, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_suppkey", "p_name").distinct()
-    return pairs.join(t(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("s_name", "p_name", F.lit("SUPPLIES").alias("type")).distinct()
+    """Edges of all six types; related names join every entity that has them."""
+    stories = order_stories(s, d)
+    return projection.edges(stories, projection.nodes(stories))
 
 
-@query("gr05_map", "SELECT n_nationkey, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+@query("gr05_map", """SELECT n_nationkey, (SELECT count(DISTINCT c_mktsegment) FROM customer WHERE c_nationkey = n_nationkey) AS segments, coalesce((SELECT string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) FROM customer WHERE c_nationkey = n_nationkey), '') AS beliefs,
+coalesce((SELECT string_agg(DISTINCT s_name, ',' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey), '') AS entities, (SELECT string_agg(DISTINCT m.n_name, ',' ORDER BY m.n_name) FROM nation m WHERE m.n_regionkey = n.n_regionkey) AS neighbours FROM nation n""")
 def cultural(s, d):
-    # each side is counted before the join, so nothing multiplies
-    c = t(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
-    p = t(s, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
-    df = t(s, d, "nation").join(c, "n_nationkey", "left").join(p, "n_nationkey", "left")
-    return df.select("n_nationkey", F.coalesce("customers", F.lit(0)).cast("long").alias("customers"), F.coalesce("suppliers", F.lit(0)).cast("long").alias("suppliers"))
+    """Of each place the distinct names around it: three optional matches, collected before they are joined, so nothing multiplies."""
+    names = lambda df, by, name, out: df.groupBy(F.col(by).alias("_by")).agg(F.sort_array(F.collect_set(name)).alias(out))
+    n = t(s, d, "nation")
+    df = n.join(names(t(s, d, "customer"), "c_nationkey", "c_mktsegment", "beliefs").withColumnRenamed("_by", "n_nationkey"), "n_nationkey", "left")
+    df = df.join(names(t(s, d, "supplier"), "s_nationkey", "s_name", "entities").withColumnRenamed("_by", "n_nationkey"), "n_nationkey", "left")
+    df = df.join(names(n, "n_regionkey", "n_name", "neighbours").withColumnRenamed("_by", "n_regionkey"), "n_regionkey", "left")
+    listed = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",").alias(c)
+    return df.select("n_nationkey", F.coalesce(F.size("beliefs"), F.lit(0)).cast("long").alias("segments"), listed("beliefs"), listed("entities"), listed("neighbours"))
 
 
 @query("gr06_themes", "SELECT p_brand, count(DISTINCT l_orderkey) AS orders FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'A' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -218,7 +269,7 @@ def prompt_trace(s, d):
     prompts = t(s, d, "customer").select(F.col("c_custkey").alias("prompt"), F.col("c_mktsegment").alias("version"), "c_nationkey")
     counts = outputs.groupBy("prompt").agg(F.count("*").alias("outputs"))
     authors = t(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("author"))
-    return outputs.join(prompts, "prompt").join(counts, "prompt").join(F.broadcast(authors), "c_nationkey", "left").select("event_id", "prompt", "version", "author", "outputs")
+    return outputs.join(prompts, "prompt").join(counts, "prompt").join(authors, "c_nationkey", "left").select("event_id", "prompt", "version", "author", "outputs")
 
 
 @query("ss04_decode", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")

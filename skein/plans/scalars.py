@@ -146,11 +146,18 @@ def key(s, d):
     return t(s, d, "part").select("p_partkey", x.graph_key("entity", F.col("p_name")).alias("k"))
 
 
-@query("tx27_handle_url", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'https://x.test/' || c_name WHEN c_custkey % 3 = 1 THEN 'https://x.test/@' || c_name ELSE 'https://x.test/channel/' || c_name END AS url FROM customer")
+@query("tx27_handle_url", """WITH h AS (SELECT c_custkey, c_custkey % 8 AS k, replace(c_name, '#', '') AS n FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN 'https://www.youtube.com/@' || n || '/videos' WHEN 1 THEN 'https://www.youtube.com/@' || n || '/videos' WHEN 2 THEN 'https://www.youtube.com/@' || n || '/shorts' WHEN 3 THEN 'http://x.test/' || n || '/'
+WHEN 4 THEN 'https://www.youtube.com/@' || n || '/videos' WHEN 5 THEN 'https://www.youtube.com/channel/UC' || substr(n || 'abcdefghijklmnopqrstuv', 1, 22) || '/videos' WHEN 6 THEN 'https://www.youtube.com/@UC' || n || '/videos' ELSE 'https://www.youtube.com/@' || n || '/videos' END AS url FROM h""")
 def handle(s, d):
-    k = F.col("c_custkey") % 3
-    base = F.lit("https://x.test/")
-    return t(s, d, "customer").select("c_custkey", F.when(k == 0, F.concat(base, "c_name")).when(k == 1, F.concat(base, F.lit("@"), "c_name")).otherwise(F.concat(base, F.lit("channel/"), "c_name")).alias("url"))
+    """Handles in all their forms: URLs with and without a page, with @, ids of channels, bare names, with space around."""
+    k, n = F.col("c_custkey") % 8, F.regexp_replace("c_name", "#", "")
+    at = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    form = (
+        F.when(k == 0, at(" https://www.youtube.com/@", n, "// ")).when(k == 1, at("https://www.youtube.com/@", n, "/videos")).when(k == 2, at("https://www.youtube.com/@", n, "/shorts"))
+        .when(k == 3, at("http://x.test/", n, "/")).when(k == 4, at("\t@", n, "\n")).when(k == 5, at("UC", F.substring(at(n, "abcdefghijklmnopqrstuv"), 1, 22))).when(k == 6, at("UC", n)).otherwise(at(n, " "))
+    )
+    return t(s, d, "customer").select("c_custkey", x.channel_url(form).alias("url"))
 
 
 @query("tx28_rescue_json", "SELECT event_id, CASE WHEN event_id % 3 <> 2 THEN props END AS body FROM events")
@@ -183,9 +190,11 @@ def template(s, d):
     return t(s, d, "conversations").select("conv_id", "turn", x.render("Role: {{ role }}\nTurn {{turn}} of <{{ conv }}>: {{ text }}", values).alias("prompt"))
 
 
-@query("tx32_assembly", "SELECT p_partkey, 'Title: ' || p_name || CASE WHEN p_size > 10 THEN chr(10) || chr(10) || 'Summary: ' || p_type ELSE '' END AS body FROM part")
+@query("tx32_assembly", """SELECT p_partkey, 'Title: ' || p_name || chr(10) || chr(10) || 'Summary: ' || CASE WHEN p_size > 10 THEN p_type ELSE '' END || chr(10) || chr(10) || 'Narrative: ' || p_brand
+ || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || chr(10) || 'Cultural Context: {"region":"' || p_type || '"}' ELSE '' END AS body FROM part""")
 def assembly(s, d):
-    return t(s, d, "part").select("p_partkey", F.concat_ws("\n\n", F.concat(F.lit("Title: "), "p_name"), F.when(F.col("p_size") > 10, F.concat(F.lit("Summary: "), "p_type"))).alias("body"))
+    context = F.when(F.col("p_partkey") % 3 == 0, F.to_json(F.struct(F.col("p_type").alias("region")))).when(F.col("p_partkey") % 3 == 1, "{}")
+    return t(s, d, "part").select("p_partkey", x.embedding_text(F.col("p_name"), F.when(F.col("p_size") > 10, F.col("p_type")), F.col("p_brand"), context).alias("body"))
 
 
 @query("tx33_error_class", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'rate|quota') THEN 'rate' WHEN contains(lower(text), 'context') THEN 'context' ELSE 'other' END AS kind FROM documents")
@@ -253,9 +262,13 @@ def cost(s, d):
     return t(s, d, "events").select("event_id", *[F.floor(v * 1e7 + 0.5123).alias(n) for n, v in made.items()])
 
 
-@query("mth05_backoff", "SELECT l_linenumber, least(60 * power(3, l_linenumber), 3600)::BIGINT AS wait FROM (SELECT DISTINCT l_linenumber FROM lineitem)")
+@query("mth05_backoff", """WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber, least(60 * power(3, l_linenumber), 3600) AS wait FROM lineitem)
+SELECT l_orderkey, l_linenumber, wait::BIGINT AS wait, round(wait * (0.8 + 0.4 * ('0x' || substr(md5('7/' || l_orderkey || '/' || l_linenumber), 1, 8))::BIGINT / 4294967296.0), 3) AS jittered FROM a""")
 def backoff(s, d):
-    return t(s, d, "lineitem").select("l_linenumber").distinct().select("l_linenumber", c.backoff(F.col("l_linenumber")).alias("wait"))
+    """Waits of every order's tries, plain and moved by a seeded fifth."""
+    n = F.col("l_linenumber")
+    moved = c.backoff(n, jitter=c.seeded_unit(7, F.col("l_orderkey"), n))
+    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().select("l_orderkey", "l_linenumber", c.backoff(n).alias("wait"), F.round(moved, 3).alias("jittered"))
 
 
 @query("mth06_steps", "SELECT l_linenumber, ([60, 300, 900, 3600, 3600])[l_linenumber]::BIGINT AS wait FROM (SELECT DISTINCT l_linenumber FROM lineitem)")

@@ -69,9 +69,10 @@ def crawl_sink(s, d):
     return p.crawl_sink(rows, folder, "source").groupBy("source").agg(F.count("*").alias("videos"), F.sum("characters").alias("characters"), F.count_if("subtitled").alias("with_subtitles"))
 
 
-@query("src10_versions", "SELECT count(*) AS n FROM (SELECT DISTINCT p_brand, p_size FROM part)")
+@query("src10_versions", "SELECT DISTINCT p_partkey % 7 AS k, sha256('{\"p_brand\":\"' || p_brand || '\",\"p_size\":' || p_size || '}') AS payload_hash, '{\"p_brand\":\"' || p_brand || '\",\"p_size\":' || p_size || '}' AS payload FROM part")
 def versions(s, d):
-    return p.version(t(s, d, "part").withColumn("one", F.lit(1)), "one", "p_brand", "p_size").agg(F.count_distinct("payload_hash").alias("n"))
+    """Payloads under a few keys: each version once, by its hash."""
+    return p.version(t(s, d, "part").withColumn("k", F.col("p_partkey") % 7), "k", "p_brand", "p_size")
 
 
 @query("src12_seed", "SELECT n_name AS slug FROM nation WHERE n_nationkey >= 5")
@@ -164,12 +165,15 @@ def embed(s, d):
     return flat.filter("v <> 0").select("conv_id", "turn", "place", F.floor(F.col("v") * 1e6 + 0.5123).alias("value"), "dimension")
 
 
-@query("src20_export", "SELECT 'completed' AS status, 25::BIGINT AS records, true AS sized UNION ALL SELECT 'failed', 0::BIGINT, false")
+@query("src20_export", "SELECT 'completed' AS status, o_orderstatus AS part, count(*) AS records, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'failed', NULL, 0::BIGINT, NULL")
 def export(s, d):
-    """The nations exported, and an export that fails."""
-    good = p.export(t(s, d, "nation"), p.scratch(s, "export"))
-    bad = p.export(t(s, d, "nation").withColumn("x", F.raise_error(F.lit("no"))), p.scratch(s, "export"))
-    return s.createDataFrame([(r["status"], r["records"], r["size"] > 0) for r in (good, bad)], "status string, records long, sized boolean")
+    """All orders exported and read back from where the job says they are, and an export that fails."""
+    orders = t(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    job = p.export(orders, p.scratch(s, "export"), "json")
+    bad = p.export(orders.withColumn("x", F.raise_error(F.lit("no"))), p.scratch(s, "export"))
+    found = s.read.schema(orders.schema).json(job["url"])
+    kept = found.groupBy(F.lit(job["status"]).alias("status"), F.col("o_orderstatus").alias("part")).agg(F.count("*").alias("records"), F.sum("o_orderkey").alias("total"))
+    return kept.unionByName(s.createDataFrame([(bad["status"], None, bad["records"], None)], "status string, part string, records long, total long"))
 
 
 CHANGED = """WITH c AS (SELECT event_id, event_type, strftime(ts, '%Y-%m') AS month, CASE WHEN event_id % 10 = 0 THEN value + 100 ELSE value END::DECIMAL(18,4) AS value FROM events WHERE event_id % 17 <> 0)
