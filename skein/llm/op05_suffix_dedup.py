@@ -12,8 +12,11 @@
    their successors are sorted directly, the others are induced by scanning the
    buckets of first bytes upwards; then the common prefixes of adjacent suffixes
    are computed. A prefix of ``length`` marks both starts.
-   Where a part still has very many different segments, no task holds it: every
-   string of ``length`` bytes in them is counted by its digest.
+   Where a part still has very many different segments, it is split again: its
+   segments are cut to starts in a narrower range of distances, and by a hash of
+   the bytes that all windows of that range share. Equal strings agree in both,
+   so they stay together; in the end a part has the starts of one distance whose
+   windows are equal. Every part is sorted in the same way.
 4. Marked starts go back to their texts, where they cover bytes.
 
 Texts are handled by digest: exact copies are one text here, and all their
@@ -22,6 +25,7 @@ strings occur elsewhere.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,7 @@ LENGTH = 400
 GRAM = 128
 #: Segments under one minimizer beyond which their starts are split by distance, and parts at most.
 SPLIT_AT, SPLITS = 4096, 16
-#: Different segments of one minimizer and part beyond which they are not sorted together: each start's string is counted by its digest.
+#: Different segments that a task sorts together at most: larger parts are split again.
 CROWD = 4096
 #: Suffixes that a task sorts at once about.
 BATCH = 500_000
@@ -123,14 +127,14 @@ def _find(length: int, gram: int):
 
 
 def _cut_out(length: int):
-    """(uid, text, found) -> the segments with their bytes; those of crowded minimizers split by distance."""
+    """(uid, text, found) -> the segments with their bytes and the first start's distance to the minimizer; those of crowded minimizers split by distance."""
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 uid = batch.column(0)[row].as_py()
                 raw = batch.column(1)[row].as_buffer()
-                out: list[list] = [[] for _ in range(5)]
+                out: list[list] = [[] for _ in range(6)]
                 for f in batch.column(2)[row].as_py():
                     parts = min(SPLITS, -(-f["held"] // SPLIT_AT))
                     step = -(-length // parts)
@@ -138,18 +142,46 @@ def _cut_out(length: int):
                     while a <= f["last"]:
                         salt = (f["place"] - a) // step  # by distance to the minimizer, alike for all its segments
                         e = min(f["last"], f["place"] - salt * step)
-                        for x, v in zip(out, (f["h"], salt, raw[a : e + length].to_pybytes(), a, e), strict=True):
+                        for x, v in zip(out, (f["h"], salt, raw[a : e + length].to_pybytes(), a, e, f["place"] - a), strict=True):
                             x.append(v)
                         a = e + 1
                 n = len(out[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uid] * n, pa.binary()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())],
-                    names=["uid", "h", "salt", "seg", "first", "last"],
+                    [pa.array([uid] * n, pa.binary()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), *(pa.array(x, pa.int64()) for x in out[3:])],
+                    names=["uid", "h", "salt", "seg", "first", "last", "back"],
                 )
 
     return run
 
 
+def _narrow(length: int, width: int):
+    """Segments of crowded parts -> the same starts in segments of ``width`` distances at most, under a new key.
+
+    The key is a hash of the old one and of the bytes that all windows at these
+    distances have in common, the same bytes for every segment of the part.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for uid, h, salt, seg, first, last, back in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                i = 0
+                while i <= last - first:
+                    bucket = (back - i) // width
+                    e = min(last - first, back - bucket * width)
+                    # common to the windows from the farthest start of the bucket to the nearest
+                    core = seg[back - bucket * width : back - (bucket + 1) * width + 1 + length]
+                    key = hashlib.blake2b(core, digest_size=8, key=h.to_bytes(8, "little", signed=True) + salt.to_bytes(4, "little", signed=True)).digest()
+                    row = (uid, int.from_bytes(key, "little", signed=True), bucket * 1024 + width, seg[i : e + length], first + i, first + e, back - i)
+                    for x, v in zip(out, row, strict=True):
+                        x.append(v)
+                    i = e + 1
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["uid", "h", "salt", "seg", "first", "last", "back"])
+
+    return run
+
+
 def suffix_array(texts: list[bytes], groups: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two-stage sort of the starts of segments, group by group.
 
@@ -288,24 +320,30 @@ def _mark(length: int):
     return run
 
 
-def _single(batches):
-    """(h, salt, dg, starts) -> the same with each start as a run of its own."""
-    for batch in batches:
-        marks = [np.repeat(np.sort(np.asarray(x.as_py(), np.int32)), 2).tobytes() for x in batch.column(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.binary())], names=["h", "salt", "dg", "marks"])
-
-
 def _distinct(segs: DataFrame) -> DataFrame:
     return segs.groupBy("h", "salt", "dg").agg(F.first("seg").alias("seg"), F.count("*").alias("copies"))
 
 
-def _mark_crowded(segs: DataFrame, length: int) -> DataFrame:
-    """What ``_mark`` gives, for segments of any number under one minimizer: equal strings meet by digest."""
-    each = _distinct(segs).withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("seg") - F.lit(length))))
-    each = cut(each.select("h", "salt", "dg", "i", "copies", F.unhex(F.md5(F.substring("seg", F.col("i") + 1, F.lit(length)))).alias("sd")), "starts")
-    again = each.groupBy("h", "salt", "sd").agg(F.sum("copies").alias("n")).filter("n > 1").select("h", "salt", "sd")
-    hit = each.join(again, ["h", "salt", "sd"]).groupBy("h", "salt", "dg").agg(F.collect_list("i").alias("starts"))
-    return hit.mapInArrow(_single, "h long, salt int, dg binary, marks binary")
+SEGMENTS = "uid binary, h long, salt int, seg binary, first long, last long, back long"
+
+
+def _bounded(segs: DataFrame, length: int) -> DataFrame:
+    """Segments in parts (h, salt) of at most CROWD different ones: larger parts are narrowed, again and again, until none is left or their windows are equal."""
+    width, parts = -(-length // SPLITS), []
+    while width > 1:
+        full = cut(segs.groupBy("h", "salt").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("h", "salt"), "full")
+        full = small_join(segs.select("h", "salt", "dg"), full, ["h", "salt"], "left_semi")
+        crowded = cut(full.groupBy("h", "salt").agg(F.count_distinct("dg").alias("n")).filter(F.col("n") > CROWD).select("h", "salt"), "crowded")
+        many = crowded.count()
+        if not many:
+            break
+        width = max(1, width // 2)
+        parts.append(small_join(segs, crowded, ["h", "salt"], "left_anti", many))
+        narrow = small_join(segs, crowded, ["h", "salt"], "left_semi", many).select("uid", "h", "salt", "seg", "first", "last", "back").mapInArrow(_narrow(length, width), SEGMENTS)
+        segs = cut(narrow.withColumn("dg", F.unhex(F.md5("seg"))), "narrowed")
+    for part in parts:
+        segs = segs.unionByName(part)
+    return segs
 
 
 def _gather(length: int):
@@ -344,18 +382,10 @@ def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     again = cut(found.groupBy("h").agg(F.count("*").alias("held")).filter("held > 1"), "again")
     marked = _with_counts(found, again)
     repeated = marked.groupBy("uid").agg(F.collect_list(F.struct("h", "first", "last", "place", F.least("held", F.lit(SPLITS * SPLIT_AT)).alias("held"))).alias("found"))
-    segs = texts.join(repeated, "uid").select("uid", "text", "found").mapInArrow(_cut_out(length), "uid binary, h long, salt int, seg binary, first long, last long")
-    segs = cut(segs.withColumn("dg", F.unhex(F.md5("seg"))), "segments")
-    # many segments, then many different ones
-    full = segs.groupBy("h", "salt").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("h", "salt")
-    full = small_join(segs.select("h", "salt", "dg"), cut(full, "full"), ["h", "salt"], "left_semi")
-    crowded = cut(full.groupBy("h", "salt").agg(F.count_distinct("dg").alias("n")).filter(F.col("n") > CROWD).select("h", "salt"), "crowded")
-    many = crowded.count()
-    calm = small_join(segs, crowded, ["h", "salt"], "left_anti", many) if many else segs
-    sorted_ = _distinct(calm).repartition(partitions(spark), "h", "salt").sortWithinPartitions("h", "salt").select("h", "salt", "dg", "seg", "copies")
+    segs = texts.join(repeated, "uid").select("uid", "text", "found").mapInArrow(_cut_out(length), SEGMENTS)
+    segs = _bounded(cut(segs.withColumn("dg", F.unhex(F.md5("seg"))), "segments"), length)
+    sorted_ = _distinct(segs).repartition(partitions(spark), "h", "salt").sortWithinPartitions("h", "salt").select("h", "salt", "dg", "seg", "copies")
     marks = sorted_.mapInArrow(_mark(length), "h long, salt int, dg binary, marks binary")
-    if many:
-        marks = marks.unionByName(_mark_crowded(small_join(segs, crowded, ["h", "salt"], "left_semi", many), length))
     at = segs.select("uid", "h", "salt", "dg", "first").join(cut(marks, "marks"), ["h", "salt", "dg"])
     return at.groupBy("uid").agg(F.collect_list(F.struct("first", "marks")).alias("at")).mapInArrow(_gather(length), "uid binary, spans binary")
 
