@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.operators.joins import small_join
+from skein.storage import stored
 
 
 #: Canonical names with their aliases, in the order in which they are tried.
@@ -62,10 +63,17 @@ def merge_log(entities: DataFrame, doc: str, position: str, key: str) -> DataFra
 
 
 def rewrite_references(claims: DataFrame, log: DataFrame, doc: str, ids: str) -> DataFrame:
-    """Claims whose references to merged entities point at their targets, in place and order; other references stay."""
-    maps = log.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("source", "target"))).alias("_map"))
-    joined = claims.join(maps, doc, "left")
-    return joined.withColumn(ids, F.transform(ids, lambda i: F.coalesce(F.try_element_at("_map", i), i))).drop("_map")
+    """Claims whose references to merged entities point at their targets, in place and order; other references, and null lists, stay.
+
+    References meet the log one by one, by document and id; no document's merges
+    are gathered. Of several targets of an id the smallest counts.
+    """
+    rows = stored(claims.withColumn("_row", F.monotonically_increasing_id()), "claims")
+    to = log.groupBy(F.col(doc).alias("_doc"), F.col("source").alias("_id")).agg(F.min("target").alias("_target"))
+    each = rows.select("_row", F.col(doc).alias("_doc"), F.posexplode(ids).alias("_place", "_id"))
+    met = each.join(to, ["_doc", "_id"], "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_place", F.coalesce("_target", "_id").alias("_new")))).alias("_all"))
+    out = rows.join(met, "_row", "left").withColumn(ids, F.when(F.col("_all").isNull(), F.col(ids)).otherwise(F.transform("_all", lambda x: x["_new"])))
+    return out.drop("_row", "_all")
 
 
 def canonical(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:

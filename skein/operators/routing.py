@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.machines import run_blocks
+
 #: The 23 states of a video and the states that each may move to.
 MOVES: dict[str, tuple[str, ...]] = {
     "SUBMITTED": ("QUEUED",),
@@ -115,28 +117,14 @@ def apply_moves(checked: DataFrame, at: str) -> DataFrame:
     )
 
 
-def run_moves(requests: DataFrame, key: str, *order: str, max_retries: int = MAX_RETRIES) -> DataFrame:
+def run_moves(requests: DataFrame, key: str, *order: str, max_retries: int = MAX_RETRIES, blocks: int | None = None) -> DataFrame:
     """Requests (key, order, new) run one after another for each key, from SUBMITTED on: all columns, state, retries and ok after each.
 
-    A fold over a key's requests in order; a refused request changes nothing.
-    The columns of ``order`` come first and decide; the last one is unique.
+    A refused request changes nothing. The columns of ``order`` come first and
+    decide; the last one is unique. A key's requests are run in blocks, as many
+    as its share of all needs.
     """
-    table = F.create_map(*[x for a, to in MOVES.items() for x in (F.lit(a), F.array(*[F.lit(b) for b in to]).cast("array<string>"))])
-    rest = [c for c in requests.columns if c not in (key, *order)]
-    lists = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("_all"))
-    one = "struct<state:string,retries:int,ok:boolean>"
-    start = F.struct(F.lit("SUBMITTED").alias("state"), F.lit(0).alias("retries"), F.array().cast(f"array<{one}>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        fails = F.startswith(r["new"], F.lit("FAILED_"))
-        ok = F.coalesce(F.array_contains(F.try_element_at(table, s["state"]), r["new"]), F.lit(False)) & ~(fails & (s["retries"] >= max_retries))
-        state, retries = F.when(ok, r["new"]).otherwise(s["state"]), s["retries"] + (ok & fails).cast("int")
-        return F.struct(state.alias("state"), retries.alias("retries"), F.concat(s["out"], F.array(F.struct(state.alias("state"), retries.alias("retries"), ok.alias("ok")).cast(one))).alias("out"))
-
-    kind = f"struct<state:string,retries:int,out:array<{one}>>"
-    done = lists.withColumn("_out", F.aggregate("_all", start.cast(kind), lambda s, r: step(s, r).cast(kind), lambda s: s["out"]))
-    flat = done.select(key, F.explode(F.arrays_zip("_all", "_out")).alias("_r"))
-    return flat.select(key, "_r._all.*", "_r._out.*")
+    return run_blocks(requests, key, list(order), MOVES, max_retries, "SUBMITTED", blocks)
 
 
 def check_editorial(requests: DataFrame) -> DataFrame:
