@@ -331,9 +331,9 @@ def _bounded(segs: DataFrame, length: int) -> DataFrame:
     """Segments in parts (h, salt) of at most CROWD different ones: larger parts are narrowed, again and again, until none is left or their windows are equal."""
     width, parts = -(-length // SPLITS), []
     while width > 1:
-        full = cut(segs.groupBy("h", "salt").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("h", "salt"), "full")
-        full = small_join(segs.select("h", "salt", "dg"), full, ["h", "salt"], "left_semi")
-        crowded = cut(full.groupBy("h", "salt").agg(F.count_distinct("dg").alias("n")).filter(F.col("n") > CROWD).select("h", "salt"), "crowded")
+        # equal segments are one in each task before they are counted
+        different = segs.groupBy("h", "salt", "dg").agg(F.count("*").alias("copies")).groupBy("h", "salt").agg(F.count("*").alias("n"))
+        crowded = cut(different.filter(F.col("n") > CROWD).select("h", "salt"), "crowded")
         many = crowded.count()
         if not many:
             break
