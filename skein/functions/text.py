@@ -75,28 +75,42 @@ def clean_transcript(text: Column, dedup: bool = True) -> Column:
 def drop_repeated_phrases(text: Column) -> Column:
     """Drop word i (from the fifth on) if the four words before it are, as a set, four words that began 1 to 7 places earlier.
 
-    Linear in the words: the text is split once, each run of four has its key once.
+    Linear in the words: each word is hashed once, each run of four has a number
+    that depends on its set alone, and only where two numbers are equal are the
+    words themselves compared. A text without equal numbers is left as it is.
     """
 
-    def keys(low: Column) -> Column:
-        last = F.greatest(F.size(low) - 4, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda j: F.array_join(F.array_sort(F.array_distinct(F.array(*[F.get(low, j + n) for n in range(4)]))), "\x01"))
+    def keys(h: Column) -> Column:
+        last = F.greatest(F.size(h) - 4, F.lit(0))
+
+        def key(j: Column) -> Column:
+            a, b, c, d = (F.get(h, j + n) for n in range(4))
+            zero = F.lit(0).cast("long")
+            # a sum of the different ones, without regard to order; bits are mixed by the hash
+            return a.bitwiseXOR(F.when(b == a, zero).otherwise(b)).bitwiseXOR(F.when((c == a) | (c == b), zero).otherwise(c)).bitwiseXOR(F.when((d == a) | (d == b) | (d == c), zero).otherwise(d))
+
+        return F.transform(F.sequence(F.lit(0), last), key)
 
     def kept(both: Column) -> Column:
-        key = both["key"]
+        key, low = both["key"], both["low"]
+
+        def alike(i: Column, j: Column) -> Column:
+            run = lambda at: F.array_sort(F.array_distinct(F.slice(low, at + 1, F.lit(4))))
+            return F.coalesce((F.get(key, j) == F.get(key, i)) & (run(j) == run(i)), F.lit(False))
 
         def keep(word: Column, i: Column) -> Column:
-            now = F.get(key, i - 4)
-            again = F.get(key, i - 5) == now
+            again = (i > 4) & alike(i - 4, i - 5)
             for back in range(6, 12):
-                again = again | (F.get(key, i - back) == now)
-            return ~F.coalesce(again, F.lit(False))
+                again = again | ((i >= back) & alike(i - 4, i - back))
+            return ~again
 
         return F.array_join(F.filter(both["w"], keep), " ")
 
     def clean(w: Column) -> Column:
-        key = let(F.transform(w, F.lower), keys)
-        return F.when(F.size(w) < 5, text).otherwise(let(F.struct(w.alias("w"), key.alias("key")), kept))
+        low = F.transform(w, F.lower)
+        key = let(F.transform(w, lambda x: F.xxhash64(F.lower(x))), keys)
+        found = let(F.struct(w.alias("w"), low.alias("low"), key.alias("key")), lambda both: F.when(F.size(F.array_distinct(both["key"])) == F.size(both["key"]), F.array_join(both["w"], " ")).otherwise(kept(both)))
+        return F.when(F.size(w) < 5, text).otherwise(found)
 
     return let(words(text), clean)
 
@@ -195,30 +209,42 @@ def lower_words(text: Column) -> Column:
 def chunk(pieces: Column, limit: int = 512, overlap: int = 50) -> Column:
     """Sentences packed into chunks of at most ``limit`` words, each carrying the last sentences of the one before, up to ``overlap`` words.
 
-    A sentence is never split, so a chunk can be longer than the limit.
+    A sentence is never split, so a chunk can be longer than the limit. Words are
+    counted once; the fold is over numbers, and texts are put together at the end.
     """
-    kind = "struct<done:array<array<string>>,open:array<string>,n:int>"
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n")).cast(kind)
+    span = "struct<first:int,last:int>"
+    kind = f"struct<done:array<{span}>,first:int,n:int>"
+    whole = lambda x: x.cast("int")
 
-    def carry(open_: Column) -> Column:
-        back = F.aggregate(
-            F.reverse(open_), F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full")),
-            lambda s, x: F.when(s["full"] | (s["n"] + word_count(x).cast("int") > overlap), F.struct(s["kept"].alias("kept"), s["n"].alias("n"), F.lit(True).alias("full")))
-            .otherwise(F.struct(F.concat(F.array(x), s["kept"]).alias("kept"), (s["n"] + word_count(x).cast("int")).alias("n"), F.lit(False).alias("full"))),
-        )
-        return back
+    def carried(n: Column, first: Column, i: Column) -> Column:
+        """Of sentences first to i - 1 those at the end of up to ``overlap`` words: (where they begin, their words)."""
+        begin = F.struct(i.alias("at"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
-    def step(s: Column, x: Column) -> Column:
-        n = word_count(x).cast("int")
-        kept = carry(s["open"])
-        flushed = F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), F.concat(kept["kept"], F.array(x)).alias("open"), (kept["n"] + n).alias("n")).cast(kind)
-        going = F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(x)).alias("open"), (s["n"] + n).alias("n")).cast(kind)
-        return F.when((s["n"] + n > limit) & (F.size(s["open"]) > 0), flushed).otherwise(going)
+        def back(s: Column, j: Column) -> Column:
+            more = s["n"] + F.get(n, j)
+            full = s["full"] | (more > overlap)
+            return F.struct(F.when(full, s["at"]).otherwise(j).alias("at"), F.when(full, s["n"]).otherwise(more).alias("n"), full.alias("full"))
 
-    def finish(s: Column) -> Column:
-        return F.transform(F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]), lambda c: F.array_join(c, " "))
+        return F.aggregate(F.sequence(i - 1, first, F.lit(-1)), begin, back)
+
+    def spans(n: Column) -> Column:
+        begin = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("n")).cast(kind)
+
+        def step(s: Column, i: Column) -> Column:
+            own = F.get(n, i)
+            flushed = let(carried(n, s["first"], i), lambda c: F.struct(F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (i - 1).alias("last")).cast(span))).alias("done"), c["at"].alias("first"), (c["n"] + own).alias("n")).cast(kind))
+            going = F.struct(s["done"].alias("done"), s["first"].alias("first"), (s["n"] + own).alias("n")).cast(kind)
+            return F.when((s["n"] + own > limit) & (i > s["first"]), flushed).otherwise(going)
+
+        last = F.size(n) - 1
+        done = F.aggregate(F.sequence(F.lit(0), last), begin, step, lambda s: F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), last.alias("last")).cast(span))))
+        return F.when(F.size(n) > 0, done).otherwise(F.array().cast(f"array<{span}>"))
+
+    def packed(p: Column) -> Column:
+        made = let(F.transform(p, lambda x: whole(word_count(x))), spans)
+        return F.transform(made, lambda c: F.array_join(F.slice(p, c["first"] + 1, c["last"] - c["first"] + 1), " "))
 
-    return F.aggregate(F.filter(pieces, lambda p: F.trim(p) != ""), start, step, finish)
+    return let(F.filter(pieces, lambda x: F.trim(x) != ""), packed)
 
 
 def chunk_segments(segments: Column, limit: int = 512) -> Column:
