@@ -390,23 +390,29 @@ def covered(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     return at.groupBy("uid").agg(F.collect_list(F.struct("first", "marks")).alias("at")).mapInArrow(_gather(length), "uid binary, spans binary")
 
 
+#: Texts that are rewritten at once.
+STRIP_ROWS = 256
+
+
 def _strip(schema_names: list[str], characters: bool):
     def run(batches):
         for batch in batches:
-            size, removed, spans, kept = [], [], [], []
-            for text, span in zip(batch.column(1), batch.column(2), strict=True):
-                body = text.as_py()
-                size.append(len(body))
-                at = np.frombuffer(span.as_buffer(), np.int64).reshape(-1, 2).tolist() if span.is_valid else []
-                removed.append(sum(e - a for a, e in at))
-                spans.append(len(at))
-                edges = [0, *(x for pair in at for x in pair), len(body)]
-                left = b"".join(body[a:e] for a, e in zip(edges[::2], edges[1::2], strict=True))
-                kept.append(left.decode("utf-8", "ignore").encode() if characters and at else left)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                names=schema_names,
-            )
+            for at in range(0, batch.num_rows, STRIP_ROWS):
+                part = batch.slice(at, STRIP_ROWS)
+                size, removed, spans, kept = [], [], [], []
+                for text, span in zip(part.column(1), part.column(2), strict=True):
+                    body = text.as_buffer()
+                    size.append(body.size)
+                    pairs = np.frombuffer(span.as_buffer(), np.int64).reshape(-1, 2).tolist() if span.is_valid else []
+                    removed.append(sum(e - a for a, e in pairs))
+                    spans.append(len(pairs))
+                    edges = [0, *(x for pair in pairs for x in pair), body.size]
+                    left = b"".join(body[a:e] for a, e in zip(edges[::2], edges[1::2], strict=True))
+                    kept.append(left.decode("utf-8", "ignore").encode() if characters and pairs else left)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+                    names=schema_names,
+                )
 
     return run
 
