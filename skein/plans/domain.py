@@ -3,7 +3,6 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions import scalars as sc
 from skein.functions.text import music_label, words
 from skein.operators import access, graph, ordering, quality, resolve, routing, search
 from skein.registry import query
