@@ -267,6 +267,24 @@ def test_search_whole_queries(spark, monkeypatch):
         assert [x[1] for x in sorted(got[q])] == [k for _, k in best]
 
 
+def test_search_few_documents(spark):
+    """Where so few documents are indexed that all their terms are dense, no posting adds to the sums."""
+    texts = {0: "a b c", 1: "a b", 2: "c d d", 3: "e", 4: None}
+    found = op07_topk_search.search(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), F.col("doc") % 2 == 0).collect()
+    terms = {k: Counter((t or "").split()) for k, t in texts.items()}
+    size = {k: sum(c.values()) for k, c in terms.items()}
+    mean = sum(size.values()) / len(size)
+    df = Counter(w for c in terms.values() for w in c)
+    idf = {w: math.log(1 + (len(terms) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    want = {}
+    for q in (0, 2):
+        scored = [(-sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[k] / mean)) for w in terms[q] if w in c), k) for k, c in terms.items()]
+        want |= {(q, i): (k, -x) for i, (x, k) in enumerate(sorted(x for x in scored if x[0] < 0), 1)}
+    got = {(r["query"], r["rank"]): (r["doc"], r["score"]) for r in found}
+    assert {k: d for k, (d, _) in got.items()} == {k: d for k, (d, _) in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_quality_rules(rows, docs, empty):
     scored = op08_quality_rules.measures(docs).collect()
     by = {(r["doc_id"], r["text"]): r for r in scored}
