@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ END_ID = 1
 GROUP_TOKENS = 2_000_000
 #: A queue is served once its counter reaches this many tokens (or its last ones).
 MIN_PIECE = 64
-#: Distinct words whose ids a worker remembers at most.
-REMEMBERED = 700_000
+#: Distinct words whose ids a worker remembers, and as many from before them.
+REMEMBERED = 500_000
+#: Bytes of texts whose words are looked up together.
+SLICE = 8 << 20
 SEED = 6
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string"
@@ -53,48 +57,71 @@ class _Known(dict):
     """Ids of words as bytes, found when first asked for.
 
     White space separates words and is dropped, so words between blanks are
-    encoded apart. A word of Latin letters, with or without a stop behind it, is
-    one piece to the vocabulary's own splitting: its model is asked directly,
-    without normalisation and pattern matching. All others take the whole way.
+    encoded apart. A word of Latin letters, with or without punctuation behind
+    it, is one piece to the vocabulary's own splitting: its model is asked
+    directly, without normalisation and pattern matching, and once for the word
+    in small letters, whatever follows it. All others take the whole way. What
+    was known when it came to REMEMBERED words is kept as ``older`` until the next
+    time, so frequent words stay.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
+        size = 1 + max(end_id, *self.tokenizer.get_vocab().values())
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.end = np.array([end_id], self.kind).tobytes()
+        #: Each id as bytes.
+        self.written = [x.tobytes() for x in np.arange(size, dtype=self.kind)]
+        self.end = self.written[end_id]
         self.letters = _byte_letters()
         # the direct way is taken for vocabularies for which it is the same
-        probe = ["Probe", "straße", "ÉTÉ,", "añoÑ.", "the", "x!", "Þing?!", "ÿ", "zzyzxqw;"]
+        probe = ["Probe", "straße", "ÉTÉ,", "añoÑ.", "the", "x!", "Þing?!", "ÿ", "zzyzxqw;", "the***", "A.$$$", "ça'", "o&#"]
         self.direct = True
         self.direct = all(self.ask(w) == self.whole(w) for w in probe)
+        self.clear()
 
     def whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.written.__getitem__, self.tokenizer.encode(word, add_special_tokens=False).ids))
 
     def ask(self, word: str) -> bytes:
-        stem = word.rstrip(".,!?;:")
-        if not (self.direct and stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem):
-            return self.whole(word)
-        spelled = "".join(map(self.letters.__getitem__, stem.lower().encode()))
-        ids = np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+        stem = word.rstrip(punctuation)
+        plain = stem.isascii()
+        if not (self.direct and stem.isalpha() and (plain or max(stem) < "\u0250" and "\u0130" not in stem)):
+            return self.keep(word, self.older.get(word) or self.whole(word))
+        small = stem.lower()
+        ids = self.get(small) or self.older.get(small)
+        if ids is None:
+            spelled = small if plain else "".join(map(self.letters.__getitem__, small.encode()))
+            ids = b"".join([self.written[t.id] for t in self.model.tokenize(spelled)])
+        self.keep(small, ids)
         return ids if len(stem) == len(word) else ids + self[word[len(stem) :]]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = self.ask(word)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join([*map(self.__getitem__, words), self.end])
+    __missing__ = ask
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts as bytes, null being empty; each different word of them is looked up once."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        named = words.flatten().dictionary_encode()
+        # the different words as one string: no word has a blank
+        different = pc.binary_join(pa.ListArray.from_arrays([0, len(named.dictionary)], named.dictionary), " ")[0].as_py().split(" ")
+        ids = pa.array(map(self.__getitem__, different), pa.binary()).take(named.indices)
+        _, offsets, data = ids.buffers()
+        data = memoryview(data or b"")
+        at = np.frombuffer(offsets, np.int32, len(ids) + 1)[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        return [b"".join((data[a:e], self.end)) for a, e in zip(at, at[1:], strict=False)]
 
 
 _encoders: dict[tuple, _Known] = {}
@@ -107,6 +134,16 @@ def _encoder(path: str, end_id: int) -> _Known:
     return _encoders[path, end_id]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have SLICE bytes or so; a longer text is one alone."""
+    upto = np.cumsum(pc.binary_length(batch.column(2)).fill_null(0).to_numpy().astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        e = max(a + 1, int(np.searchsorted(upto, SLICE + (upto[a - 1] if a else 0), "right")))
+        yield batch.slice(a, e - a)
+        a = e
+
+
 def tokenise(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, source, tokens, ids): ids as little-endian unsigned integers of 2 (or 4) bytes; null text is empty."""
     ship(docs.sparkSession)
@@ -115,8 +152,8 @@ def tokenise(docs: DataFrame, text: str = "text", key: str = "doc_id", source: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, end_id)
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                ids = [encoder.encode(t) for t in part.column(2).to_pylist()]
+            for part in _slices(batch):
+                ids = encoder.encode(part.column(2))
                 count = [len(x) // encoder.width for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count, pa.int64()), pa.array(ids, pa.binary()), pa.array([encoder.width] * len(ids), pa.int32())], names=["doc_id", "source", "tokens", "ids", "width"])
 

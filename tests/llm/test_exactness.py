@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,31 @@ def test_sum_before(spark):
     assert got == {g: sum(n for h, t, n in rows if h < g and t == s) for g, s, _ in rows}
 
 
+def test_packing_asks_once(monkeypatch):
+    """Ids of words are those of whole texts, also when little is remembered; the model is asked once for a word, whatever its case and what follows it."""
+    from skein.llm import op06_packing as op
+
+    encoder = op._Known(op.vocabulary_path(), 1)
+    model, asked = encoder.model, []
+
+    class Counted:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Counted()
+    texts = ["Stemmed, stemmed. STEMMED*** (stemmed) stemmed;", None, "", "  stemmed\r\n", "Éß, éß İx a\x0bb it's 'stemmed' $$$ x-1 Ⱥb", "the stemmed!"]
+    want = [np.array([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], encoder.kind).tobytes() for t in texts]
+    assert encoder.encode(pa.array(["left out", *texts])[1:]) == want
+    assert asked.count("stemmed") == 1
+    monkeypatch.setattr(op, "REMEMBERED", 2)
+    assert encoder.encode(pa.array(texts)) == want
+    assert [b.num_rows for b in op._slices(pa.record_batch([pa.array(["a", "b", "c"])] * 3, names=["a", "b", "c"]))] == [3]
+    monkeypatch.setattr(op, "SLICE", 2)
+    cut = list(op._slices(pa.record_batch([pa.array([None, "a", "bcd", "", "e", "f", "g"])] * 3, names=["a", "b", "c"])))
+    assert [b.column(2).to_pylist() for b in cut] == [[None, "a"], ["bcd"], ["", "e", "f"], ["g"]]
+
+
 def test_blocks_passed_over_lose_nothing(monkeypatch):
     """The index in parts and small blocks against all scores; some blocks are passed over."""
     from skein.llm import op07_topk_search as op
