@@ -127,9 +127,10 @@ def stories(s, d):
 
 @query("src02_upsert", "SELECT l_orderkey, max(l_linenumber) AS l_linenumber, max_by(l_quantity, l_linenumber * 1000000000::BIGINT + l_partkey) AS l_quantity FROM lineitem GROUP BY 1")
 def upsert(s, d):
-    """Odd lines over even ones by order; the last line of an order stays."""
-    rows = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("place"))
-    return p.upsert(rows.filter("l_linenumber % 2 = 0"), rows.filter("l_linenumber % 2 = 1"), "l_orderkey", "place").select("l_orderkey", "l_linenumber", "l_quantity")
+    """Odd lines over even ones by order; the last line of an order stays, of equal ones that which the table has first."""
+    place = (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("place")
+    rows = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", place, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return p.upsert(rows.filter("l_linenumber % 2 = 0"), rows.filter("l_linenumber % 2 = 1"), "l_orderkey", "place", "file", "row").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("src04_topic_records", "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_id % 3 = 0 THEN 'v' || event_id WHEN event_id % 3 = 1 THEN 'p' || event_id END AS key, CASE WHEN event_id % 3 = 0 THEN 'v' || event_id END AS video_id FROM events")

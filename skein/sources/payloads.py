@@ -87,10 +87,11 @@ def version(df: DataFrame, key: str, *payload: str) -> DataFrame:
     return df.select(key, record_hash(*payload).alias("payload_hash"), F.to_json(F.struct(*sorted(payload))).alias("payload")).distinct()
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key by ``order``, of old and new ones."""
-    both = existing.unionByName(new, allowMissingColumns=True)
-    return both.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).filter("_r = 1").drop("_r")
+def upsert(existing: DataFrame, new: DataFrame, key: str, order: str, *ties: str) -> DataFrame:
+    """The last row of each key by ``order``, of old and new ones; of equally late rows an old one stays, then the least by ``ties``."""
+    both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    last = W.partitionBy(key).orderBy(F.col(order).desc(), "_new", *ties)
+    return both.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r", "_new")
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:

@@ -3,12 +3,15 @@
 import datetime
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  registers the queries
 from skein.functions import scalars, text
 from skein.operators import access, filters, graph, quality, resolve, routing, search
+from skein.registry import ORACLES, QUERIES
 from skein.sources import payloads
 from skein.streaming import jobs
 
@@ -266,3 +269,20 @@ def test_stale_filter(spark):
     rows = spark.createDataFrame([("A", datetime.datetime(2024, 1, 1)), ("A", datetime.datetime(2024, 1, 3)), ("B", datetime.datetime(2024, 1, 1))], "state string, ts timestamp")
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert filters.stale(rows, "state", ["A"], "ts", "2024-01-02 00:00:00", 60).count() == 1
+
+
+def test_upsert_of_equal_rows(spark, tmp_path):
+    """Of lines that are equally late the table's first stays, as in SQL; the larger file, which Spark reads first, is the table's second."""
+    columns = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"
+    first = [(k, 5, 2 + k % 2, 1.0) for k in range(40)]
+    second = [(k, 5, 2 + k % 2, float(v)) for v in range(60, 1, -1) for k in range(40)] + [(7, 5, 1, 0.0)]
+    for name, rows in (("a", first), ("b", second)):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / name))
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    got = {tuple(r) for r in QUERIES["src02_upsert"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == set(con.execute(ORACLES["src02_upsert"]).fetchall()) == {(k, n, q) for k, _, n, q in first}
+    rows = spark.createDataFrame([(1, "c", 5, 3), (1, "b", 5, 2), (2, "old", 5, 9)], "k int, v string, at int, place int")
+    assert {(r["k"], r["v"]) for r in payloads.upsert(rows, rows.filter("k = 2").select("k", F.lit("new").alias("v"), "at", F.lit(1).alias("place")), "k", "at", "place").collect()} == {(1, "b"), (2, "old")}
