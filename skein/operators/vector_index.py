@@ -159,14 +159,82 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF) -> DataFr
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "key", "score")
 
 
-def exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The same by a scan: every query against every vector, the yardstick of recall. Each task keeps k rows a query before they meet."""
-    from skein.operators.search import cosine
+def _padded(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of any lengths as rows, shorter ones filled up with zeros, and their lengths: -1 where there is none or a component is null."""
+    lists = lists.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = np.maximum(size, 0)
+    row, flat = np.repeat(np.arange(len(size)), held), pc.list_flatten(lists)
+    v = np.zeros((len(size), int(held.max(initial=0))))
+    v[row, np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)] = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        size[row[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return v, size
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, component by component in one order, so equal vectors have equal ones wherever they lie."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
+def _together(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same width for both."""
+    width = max(a.shape[1], b.shape[1])
+    return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+
+
+#: Scores of a matrix product may be off by the rounding of another order; what is decided within this is added again term by term.
+SURE = 1e-9
+#: Rows whose scores with a block are held at once.
+STRIP = 256
+
 
+def _scan(k: int):
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        """A block of vectors and one of queries -> each query's k best of the block."""
+        out = []
+        if block.num_rows and asked.num_rows:
+            (v, m), (q, n) = _padded(block.column("vector")), _padded(asked.column("_q"))
+            v, q = _together(v, q)
+            place = pc.rank(block.column("key").combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+            long, wide = np.sqrt(_added(v, v)), np.sqrt(_added(q, q))
+            for at in range(0, len(q), STRIP):
+                s = slice(at, at + STRIP)
+                size = wide[s, None] * long
+                score = (q[s] @ v.T) / size
+                score[np.isnan(score)] = np.inf  # as in an order of numbers, above all others
+                score[(n[s, None] != m) | (m < 0) | (size == 0)] = -np.inf
+                bar = np.partition(score, len(v) - k, 1)[:, len(v) - k] if len(v) > k else np.full(len(score), -np.inf)
+                i, j = np.nonzero((score > -np.inf) & (score >= (bar - SURE)[:, None]))
+                exact = _added(q[s][i], v[j]) / (wide[s][i] * long[j])
+                order = np.lexsort((place[j], -np.where(np.isnan(exact), np.inf, exact), i))
+                i, j, exact = i[order], j[order], exact[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((at + i[top], j[top], exact[top]))
+        i, j, score = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([asked.column("query").take(pa.array(i)), block.column("key").take(pa.array(j)), pa.array(score)], names=["query", "key", "score"])
+
+    return run
+
+
+def exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = SHARD) -> DataFrame:
+    """The same by a scan: every query against every vector, the yardstick of recall. Blocks of vectors meet blocks of queries; each meeting keeps k rows a query."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
     asked = queries.select("query", F.col("vector").alias("_q"))
-    scored = vectors.join(asked).select("query", F.col(key).alias("key"), cosine(F.col(vector), F.col("_q")).alias("score")).filter("score IS NOT NULL")
+    many, parts = (max(1, math.ceil(df.count() / block)) for df in (rows, asked))
+    deal = lambda n, *cols: F.pmod(F.xxhash64(F.lit(17), *cols), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumns({"i": deal(many, "key", "vector"), "j": each(parts)}).repartition(many * parts, "i", "j")
+    right = asked.withColumns({"_j": deal(parts, "query", "_q"), "_i": each(many)}).repartition(many * parts, "_i", "_j")
+    kinds = f"query {asked.schema['query'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, score double"
+    found = left.groupBy("i", "j").cogroup(right.groupBy("_i", "_j")).applyInArrow(_scan(k), kinds)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "key"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "key", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "key", "score")
 
 
 def _pairs(k: int):

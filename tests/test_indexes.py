@@ -6,6 +6,7 @@ from statistics import quantiles
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.operators import search, selection, vector_index
@@ -89,3 +90,26 @@ def test_similar_pairs(spark, least):
                 wanted[i, j] = round(len(a & b) / len(a | b), 9)
     got = {(r["a"], r["b"]): round(r["score"], 9) for r in search.similar_pairs(df, "k", "name", least).collect()}
     assert got == wanted and wanted
+
+
+def odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, [float(x) for x in rng.integers(-2, 3, 5)]) for i in range(80)]  # few different ones: many ties
+    nan, inf = float("nan"), float("inf")
+    rows += [(100, 0, None), (101, 0, [0.0] * 5), (102, 0, [1.0, None, 2.0, 0.0, 0.0]), (103, 0, [1.0, 2.0]), (104, 0, []), (105, 1, [nan] * 5), (106, 1, [inf, 1.0, 0.0, 0.0, 0.0])]
+    rows += [(107, None, [1.0] * 5), (None, 0, [1.0] * 5), (3, 0, [2.0, 1.0, 0.0, 0.0, 1.0])]
+    return spark.createDataFrame(rows, "k long, g int, v array<float>").repartition(3)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_exact_scan_in_blocks(spark, block):
+    """The blocks' result is that of one join of all rows, ties and odd vectors included."""
+    rows = odd_vectors(spark).filter("k IS NOT NULL")
+    asked = rows.filter("k % 4 = 0").select(F.col("k").alias("query"), F.col("v").alias("vector"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "key"))
+    plain = rows.join(asked).select("query", F.col("k").alias("key"), search.cosine(F.col("v"), F.col("vector")).alias("score")).filter("score IS NOT NULL")
+    wanted = plain.withColumn("rank", rank).filter("rank <= 10").select("query", "rank", "key", F.col("score").cast("string"))
+    found = vector_index.exact(rows, asked, "k", "v", 10, block=block).select("query", "rank", "key", F.col("score").cast("string"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
