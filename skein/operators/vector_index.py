@@ -237,6 +237,54 @@ def exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "key", "score")
 
 
+def _scores(digits: int):
+    """Two blocks of a group -> the cosines of all their pairs, rounded; the smaller key first."""
+    unit = 10.0**digits
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        same = left.column("i")[0] == left.column("j")[0]
+        ka, kb = left.column("key").to_numpy(), right.column("_key").to_numpy()
+        (a, m), (b, n) = _padded(left.column("vector")), _padded(right.column("_vector"))
+        a, b = _together(a, b)
+        long, wide = np.sqrt(_added(a, a)), np.sqrt(_added(b, b))
+        i, j = np.nonzero(ka[:, None] < kb if same else ka[:, None] != kb)
+        size = long[i] * wide[j]
+        none = (m[i] != n[j]) | (m[i] < 0) | (size == 0)
+        score = np.divide((a @ b.T)[i, j], size, out=np.zeros(len(i)), where=~none) * unit
+        # where rounding turns, the order of adding could decide
+        near = np.flatnonzero(np.abs(np.abs(score) % 1 - 0.5) < SURE * unit)
+        score[near] = _added(a[i[near]], b[j[near]]) / np.where(none[near], 1, size[near]) * unit
+        score = np.copysign(np.floor(np.abs(score) + 0.5), score) / unit
+        first = ka[i] < kb[j]
+        return pa.table({"a": np.where(first, ka[i], kb[j]), "b": np.where(first, kb[j], ka[i]), "score": pa.array(score, mask=none)})
+
+    return run
+
+
+def pair_scores(vectors: DataFrame, key: str, group: str, vector: str, digits: int = 6, block: int = 1024) -> DataFrame:
+    """(a, b, score): the cosines of all pairs of a group's rows with different keys, a < b, rounded half away from zero.
+
+    Blocks of a group meet in pairs, so its pairs come from many tasks and none
+    holds more than those of two blocks. A score is null where a vector is null,
+    has a null component, no length or another number of components. Rows
+    without key or group pair with nothing.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(group).alias("group"), F.col(vector).alias("vector")).filter("key IS NOT NULL AND `group` IS NOT NULL")
+    many = rows.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    meetings = many.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    dealt = rows.join(many, "group").withColumn("own", F.pmod(F.xxhash64(F.lit(13), "key"), "blocks").cast("int"))
+    left = dealt.select("group", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "key", "vector")
+    right = dealt.select(F.col("group").alias("_g"), F.explode(F.sequence(F.lit(0), "own")).alias("_i"), F.col("own").alias("_j"), F.col("key").alias("_key"), F.col("vector").alias("_vector"))
+    # what comes out is far more than what goes in, so the number of tasks follows the meetings and not the bytes read
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(meetings / 2), 10_000))
+    left, right = left.repartition(tasks, "group", "i", "j"), right.repartition(tasks, "_g", "_i", "_j")
+    return left.groupBy("group", "i", "j").cogroup(right.groupBy("_g", "_i", "_j")).applyInArrow(_scores(digits), "a long, b long, score double")
+
+
 def _pairs(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """Two blocks of a group -> each row's k most similar of the other block."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalars as sc
 from skein.functions import text as x
-from skein.operators import access, graph, ordering, projection, routing, search
+from skein.operators import access, graph, ordering, projection, routing, search, vector_index
 from skein.plans.knowledge import sql_even
 from skein.plans.scalars import phrase_dedup
 from skein.registry import query
@@ -247,8 +247,7 @@ def pairs(s, d):
 
 @query("gr13_vector_similarity", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def vectors(s, d):
-    met = graph.pairs_within(t(s, d, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id")
-    return met.select(F.col("_x.vec_id").alias("a"), F.col("_y.vec_id").alias("b"), F.round(search.cosine(F.col("_x.embedding"), F.col("_y.embedding")), 6).alias("score"))
+    return vector_index.pair_scores(t(s, d, "embeddings"), "vec_id", "label", "embedding", 6)
 
 
 @query("ln03_both_ways", "SELECT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey = 7 UNION SELECT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey = 7")

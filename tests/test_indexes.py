@@ -113,3 +113,14 @@ def test_exact_scan_in_blocks(spark, block):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
     plan = found._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_pair_scores_in_blocks(spark, block):
+    rows = odd_vectors(spark)
+    a, b = rows.select(F.col("k").alias("a"), "g", F.col("v").alias("x")), rows.select(F.col("k").alias("b"), "g", F.col("v").alias("y"))
+    wanted = a.join(b, "g").filter("a < b").select("a", "b", F.round(search.cosine(F.col("x"), F.col("y")), 6).alias("score"))
+    found = vector_index.pair_scores(rows, "k", "g", "v", 6, block=block)
+    plain = lambda df: sorted((r["a"], r["b"], "" if r["score"] is None else str(r["score"] + 0.0)) for r in df.collect())
+    assert plain(found) == plain(wanted)
+    assert vector_index.pair_scores(rows.filter("k < 0"), "k", "g", "v").count() == 0
