@@ -52,6 +52,59 @@ def test_state_machine_out_of_order(spark, tmp_path):
     assert sorted((r["video"], r["ts"], r["state"]) for r in got if r["kind"] == "stuck") == told and told
 
 
+class Store:
+    """One key's state in this process; counts the messages that Spark's would take."""
+
+    def __init__(self):
+        self.calls, self.timers, self.held = 0, set(), {}
+
+    def state(self, name, schema):
+        store = self
+
+        class State:
+            def __getattr__(self, call):
+                def run(*args):
+                    store.calls += 1
+                    now = store.held.get(name)
+                    if call == "exists":
+                        return now is not None
+                    if call in ("get", "iterator", "keys"):
+                        return iter(dict(now or {}).items()) if call == "iterator" else iter(dict(now or {})) if call == "keys" else now if "list" not in kind else iter(list(now or []))
+                    store.held[name] = {"clear": lambda: None, "update": lambda v: v, "put": list, "appendValue": lambda v: [*(now or []), v], "updateValue": lambda k, v: {**(now or {}), k: v}, "removeKey": lambda k: {x: v for x, v in (now or {}).items() if x != k}}[call](*args)
+
+                return run
+
+        kind = "list" if "array" in schema else "value"
+        return State()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getValueState(self, name, schema):
+        return self.state(name, schema)
+
+    getListState = getValueState
+
+    def getMapState(self, name, key, value):
+        return self.state(name, value)
+
+
+def test_state_is_called_by_batch_and_not_by_request():
+    """A video's requests in three batches, the last ones not due before the end: the calls of the state store don't grow with the requests."""
+    rows = [{"_us": 60_000_000 * i, "event_id": i, "new": routing.STATES[1 + i % 15]} for i in range(300)]
+    machine, store, got = keyed.Machine("video", 3, 60, 30), Store(), []
+    machine.init(store)
+    for b, now in ((0, 40), (1, 90), (2, 1_000)):
+        list(machine.handleInputRows((1,), iter(rows[b * 100 : b * 100 + 100][::-1]), None))
+        clock = type("T", (), {"getCurrentWatermarkInMs": lambda self, now=now: now * 60_000, "getExpiryTimeInMs": lambda self, now=now: now * 60_000})()
+        for at in sorted(t for t in store.timers if t <= now * 60_000):
+            store.timers.discard(at)
+            got += machine.handleExpiredTimer((1,), clock, clock)
+    assert [r["event_id"] for r in got if r["kind"] == "move"] == list(range(300))
+    assert store.calls < 60
+
+
 @pytest.fixture
 def log(spark, tmp_path):
     topics.register(spark)
