@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from skein.operators.graph import shared_neighbours
 from skein.operators.ordering import latest
+from skein.operators.shared import shared_neighbours
 from skein.registry import query
 from skein.session import table as t
 
