@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.text import music_label, words
-from skein.operators import access, graph, ordering, quality, resolve, routing, search
+from skein.operators import access, graph, ordering, quality, resolve, routing, search, shared
 from skein.registry import query
 from skein.session import table as t
 
@@ -209,9 +209,7 @@ def neighbours(s, d):
 @query("gr04_two_hops", f"WITH e AS ({ALL_EDGES}), p AS (SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y USING (dst) WHERE x.src <> y.src GROUP BY ALL) SELECT a, b, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS r FROM p) WHERE r <= 50")
 def two_hops(s, d):
     """For each supplier the 50 others with the most parts in common."""
-    met = graph.shared_neighbours(all_edges(s, d))
-    both = met.select("shared", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b", "shared")
-    return both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("shared").desc(), "b"))).filter("r <= 50").drop("r")
+    return shared.most_shared(all_edges(s, d), 50)
 
 
 @query("gr08_similarity", f"WITH e AS ({ALL_EDGES}), p AS (SELECT x.src AS a, y.src AS b, count(*) AS shared FROM e x JOIN e y USING (dst) WHERE x.src < y.src GROUP BY ALL) SELECT * FROM p ORDER BY shared DESC, a, b LIMIT 10")

@@ -50,6 +50,6 @@ def test_pairs_are_not_shuffled(spark, data):
     """What the queries store and shuffle is lists: no exchange holds rows of pairs before they are counted."""
     import __spark_entry__
 
-    for name in ("jn19_shared_neighbours",):
+    for name in ("jn19_shared_neighbours", "gr04_two_hops"):
         plan = __spark_entry__.queries()[name](spark, data)._jdf.queryExecution().toString()
         assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
