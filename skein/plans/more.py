@@ -10,6 +10,7 @@ from skein.plans.knowledge import sql_even
 from skein.plans.scalars import phrase_dedup
 from skein.registry import query
 from skein.session import table as t
+from skein.storage import stored
 from skein.streaming import jobs
 
 
@@ -183,9 +184,10 @@ def order_stories(s, d):
     lines = t(s, d, "lineitem")
     entity = F.struct(kind(F.col("l_suppkey"), "e").alias("id"), kind(F.floor(F.col("l_suppkey") / 3), "Name").alias("name"), F.col("l_returnflag").alias("role"), F.col("l_quantity").cast("int").alias("confidence"))
     claim = F.struct(kind(F.col("l_partkey"), "k").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_linestatus").alias("claim_type"), F.col("l_returnflag").alias("veracity"))
+    lines = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").repartition("l_orderkey")  # as they are: the texts are made where the story is
     held = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(entity).alias("entities"), F.collect_list(claim).alias("claims"), F.min(F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_suppkey") / 3))).alias("a"), F.max(F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_suppkey") / 3))).alias("b"))
     people = t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    rows = t(s, d, "orders").join(held, "o_orderkey").join(people, "o_custkey")
+    rows = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").join(people, "o_custkey").join(held, "o_orderkey")
     sure = (F.col("o_orderkey") % 90).cast("int")
     one = lambda c, prefix: F.array(F.struct(kind(c, prefix).alias("id"), c.cast("string").alias("name"), sure.alias("confidence")))
     tie = F.struct(kind(F.col("a"), "Name").alias("source"), kind(F.col("b"), "Name").alias("target"), F.lit("NEAR").alias("type"), sure.alias("confidence"))
@@ -216,7 +218,7 @@ UNION ALL SELECT 'SET_IN', 'o' || v, 'l' || c_nationkey, '{"confidence":' || sur
 UNION ALL SELECT 'RELATES_TO', p.id, q.id, '{"relationship_type":"NEAR","confidence":' || sure || '}' FROM t JOIN n p ON p.name = source JOIN n q ON q.name = target""")
 def gr02(s, d):
     """Edges of all six types; related names join every entity that has them."""
-    stories = order_stories(s, d)
+    stories = stored(order_stories(s, d), "stories")
     return projection.edges(stories, projection.nodes(stories))
 
 

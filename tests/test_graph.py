@@ -59,3 +59,13 @@ def test_whole_tables(spark, data, lines):
     assert {(r["a"], r["b"]): r["shared"] for r in QUERIES["jn19_shared_neighbours"](spark, data).collect()} == shared
     both = lines | {(p, a) for a, p in lines}
     assert {(r["a"], r["b"]) for r in QUERIES["st01_union"](spark, data).collect()} == both
+
+
+def test_story_edges_are_dealt_by_story(spark, data):
+    """One shuffle of whole stories, none of single edges; shuffle files of what is stored are deleted, and the setting is as before."""
+    from skein.storage import CLEANUP
+
+    before = spark.conf.get(CLEANUP, None)
+    plan = QUERIES["gr02_edges"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(story_id" in plan and "hashpartitioning(type" not in plan and "hashpartitioning(label" in plan
+    assert spark.conf.get(CLEANUP, None) == before
