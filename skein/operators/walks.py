@@ -53,24 +53,32 @@ def constrained_reach(edges: DataFrame, starts: DataFrame, rules: list[tuple[int
     """
     spark = edges.sparkSession
     allowed = spark.createDataFrame(rules, "state int, label string, next int")
-    able = stored(edges.join(F.broadcast(allowed.select("label").distinct()), "label", "left_semi").select("src", "dst", "label").distinct(), "edges")
-    found = stored(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("state")).distinct().withColumn("hops", F.lit(0)), "reach")
+    one = {state for state, _, _ in rules} | {after for _, _, after in rules} == {0}
+    # the rules are on the edges, so what a walk has come to meets only edges that it may take
+    able = edges.join(F.broadcast(allowed), "label").select("src", "dst", *([] if one else ["state", "next"])).distinct()
+    keys = ["start", "node"] if one else ["start", "node", "state"]
+    able = stored(able, "edges")
+    found = stored(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("state")).distinct().select(*keys), "reach").withColumn("hops", F.lit(0))
     front, parts, hop = found, [found], 0
     while most is None or hop < most:
         hop += 1
-        step = front.join(F.broadcast(allowed), "state").withColumnRenamed("node", "src").join(able, ["src", "label"])
-        step = step.select("start", F.col("dst").alias("node"), F.col("next").alias("state")).distinct()
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
-        front = stored(step.join(seen, ["start", "node", "state"], "left_anti").withColumn("hops", F.lit(hop)), "reach")
+        step = front.drop("hops").withColumnRenamed("node", "src").join(able, ["src", *keys[2:]])
+        step = step.select("start", F.col("dst").alias("node"), *([] if one else [F.col("next").alias("state")])).distinct()
+        # found again can only be what edges lead to: where none leads back, nothing found is shuffled
+        ends = stored(able.join(front.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node")).distinct(), "ends")
+        for p in parts:
+            old = p.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            if not old.select("_node").distinct().join(ends, F.col("_node").eqNullSafe(F.col("node")), "left_semi").isEmpty():
+                step = step.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+        front = stored(step, "reach").withColumn("hops", F.lit(hop))
         if front.isEmpty():
             break
         parts.append(front)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("start", "node").agg(F.min("hops").alias("hops"))
+    # of one state, a node is found once
+    return every.select("start", "node", "hops") if one else every.groupBy("start", "node").agg(F.min("hops").alias("hops"))
 
 
 def within_labels(edges: DataFrame, starts: DataFrame, labels: tuple[str, ...], most: int = 3) -> DataFrame:

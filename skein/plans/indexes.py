@@ -102,13 +102,15 @@ w AS (SELECT DISTINCT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS
 SELECT start, hops, count(*) AS nodes, sum(substr(node, 2)::BIGINT)::BIGINT AS total FROM m GROUP BY ALL""")
 def labelled_reach(s, d):
     """From every supplier over returned parts and their orders to the customers of finished ones, over the edges of the whole lineitem table: how many nodes at each distance."""
-    edge = lambda df, a, x, b, y, label: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"), F.concat(F.lit(label), F.col(df.columns[-1])).alias("label"))
+    # a node is a number: its key, and in the last two bits its kind
+    node = lambda c, kind: F.shiftleft(F.col(c).cast("long"), 2) + "spoc".index(kind)
+    edge = lambda df, a, x, b, y, label: df.select(node(x, a).alias("src"), node(y, b).alias("dst"), F.concat(F.lit(label), F.col(df.columns[-1])).alias("label"))
     items = t(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_returnflag")
     edges = edge(items, "s", "l_suppkey", "p", "l_partkey", "SUPPLIES_").unionByName(edge(items, "p", "l_partkey", "o", "l_orderkey", "IN_"))
     edges = edges.unionByName(edge(t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o", "o_orderkey", "c", "o_custkey", "OF_"))
-    starts = t(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    found = walks.within_labels(edges, starts, ("SUPPLIES_R", "IN_R", "OF_F"), 3)
-    return found.groupBy("start", "hops").agg(F.count("*").alias("nodes"), F.sum(F.substring("node", 2, 20).cast("long")).alias("total"))
+    found = walks.within_labels(edges, t(s, d, "supplier").select(node("s_suppkey", "s").alias("node")), ("SUPPLIES_R", "IN_R", "OF_F"), 3)
+    sums = found.groupBy("start", "hops").agg(F.count("*").alias("nodes"), F.sum(F.shiftright("node", 2)).alias("total"))
+    return sums.select(F.concat(F.lit("s"), F.shiftright("start", 2).cast("string")).alias("start"), "hops", "nodes", "total")
 
 
 @query("ac04_values", "SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS listed, lower(c_mktsegment) = 'household' AS same, c_nationkey % 3 = 0 AND c_mktsegment <> 'BUILDING' OR c_nationkey % 3 > 0 AND c_mktsegment = 'BUILDING' AS held FROM customer")

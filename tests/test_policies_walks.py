@@ -5,7 +5,9 @@ import random
 
 import pytest
 
+import __spark_entry__  # noqa: F401  registers the queries
 from skein.operators import policies, walks
+from skein.registry import QUERIES
 
 
 def holds(actual, many, expected):
@@ -141,3 +143,29 @@ def test_reach_under_rules(spark, most):
     df = spark.createDataFrame(edges, "src long, dst long, label string")
     got = walks.constrained_reach(df, spark.createDataFrame([(x,) for x in starts], "node long"), rules, most)
     assert {(r["start"], r["node"]): r["hops"] for r in got.collect()} == wanted
+
+
+def test_reach_of_one_state_finds_a_node_once(spark):
+    """Circles, ways of several lengths, and edges without an end, with one state and with two that are alike."""
+    rng = random.Random(6)
+    edges = [(rng.randrange(30), rng.randrange(30), rng.choice("abc")) for _ in range(90)] + [(1, None, "a"), (2, None, "a"), (None, 5, "a"), (0, 1, "a"), (1, 2, "a"), (2, 0, "a")]
+    frame = spark.createDataFrame(edges, "src long, dst long, label string").repartition(3)
+    starts = spark.createDataFrame([(0,), (0,), (7,), (99,)], "node long")
+    want = {}
+    for start in (0, 7, 99):
+        front, want[start, start] = {start}, 0
+        for hop in range(1, 5):
+            front = {b for a, b, label in edges if a is not None and a in front and label in "ab"} - {n for s, n in want if s == start}
+            want |= {(start, n): hop for n in front}
+    for rules in ([(0, "a", 0), (0, "b", 0)], [(0, "a", 1), (0, "b", 1), (1, "a", 0), (1, "b", 0)]):
+        got = walks.constrained_reach(frame, starts, rules, 4).collect()
+        assert {(r["start"], r["node"]): r["hops"] for r in got} == want and len(got) == len(want)
+
+
+def test_labelled_reach_stores_numbers(spark, data, monkeypatch):
+    """What is found is written and shuffled as two numbers a row, without labels; the levels of these tables are not met again."""
+    kept, plain = [], walks.stored
+    monkeypatch.setattr(walks, "stored", lambda df, label: kept.append((label, df)) or plain(df, label))
+    QUERIES["gr09_labels"](spark, data)
+    assert {f.dataType.simpleString() for _, df in kept for f in df.schema.fields} == {"bigint"}
+    assert not any("left_anti" in df._jdf.queryExecution().logical().toString().lower().replace("leftanti", "left_anti") for label, df in kept if label == "reach")
